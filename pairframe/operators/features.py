@@ -55,8 +55,10 @@ def scale_features(features: FeatureSet, fit_ids: DataFrame | Iterable[Any] | No
     # one row of two arrays as wide as the feature set
     fitted = stats.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "scale"))).alias("by_pos")).scalar()
     element = features.table.schema[VALUE].dataType.elementType
-    scaled = F.zip_with(VALUE, fitted, lambda x, s: ((x.cast("double") - s["mean"]) / s["scale"]).cast(element))
-    return features.with_table(features.table.select(ENTITY, scaled.alias(VALUE)))
+    scaled = F.zip_with(VALUE, "_fitted", lambda x, s: ((x.cast("double") - s["mean"]) / s["scale"]).cast(element))
+    return features.with_table(
+        features.table.withColumn("_fitted", fitted).select(ENTITY, scaled.alias(VALUE))
+    )
 
 
 def describe_features(features: FeatureSet) -> DataFrame:

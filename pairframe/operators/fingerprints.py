@@ -25,22 +25,18 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def set_bits(text: Column, n_bits: int = N_BITS, radius: int = RADIUS) -> Column:
     """Sorted positions of the bits that are set for a string."""
+    # the up to `radius` characters starting at each position; shorter substrings are their prefixes
+    windows = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{radius}}}))."), F.lit(1)))
 
-    def grams(chars: Column, k: int) -> Column:
-        starts = F.when(
-            F.size(chars) >= k, F.sequence(F.lit(0), F.size(chars) - F.lit(k))
-        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + F.lit(j)) for j in range(k)]))
+    def prefixes(w: Column) -> Column:
+        shorter = [F.array_distinct(F.transform(w, lambda g: F.substring(g, 1, k))) for k in range(1, radius)]
+        return F.array_distinct(F.concat(*shorter, w))
 
     def bit(gram: Column) -> Column:
         word = F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint")
         return F.pmod(word, F.lit(n_bits)).cast("int")
 
-    chars = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
-    distinct = _bind(
-        chars, lambda c: F.array_distinct(F.concat(*[grams(c, k) for k in range(1, radius + 1)]))
-    )
-    return F.array_sort(F.array_distinct(F.transform(distinct, bit)))
+    return F.sort_array(F.array_distinct(F.transform(_bind(windows, prefixes), bit)))
 
 
 def bit_vector(bits: Column, n_bits: int = N_BITS) -> Column:

@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A plain file scan with at least one partition per core, for work that is heavy per row.
+
+    Only a table of few row groups is shuffled; a large one already has enough splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 # Events as observations: user = cell, event type = drug.
 EVENT_OBS_SQL = "SELECT event_id AS id, user_id AS cell_id, event_type AS drug_id, value AS label FROM events"
 
@@ -68,7 +77,8 @@ def part_features(spark: SparkSession, sf_dir: str) -> FeatureSet:
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> FeatureSet:
-    return FeatureSet.lookup(table(spark, sf_dir, "documents"), "doc_id", "text", "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return FeatureSet.lookup(spread_scan(documents), "doc_id", "text", "text")
 
 
 # Hold-out roles of the embedding entities, stratified by their label.

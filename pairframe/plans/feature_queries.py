@@ -113,7 +113,7 @@ def feature_describe(spark, sf_dir):
     "scale_features",
     f"WITH long AS ({LONG_SQL}), roles AS ({ROLE_SQL}), fit AS (SELECT pos, avg(x) AS mean, var_pop(x) AS var, "
     "CAST(count(x) AS DOUBLE) AS n FROM long JOIN roles USING (vec_id) WHERE role = 'train' GROUP BY pos) "
-    f"SELECT vec_id AS entity_id, CAST(pos AS BIGINT) AS pos, round(CAST((x - mean) / ({scale_sql()}) AS FLOAT), 4) + 0.0 AS x "
+    f"SELECT vec_id AS entity_id, CAST(pos AS BIGINT) AS pos, round(CAST(CAST((x - mean) / ({scale_sql()}) AS FLOAT) AS DOUBLE), 4) + 0.0 AS x "
     "FROM long JOIN fit USING (pos)",
 )
 def scale_vectors(spark, sf_dir):
@@ -125,21 +125,22 @@ def scale_vectors(spark, sf_dir):
 
 
 BITS_SQL = (
-    "WITH src AS ({src}), chars AS (SELECT id, text, unnest(range(1, length(text) + 1)) AS i FROM src), "
-    "grams AS (SELECT DISTINCT id, unnest([substr(text, i, 1), "
-    "CASE WHEN i + 1 <= length(text) THEN substr(text, i, 2) END, "
-    "CASE WHEN i + 2 <= length(text) THEN substr(text, i, 3) END]) AS g FROM chars), "
+    "WITH src AS ({src}), chars AS (SELECT id, string_split(text, '') AS c FROM src), "
+    "places AS (SELECT id, unnest(list_zip(c, c[2:], c[3:])) AS p FROM chars), "
+    "grams AS (SELECT DISTINCT id, unnest([p[1], p[1] || p[2], p[1] || p[2] || p[3]]) AS g FROM places), "
     "bits AS (SELECT DISTINCT id, CAST(('0x' || substr(md5(g), 1, 8)) AS BIGINT) % {n_bits} AS bit FROM grams "
-    "WHERE g IS NOT NULL), held AS (SELECT id, list(bit) AS bits FROM bits GROUP BY id) "
-    "SELECT id AS entity_id, len(bits) AS n_set, "
-    "list_aggregate(list_transform(range({n_bits}), lambda b: CASE WHEN list_contains(bits, b) THEN '1' ELSE '0' END), "
-    "'string_agg', '') AS bits FROM held"
+    "WHERE g IS NOT NULL) SELECT id AS entity_id, {n_bits} AS width, count(*) AS n_set, "
+    "string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM bits GROUP BY id"
 )
 
 
 def _bit_rows(features: FeatureSet):
-    ones = F.size(F.filter(VALUE, lambda b: b == 1)).cast("bigint")
-    return features.table.select(ENTITY, ones.alias("n_set"), F.array_join(VALUE, "").alias("bits"))
+    """Vector width, number of ones, and their positions."""
+    ones = F.array_compact(F.transform(VALUE, lambda v, i: F.when(v == 1, i)))
+    positions = features.table.select(ENTITY, F.size(VALUE).alias("width"), ones.alias("ones"))
+    return positions.select(
+        ENTITY, "width", F.size("ones").cast("bigint").alias("n_set"), F.array_join("ones", ",").alias("bits")
+    )
 
 
 @query("fingerprint_bits", BITS_SQL.format(src="SELECT doc_id AS id, text FROM documents", n_bits=DOC_BITS))
