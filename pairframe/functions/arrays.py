@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairframe.functions.numeric import nan_to_null
 
+NARROW = 16
+
 
 def dot(a: Column, b: Column) -> Column:
     """Contraction of two equally long arrays."""
@@ -60,16 +62,27 @@ def reduce_arrays(
     how: str = "sum",
     weight: Column | None = None,
     alias: str = "features",
+    width: int | None = None,
 ) -> DataFrame:
-    """Element-wise `sum`, `avg` or `max` of the vectors that share a key."""
+    """Element-wise `sum`, `avg` or `max` of the vectors that share a key.
+
+    A known `width` up to NARROW becomes one aggregate per position and a single
+    shuffle; otherwise positions are unfolded and reduced by (key, position).
+    """
     reducers = {"sum": F.sum, "avg": F.avg, "max": F.max}
     if how not in reducers:
         raise ValueError(f"how must be one of {sorted(reducers)}")
+    reducer = reducers[how]
+    if width is not None and width <= NARROW:
+        elements = [F.get(vector, i).cast("double") for i in range(width)]
+        if weight is not None:
+            elements = [e * weight for e in elements]
+        return df.groupBy(*keys).agg(F.array(*[reducer(e) for e in elements]).alias(alias))
     source = df if weight is None else df.withColumn("_w", weight)
     carried = [*keys] if weight is None else [*keys, "_w"]
     long = explode_vector(source, carried, vector)
     value = F.col("x") if weight is None else F.col("x") * F.col("_w")
-    reduced = long.groupBy(*keys, "pos").agg(reducers[how](value).alias("v"))
+    reduced = long.groupBy(*keys, "pos").agg(reducer(value).alias("v"))
     return collect_vector(reduced, keys, "v", alias)
 
 
@@ -84,7 +97,9 @@ def array_stats(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
-def softmax_pool(df: DataFrame, group: str, score: str, vector: str, alias: str = "features") -> DataFrame:
+def softmax_pool(
+    df: DataFrame, group: str, score: str, vector: str, alias: str = "features", width: int | None = None
+) -> DataFrame:
     """Per group: sum of vectors weighted by softmax of their scores.
 
     The group maximum is an ordinary aggregate joined back, not a window, so one
@@ -92,8 +107,8 @@ def softmax_pool(df: DataFrame, group: str, score: str, vector: str, alias: str
     """
     peak = df.groupBy(group).agg(F.max(score).alias("_peak"))
     weighted = df.join(peak, group).withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
-    long = explode_vector(weighted, [group, "_e"], vector)
-    pooled = long.groupBy(group, "pos").agg(
-        (F.sum(F.col("x") * F.col("_e")) / F.sum("_e")).alias("v")
+    sums = reduce_arrays(weighted, [group], vector, "sum", F.col("_e"), "_sums", width)
+    totals = weighted.groupBy(group).agg(F.sum("_e").alias("_total"))
+    return sums.join(totals, group).select(
+        group, F.transform("_sums", lambda v: v / F.col("_total")).alias(alias)
     )
-    return collect_vector(pooled, [group], "v", alias)

@@ -1,7 +1,8 @@
 """Neighbourhood aggregation over many graphs at once.
 
 edges: (graph, src, dst, weight), unique per (graph, src, dst), weights >= 0.
-nodes: (graph, node, features ARRAY), unique per (graph, node).
+nodes: (graph, node, features ARRAY), unique per (graph, node). `width` is the length
+of the arrays, when known.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairframe.functions.arrays import collect_vector, explode_vector, linear
+from pairframe.functions.arrays import linear, reduce_arrays
 from pairframe.session import cut_lineage
 
 # Fixed value: added to a degree before dividing by it.
@@ -18,39 +19,54 @@ EPSILON = 1e-7
 HUB_BLOCK = 1_024
 
 
+def _hubs(pairs: DataFrame) -> DataFrame:
+    """(graph, mid, _ins, _outs): nodes whose in-edges times out-edges exceed HUB_BLOCK
+    squared, with the number of blocks each side is cut into."""
+    ends = F.array(
+        F.struct(F.col("dst").alias("mid"), F.lit(1).alias("_in"), F.lit(0).alias("_out")),
+        F.struct(F.col("src").alias("mid"), F.lit(0).alias("_in"), F.lit(1).alias("_out")),
+    )
+    degrees = (
+        pairs.select("graph", F.inline(ends))
+        .groupBy("graph", "mid")
+        .agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    )
+
+    def blocks(column: str):
+        return F.ceil(F.col(column) / HUB_BLOCK).cast("int").alias(f"{column}s")
+
+    return degrees.filter(
+        F.col("_in").cast("double") * F.col("_out").cast("double") > HUB_BLOCK * HUB_BLOCK
+    ).select("graph", "mid", blocks("_in"), blocks("_out"))
+
+
 def _square(pairs: DataFrame) -> DataFrame:
     """Distinct (graph, src, dst) joined by two steps of `pairs`.
 
-    A hub with many edges in and out yields their product, so its in-edges and
-    out-edges are cut into blocks of about HUB_BLOCK and every block pair is its own
-    join key; other nodes have a single block.
+    A hub yields the product of its in-edges and out-edges. Both are cut into blocks of
+    about HUB_BLOCK and every pair of blocks is its own join key, so that product is
+    spread over many tasks; all other nodes go through a plain join.
     """
-    ins = pairs.groupBy("graph", F.col("dst").alias("mid")).agg(F.count(F.lit(1)).alias("_in"))
-    outs = pairs.groupBy("graph", F.col("src").alias("mid")).agg(F.count(F.lit(1)).alias("_out"))
-    hubs = (
-        ins.join(outs, ["graph", "mid"])
-        .filter(F.col("_in") * F.col("_out") > HUB_BLOCK * HUB_BLOCK)
-        .select(
-            "graph",
-            "mid",
-            F.ceil(F.col("_in") / HUB_BLOCK).cast("int").alias("_ins"),
-            F.ceil(F.col("_out") / HUB_BLOCK).cast("int").alias("_outs"),
-        )
-    )
-
-    def blocks(side: DataFrame, other: str, own: str, far: str, own_n: str, far_n: str) -> DataFrame:
-        sized = side.join(hubs, ["graph", "mid"], "left").select(
-            "graph",
-            "mid",
-            other,
-            F.pmod(F.xxhash64(other), F.coalesce(own_n, F.lit(1))).cast("int").alias(own),
-            F.coalesce(far_n, F.lit(1)).alias("_far"),
+    key = ["graph", "mid"]
+    first = pairs.withColumnRenamed("dst", "mid")
+    second = pairs.withColumnRenamed("src", "mid")
+    hubs = cut_lineage(_hubs(pairs))
+    if hubs.isEmpty():
+        return first.join(second, key).select("graph", "src", "dst").distinct()
+
+    def blocks(side: DataFrame, end: str, own: str, own_count: str, far: str, far_count: str) -> DataFrame:
+        return side.join(hubs, key).select(
+            *key,
+            end,
+            F.pmod(F.xxhash64(end), F.col(own_count)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(far_count) - 1)).alias(far),
         )
-        return sized.withColumn(far, F.explode(F.sequence(F.lit(0), F.col("_far") - 1))).drop("_far")
 
-    first = blocks(pairs.withColumnRenamed("dst", "mid"), "src", "_bi", "_bo", "_ins", "_outs")
-    second = blocks(pairs.withColumnRenamed("src", "mid"), "dst", "_bo", "_bi", "_outs", "_ins")
-    return first.join(second, ["graph", "mid", "_bi", "_bo"]).select("graph", "src", "dst").distinct()
+    into = blocks(first, "src", "_i", "_ins", "_o", "_outs")
+    out_of = blocks(second, "dst", "_o", "_outs", "_i", "_ins")
+    through_hubs = into.join(out_of, [*key, "_i", "_o"]).select("graph", "src", "dst")
+    others = first.join(hubs, key, "left_anti").join(second, key).select("graph", "src", "dst")
+    return others.union(through_hubs).distinct()
 
 
 def walk_edges(edges: DataFrame, steps: int) -> DataFrame:
@@ -58,12 +74,12 @@ def walk_edges(edges: DataFrame, steps: int) -> DataFrame:
 
     One step or less returns the edges with their weights. Otherwise an edge of weight
     1 joins every pair connected by a walk of length exactly 2**k for some bit k that is
-    set in `steps`. Edges and squares are checkpointed, so the plan stays
-    flat and nothing is computed twice.
+    set in `steps`. Squares are checkpointed, so the plan stays flat; give
+    edges that are stored or checkpointed too, as they are read several times.
     """
     if steps <= 1:
         return edges
-    power = cut_lineage(edges.filter(F.col("weight") > 0).select("graph", "src", "dst"))
+    power = edges.filter(F.col("weight") > 0).select("graph", "src", "dst")
     parts = [power] if steps & 1 else []
     for k in range(1, steps.bit_length()):
         power = cut_lineage(_square(power))
@@ -81,19 +97,17 @@ def _activated(vector: Column, activation) -> Column:
     return vector if activation is None else F.transform(vector, activation)
 
 
-def _gather(edges: DataFrame, nodes: DataFrame, at: str, to: str, value: Column, how) -> DataFrame:
-    """(graph, node, pos, v): reduce the features found at `at` over the edges of each `to`."""
-    side = nodes.select("graph", F.col("node").alias(at), "features")
-    long = explode_vector(
-        edges.join(side, ["graph", at]), ["graph", F.col(to).alias("node"), "weight"], "features"
-    )
-    return long.groupBy("graph", "node", "pos").agg(how(value).alias("v"))
-
+def _gather(
+    edges: DataFrame, nodes: DataFrame, at: str, to: str, how: str, weight: Column | None, width: int | None
+) -> DataFrame:
+    """Nodes with `_sum`: features found at `at`, reduced over the edges of each `to`.
 
-def _per_node(nodes: DataFrame, sums: DataFrame) -> DataFrame:
-    """Nodes with `_sum`: the gathered vector, null where a node has no edges."""
-    vectors = collect_vector(sums, ["graph", "node"], "v", "_sum")
-    return nodes.join(vectors, ["graph", "node"], "left")
+    Null where a node has no such edge.
+    """
+    side = nodes.select("graph", F.col("node").alias(at), "features")
+    met = edges.join(side, ["graph", at]).withColumn("node", F.col(to))
+    reduced = reduce_arrays(met, ["graph", "node"], "features", how, weight, "_sum", width)
+    return nodes.join(reduced, ["graph", "node"], "left")
 
 
 def graph_conv(
@@ -110,25 +124,29 @@ def graph_conv(
     """
     reached = walk_edges(walk_edges(edges, steps), steps)
     mapped = nodes.withColumn("features", linear(F.col("features"), weights, bias))
-    sums = _gather(reached, mapped, "src", "dst", F.col("x") * F.col("weight"), F.sum)
-    zeros = F.array_repeat(F.lit(0.0), len(weights[0]))
-    result = F.coalesce(F.col("_sum"), zeros)
-    return _per_node(mapped, sums).select("graph", "node", _activated(result, activation).alias("features"))
+    units = len(weights[0])
+    sums = _gather(reached, mapped, "src", "dst", "sum", F.col("weight"), units)
+    result = F.coalesce(F.col("_sum"), F.array_repeat(F.lit(0.0), units))
+    return sums.select("graph", "node", _activated(result, activation).alias("features"))
 
 
-def graph_max_pool(edges: DataFrame, nodes: DataFrame, steps: int = 1, activation=None) -> DataFrame:
+def graph_max_pool(
+    edges: DataFrame, nodes: DataFrame, steps: int = 1, activation=None, width: int | None = None
+) -> DataFrame:
     """(graph, node, features): per feature the maximum over out-neighbours; null without any."""
     reached = walk_edges(edges, steps).filter(F.col("weight") > 0)
-    best = _gather(reached, nodes, "dst", "src", F.col("x"), F.max)
-    return _per_node(nodes, best).select("graph", "node", _activated(F.col("_sum"), activation).alias("features"))
+    best = _gather(reached, nodes, "dst", "src", "max", None, width)
+    return best.select("graph", "node", _activated(F.col("_sum"), activation).alias("features"))
 
 
-def graph_average_pool(edges: DataFrame, nodes: DataFrame, steps: int = 1, activation=None) -> DataFrame:
+def graph_average_pool(
+    edges: DataFrame, nodes: DataFrame, steps: int = 1, activation=None, width: int | None = None
+) -> DataFrame:
     """(graph, node, features): weighted in-neighbour sum over (out-degree + epsilon); 0 without in-edges."""
     reached = walk_edges(edges, steps)
-    sums = _gather(reached, nodes, "src", "dst", F.col("x") * F.col("weight"), F.sum)
+    sums = _gather(reached, nodes, "src", "dst", "sum", F.col("weight"), width)
     degree = reached.groupBy("graph", F.col("src").alias("node")).agg(F.sum("weight").alias("_degree"))
-    joined = _per_node(nodes, sums).join(degree, ["graph", "node"], "left")
+    joined = sums.join(degree, ["graph", "node"], "left")
     share = F.coalesce(F.col("_degree"), F.lit(0.0)) + F.lit(EPSILON)
     pooled = F.transform("_sum", lambda v: v / share)
     zeros = F.transform("features", lambda _: F.lit(0.0))

@@ -18,6 +18,7 @@ from pairframe.plans.adapters import (
     user_vectors,
 )
 from pairframe.plans.catalog import query
+from pairframe.session import cut_lineage
 
 CONV_WEIGHTS = [[0.5, -0.25, 0.125], [0.25, 0.75, -0.5]]
 CONV_BIAS = [1.0, 0.0, -2.0]
@@ -39,7 +40,7 @@ WALKS = f"w1 AS (SELECT graph, src, dst FROM edges), w2 AS ({_twice('w1')}), w4
     f"WITH {EDGES}, {WALKS} SELECT DISTINCT graph, src, dst, 1.0 AS weight FROM (FROM w2 UNION ALL FROM w4)",
 )
 def graph_walk(spark, sf_dir):
-    return walk_edges(trade_edges(spark, sf_dir), 6)
+    return walk_edges(cut_lineage(trade_edges(spark, sf_dir)), 6)
 
 
 def _features(df, width):
@@ -60,14 +61,14 @@ def _conv_sql(walk: str, weight: str) -> str:
 
 @query("graph_conv", _conv_sql("edges", "weight"))
 def convolve(spark, sf_dir):
-    edges = trade_edges(spark, sf_dir)
+    edges = cut_lineage(trade_edges(spark, sf_dir))
     return _features(graph_conv(edges, trade_nodes(edges), CONV_WEIGHTS, CONV_BIAS), 3)
 
 
 @query("graph_conv_walked", _conv_sql("w4", "1.0"))
 def convolve_walked(spark, sf_dir):
     """Two steps, walked twice: neighbours at the end of a walk of length four."""
-    edges = trade_edges(spark, sf_dir)
+    edges = cut_lineage(trade_edges(spark, sf_dir))
     return _features(graph_conv(edges, trade_nodes(edges), CONV_WEIGHTS, CONV_BIAS, steps=2), 3)
 
 
@@ -79,8 +80,8 @@ def convolve_walked(spark, sf_dir):
     "LEFT JOIN nodes m ON m.graph = e.graph AND m.node = e.dst GROUP BY ALL",
 )
 def max_pool(spark, sf_dir):
-    edges = trade_edges(spark, sf_dir)
-    return _features(graph_max_pool(edges, trade_nodes(edges), steps=3), 2)
+    edges = cut_lineage(trade_edges(spark, sf_dir))
+    return _features(graph_max_pool(edges, trade_nodes(edges), steps=3, width=2), 2)
 
 
 @query(
@@ -93,8 +94,8 @@ def max_pool(spark, sf_dir):
     "LEFT JOIN ins i ON n.graph = i.graph AND n.node = i.dst LEFT JOIN degree g ON n.graph = g.graph AND n.node = g.src",
 )
 def average_pool(spark, sf_dir):
-    edges = trade_edges(spark, sf_dir)
-    pooled = graph_average_pool(edges, trade_nodes(edges))
+    edges = cut_lineage(trade_edges(spark, sf_dir))
+    pooled = graph_average_pool(edges, trade_nodes(edges), width=2)
     return pooled.select("graph", "node", *[tidy(F.get("features", i), 2).alias(f"x{i:02d}") for i in range(2)])
 
 
@@ -123,7 +124,7 @@ def _vector_rows(df):
 )
 def pool_by_softmax(spark, sf_dir):
     scored = _event_vectors(spark, sf_dir).withColumn("score", F.col("label") / 20.0)
-    return _vector_rows(softmax_pool(scored, "drug_id", "score", "vector"))
+    return _vector_rows(softmax_pool(scored, "drug_id", "score", "vector", width=DIM))
 
 
 @query(
@@ -136,7 +137,7 @@ def pool_by_softmax(spark, sf_dir):
 def score_additively(spark, sf_dir):
     """Each event's vector against the mean vector of its type."""
     vectors = _event_vectors(spark, sf_dir)
-    context = reduce_arrays(vectors, ["drug_id"], "vector", "avg", alias="context")
+    context = reduce_arrays(vectors, ["drug_id"], "vector", "avg", alias="context", width=DIM)
     scored = vectors.join(context, "drug_id").withColumn(
         "score", additive_score(F.col("context"), F.col("vector"), CONTEXT_V)
     )
@@ -151,7 +152,7 @@ def score_additively(spark, sf_dir):
 def contract_vectors(spark, sf_dir):
     """Each event's vector contracted with the vector sum of its type."""
     vectors = _event_vectors(spark, sf_dir)
-    sums = reduce_arrays(vectors, ["drug_id"], "vector", "sum", alias="sums")
+    sums = reduce_arrays(vectors, ["drug_id"], "vector", "sum", alias="sums", width=DIM)
     products = vectors.join(sums, "drug_id").withColumn("product", dot(F.col("vector"), F.col("sums")))
     return products.select("id", "drug_id", tidy("product", 4).alias("product"))
 
@@ -161,7 +162,7 @@ def contract_vectors(spark, sf_dir):
     f"SELECT drug_id, pos, round(sum(x), 4) + 0.0 AS x FROM ({EVENT_LONG_SQL}) GROUP BY drug_id, pos",
 )
 def sum_vectors(spark, sf_dir):
-    sums = reduce_arrays(_event_vectors(spark, sf_dir), ["drug_id"], "vector", "sum")
+    sums = reduce_arrays(_event_vectors(spark, sf_dir), ["drug_id"], "vector", "sum", width=DIM)
     return sums.select("drug_id", F.posexplode("features").alias("pos", "x")).select(
         "drug_id", F.col("pos").cast("bigint"), tidy("x", 4).alias("x")
     )
