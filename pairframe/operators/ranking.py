@@ -64,18 +64,19 @@ def rank_rows(
     """Add the 0-based position of each row in hash order, overall or `within` groups.
 
     `keys` must identify a row. With `within`, a group is ranked bucket by bucket, so
-    a group that holds most rows is still spread over many tasks. `total` names an
+    a group that holds most rows is still spread over many tasks; null is a group too. `total` names an
     extra column with the number of rows ranked together.
     """
-    source = df
-    for column in within:
-        source = source.filter(required(F.col(column).isNotNull(), f"null {column}"))
-    keyed = _keyed(source, keys, seed, epoch, GROUP_DIGITS if within else GLOBAL_DIGITS)
-    offsets = _offsets(keyed, within)
+    keyed = _keyed(df, keys, seed, epoch, GROUP_DIGITS if within else GLOBAL_DIGITS)
+    if within:
+        # a struct is never null itself, so a null group joins its own offsets
+        keyed = keyed.withColumn("_group", F.struct(*within))
+    group = ["_group"] if within else []
+    offsets = _offsets(keyed, group)
     if not within:
         offsets = F.broadcast(offsets)  # at most 16**GLOBAL_DIGITS short rows
-    order = Window.partitionBy(*within, "_bucket").orderBy("_hash", *[_column(k) for k in keys])
-    ranked = keyed.withColumn("_rank", F.row_number().over(order)).join(offsets, [*within, "_bucket"])
+    order = Window.partitionBy(*group, "_bucket").orderBy("_hash", *[_column(k) for k in keys])
+    ranked = keyed.withColumn("_rank", F.row_number().over(order)).join(offsets, [*group, "_bucket"])
     extra = [F.col("_total").alias(total)] if total else []
     return ranked.select(*df.columns, (F.col("_before") + F.col("_rank") - 1).alias(name), *extra)
 

@@ -3,7 +3,15 @@
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ("observation_queries", "feature_queries", "sampling_queries", "graph_queries", "file_queries")
+MODULES = (
+    "observation_queries",
+    "feature_queries",
+    "sampling_queries",
+    "graph_queries",
+    "file_queries",
+    "regression",
+    "stream_queries",
+)
 
 
 def load_queries() -> ModuleType:
