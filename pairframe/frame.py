@@ -172,7 +172,7 @@ class PairFrame:
     ) -> Batches:
         """Encoded mini-batches of these observations, or of explicit (id, cell_id, drug_id) rows."""
         rows = batch_rows(self.obs if obs is None else obs, targets, sample_weights)
-        return Batches(self.encode(rows, drugs_first), batch_size, shuffle, seed)
+        return Batches(rows, batch_size, shuffle, seed, encode=lambda df: self.encode(df, drugs_first))
 
 
 def normalize_responses(

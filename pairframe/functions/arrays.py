@@ -106,9 +106,12 @@ def softmax_pool(
     huge group is spread over many tasks in both passes.
     """
     peak = df.groupBy(group).agg(F.max(score).alias("_peak"))
-    weighted = df.join(peak, group).withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
-    sums = reduce_arrays(weighted, [group], vector, "sum", F.col("_e"), "_sums", width)
-    totals = weighted.groupBy(group).agg(F.sum("_e").alias("_total"))
-    return sums.join(totals, group).select(
-        group, F.transform("_sums", lambda v: v / F.col("_total")).alias(alias)
+    # a trailing one sums up to the softmax denominator
+    weighted = df.join(peak, group).select(
+        group,
+        F.exp(F.col(score) - F.col("_peak")).alias("_e"),
+        F.concat(F.transform(vector, lambda x: x.cast("double")), F.array(F.lit(1.0))).alias("_v"),
     )
+    sums = reduce_arrays(weighted, [group], "_v", "sum", F.col("_e"), "_s", None if width is None else width + 1)
+    pooled = F.transform(F.slice("_s", 1, F.size("_s") - 1), lambda v: v / F.element_at("_s", -1))
+    return sums.select(group, pooled.alias(alias))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,6 +16,7 @@ class Batches:
     """Batches of `rows` in a fixed order, or in a new order each epoch when `shuffle`.
 
     Batch k holds positions [k * batch_size, (k + 1) * batch_size); the last may be short.
+    `encode` adds features to rows that are already placed, so ordering moves narrow rows.
     """
 
     rows: DataFrame
@@ -23,6 +24,10 @@ class Batches:
     shuffle: bool = False
     seed: int = 0
     keys: Sequence[Key] = field(default=("id",))
+    encode: Callable[[DataFrame], DataFrame] | None = None
+
+    def _encoded(self, df: DataFrame) -> DataFrame:
+        return df if self.encode is None else self.encode(df)
 
     def _epoch(self, epoch: int) -> int:
         return epoch if self.shuffle else 0
@@ -38,19 +43,20 @@ class Batches:
         return self.count().first()["n_batches"]
 
     def order(self, epoch: int = 0) -> DataFrame:
-        """All rows with their position in the given epoch."""
+        """All rows, without features, with their position in the given epoch."""
         return rank_rows(self.rows, self.keys, self.seed, self._epoch(epoch))
 
     def assign(self, epoch: int = 0) -> DataFrame:
-        """All rows with batch_id and position."""
-        return self.order(epoch).withColumn("batch_id", F.expr(f"position div {int(self.batch_size)}"))
+        """All rows with position and batch_id."""
+        placed = self.order(epoch).withColumn("batch_id", F.expr(f"position div {int(self.batch_size)}"))
+        return self._encoded(placed)
 
     def batch(self, k: int, epoch: int = 0) -> DataFrame:
         """Rows of batch `k`; a batch past the end is an error when it runs."""
         if k < 0:
             raise IndexError(f"batch {k} is out of range")
         first = k * self.batch_size
-        return slice_rows(
+        rows = slice_rows(
             self.rows,
             first,
             first + self.batch_size,
@@ -59,6 +65,7 @@ class Batches:
             self._epoch(epoch),
             at_least=first + 1,
         )
+        return self._encoded(rows)
 
     def write(self, path: str, epoch: int = 0, batches_per_shard: int = 1_000) -> None:
         """Parquet for a trainer: one folder per range of batches, ordered inside."""

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairframe.operators.ranking import Key, number_rows
+from pairframe.session import checked_broadcast
 
 # The observation columns, in order.
 OBS_COLUMNS = ("id", "cell_id", "drug_id", "label")
@@ -58,7 +59,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def filter_by_value_counts(df: DataFrame, column: str, n: int) -> DataFrame:
     """Rows whose key occurs at least `n` times."""
     frequent = value_counts(df, column).filter(F.col("count") >= n).select(column)
-    return df.join(frequent, column, "left_semi")
+    return df.join(checked_broadcast(frequent), column, "left_semi")
 
 
 def _distinct(column: str) -> Column:

@@ -19,7 +19,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 0, keys: Sequence[Key] = ("id
 
 def sample_entities(obs: DataFrame, column: str, n: int, seed: int = 0) -> DataFrame:
     """Sample `n` distinct entities and keep all their rows."""
-    return keep_members(obs, column, sample_rows(obs.select(column).distinct(), n, seed, [column]))
+    return keep_members(obs, column, sample_rows(obs.select(column).distinct(), n, seed, [column]), at_most=n)
 
 
 def shuffle_rows(df: DataFrame, seed: int = 0, keys: Sequence[Key] = ("id",), name: str = "position") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairframe.functions.guards import required
 from pairframe.functions.numeric import nan_to_null, safe_scale
+from pairframe.session import checked_broadcast, cut_lineage
 
 METHODS = ("global", "grouped")
 
@@ -38,17 +39,18 @@ def apply_scaler(
     """Replace `value` by (value - mean) / scale, keeping its type.
 
     A group without statistics is an error in strict mode and null otherwise. Global
-    statistics are one row and enter as a scalar subquery, not as a join.
+    statistics are one row and enter as a scalar subquery, not as a join. Group
+    statistics are computed here, once, and broadcast when there are few groups.
     """
     kind = df.schema[value].dataType
     if group is None:
         fitted = stats.select(F.struct("mean", "scale")).scalar()
         scaled = (F.col(value).cast("double") - fitted["mean"]) / fitted["scale"]
         return df.withColumn(value, scaled.cast(kind))
-    side = stats.select(F.col(group).alias("_group"), "mean", "scale")
-    joined = df.join(
-        side.withColumnsRenamed({"mean": "_mean", "scale": "_scale"}), F.col(group) == F.col("_group"), "left"
+    side = checked_broadcast(
+        stats.select(F.col(group).alias("_group"), F.col("mean").alias("_mean"), F.col("scale").alias("_scale"))
     )
+    joined = df.join(side, F.col(group) == F.col("_group"), "left")
     if strict:
         unseen = F.concat(F.lit("Unseen group: "), F.coalesce(F.col(group).cast("string"), F.lit("null")))
         joined = joined.filter(required(F.col("_group").isNotNull(), unseen))
@@ -69,4 +71,6 @@ def normalize_labels(
         raise ValueError(f"norm_method must be one of {METHODS}")
     group = None if method == "global" else "drug_id"
     stats = fit_scaler(train, group)
+    if group is not None:
+        stats = cut_lineage(stats)  # shared by every table below
     return tuple(None if d is None else apply_scaler(d, stats, group) for d in (train, *others))

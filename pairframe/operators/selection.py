@@ -11,17 +11,23 @@ from pairframe.featureset import ENTITY, join_value
 from pairframe.operators.ranking import rank_rows
 
 LITERAL_LIMIT = 1_000
+BROADCAST_LIMIT = 100_000
 GRID_BLOCK = 1_024
 
 
-def keep_members(df: DataFrame, column: str, members: DataFrame | Iterable[Any]) -> DataFrame:
+def keep_members(
+    df: DataFrame, column: str, members: DataFrame | Iterable[Any], at_most: int | None = None
+) -> DataFrame:
     """Rows whose `column` is among `members`: a DataFrame (first column) or values.
 
     Unknown members are ignored and repeats do not multiply rows. Short value lists
-    become a pushed-down IN filter, everything else a semi join.
+    become a pushed-down IN filter, everything else a semi join. `at_most` is a known
+    bound on the number of members; a small one lets them be broadcast.
     """
     if isinstance(members, DataFrame):
         wanted = members.select(F.col(members.columns[0]).alias(column)).distinct()
+        if at_most is not None and at_most <= BROADCAST_LIMIT:
+            wanted = F.broadcast(wanted)
         return df.join(wanted, column, "left_semi")
     values = list(dict.fromkeys(members))
     if len(values) <= LITERAL_LIMIT:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BROADCAST_ROWS = 200_000
 
 
 def build_session(app: str = "pairframe", master: str | None = None, **conf) -> SparkSession:
@@ -56,3 +57,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Store a narrow table, count it, and mark it for broadcast only when it is small.
+
+    The other side of a join then stays where it is instead of being shuffled by a
+    possibly hot key. A larger table is joined by shuffle, with hot keys split at run time.
+    """
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored

@@ -19,8 +19,12 @@ class Split:
 
 
 def save_splits(splits: DataFrame, path: str) -> None:
-    """One folder per fold and role, so a single fold is read alone."""
-    splits.select("fold", "role", "id").repartition("fold", "role").write.partitionBy("fold", "role").parquet(path)
+    """One folder per fold and role, so a single fold is read alone.
+
+    Rebalancing gathers each folder's rows but splits a large one over several tasks.
+    """
+    rows = splits.select("fold", "role", "id").hint("rebalance", "fold", "role")
+    rows.write.partitionBy("fold", "role").parquet(path)
 
 
 def load_splits(spark: SparkSession, path: str) -> DataFrame:

@@ -186,3 +186,14 @@ def test_fingerprint_table(spark):
     assert sorted(values(by_text)) == ["CCN", "CCO"] and len(by_text.feature_names) == 512
     by_id = fingerprint_table(df, "smiles", "id", featurizer=lambda c: F.array(F.length(c)))
     assert values(by_id) == {"d1": [3], "d2": [3]}
+
+
+def test_pandas_udf_transform(spark, obs, drugs):
+    import pandas as pd
+
+    @F.pandas_udf("array<int>")
+    def lengths(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: [len(v)])
+
+    frame = PairFrame(obs, {}, {"mol": drugs}).apply(StructureToFingerprint("mol", featurizer=lengths))
+    assert values(frame.drug_features["mol"])["D10"] == [4]
