@@ -172,7 +172,7 @@ def encode_lookup(spark, sf_dir):
     return encode(supply_obs(spark, sf_dir), names, "drug_id", "name").select("id", "drug_id", "name")
 
 
-@query("encode_constant", f"SELECT id, cell_id, 1.5 AS f00, -2.0 AS f01 FROM ({EVENT_OBS_SQL})")
+@query("encode_constant", f"SELECT id, cell_id, CAST(1.5 AS DOUBLE) AS f00, CAST(-2.0 AS DOUBLE) AS f01 FROM ({EVENT_OBS_SQL})")
 def encode_constant(spark, sf_dir):
     encoded = encode(event_obs(spark, sf_dir), FeatureSet.constant([1.5, -2.0]), "cell_id", "x")
     return encoded.select("id", "cell_id", *spread("x", 2))

@@ -42,7 +42,7 @@ def _write_csv(df, path: str) -> None:
 @query(
     "bundle_roundtrip",
     f"SELECT o.id, o.cell_id, o.drug_id, o.label, e.label AS stratum, {spread_sql('embedding', DIM)}, "
-    f"length(drug_id) AS letters, 2.5 AS bias FROM ({EVENT_OBS_SQL}) o JOIN embeddings e ON cell_id = vec_id",
+    f"length(drug_id) AS letters, CAST(2.5 AS DOUBLE) AS bias FROM ({EVENT_OBS_SQL}) o JOIN embeddings e ON cell_id = vec_id",
 )
 def bundle_roundtrip(spark, sf_dir):
     """Save a frame with all kinds of feature sets and metadata; encode what is loaded."""

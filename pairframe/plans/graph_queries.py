@@ -37,7 +37,7 @@ WALKS = f"w1 AS (SELECT graph, src, dst FROM edges), w2 AS ({_twice('w1')}), w4
 
 @query(
     "graph_walk",
-    f"WITH {EDGES}, {WALKS} SELECT DISTINCT graph, src, dst, 1.0 AS weight FROM (FROM w2 UNION ALL FROM w4)",
+    f"WITH {EDGES}, {WALKS} SELECT DISTINCT graph, src, dst, CAST(1.0 AS DOUBLE) AS weight FROM (FROM w2 UNION ALL FROM w4)",
 )
 def graph_walk(spark, sf_dir):
     return walk_edges(cut_lineage(trade_edges(spark, sf_dir)), 6)
