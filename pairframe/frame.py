@@ -169,10 +169,16 @@ class PairFrame:
         drugs_first: bool | None = None,
         shuffle: bool = False,
         seed: int = 0,
+        order_by: str | None = None,
     ) -> Batches:
-        """Encoded mini-batches of these observations, or of explicit (id, cell_id, drug_id) rows."""
+        """Encoded mini-batches of these observations, or of explicit (id, cell_id, drug_id) rows.
+
+        Unshuffled batches follow the numeric column `order_by` (such as `id`) when given.
+        """
         rows = batch_rows(self.obs if obs is None else obs, targets, sample_weights)
-        return Batches(rows, batch_size, shuffle, seed, encode=lambda df: self.encode(df, drugs_first))
+        return Batches(
+            rows, batch_size, shuffle, seed, encode=lambda df: self.encode(df, drugs_first), order_by=order_by
+        )
 
 
 def normalize_responses(

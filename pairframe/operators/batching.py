@@ -15,6 +15,7 @@ from pairframe.operators.ranking import Key, rank_rows, slice_rows
 class Batches:
     """Batches of `rows` in a fixed order, or in a new order each epoch when `shuffle`.
 
+    The fixed order is by hash, or by the numeric column `order_by`.
     Batch k holds positions [k * batch_size, (k + 1) * batch_size); the last may be short.
     `encode` adds features to rows that are already placed, so ordering moves narrow rows.
     """
@@ -25,6 +26,10 @@ class Batches:
     seed: int = 0
     keys: Sequence[Key] = field(default=("id",))
     encode: Callable[[DataFrame], DataFrame] | None = None
+    order_by: str | None = None
+
+    def _lead(self) -> str | None:
+        return None if self.shuffle else self.order_by
 
     def _encoded(self, df: DataFrame) -> DataFrame:
         return df if self.encode is None else self.encode(df)
@@ -44,7 +49,7 @@ class Batches:
 
     def order(self, epoch: int = 0) -> DataFrame:
         """All rows, without features, with their position in the given epoch."""
-        return rank_rows(self.rows, self.keys, self.seed, self._epoch(epoch))
+        return rank_rows(self.rows, self.keys, self.seed, self._epoch(epoch), order_by=self._lead())
 
     def assign(self, epoch: int = 0) -> DataFrame:
         """All rows with position and batch_id."""
@@ -64,6 +69,7 @@ class Batches:
             self.seed,
             self._epoch(epoch),
             at_least=first + 1,
+            order_by=self._lead(),
         )
         return self._encoded(rows)
 

@@ -4,6 +4,10 @@ Rows are ordered by `md5(seed:epoch:keys)`. The leading hex digits of that hash
 the order into at most 16**digits buckets of near-equal size. Only the bucket counts
 are accumulated in one place (their number is bounded by the digits, not by the
 data); rows are ranked inside their bucket and shifted by the bucket's offset.
+
+An order by a numeric column is cut at approximate quantiles instead. A value that is
+itself a limit gets its own range and is cut further by the hash, so a value shared by
+a large part of the rows is spread as well.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from pairframe.functions.guards import required
 GLOBAL_DIGITS = 4
 GROUP_DIGITS = 3
 RUN_LENGTH = 65_536
+RANGES = 256
+TIE_DIGITS = 2
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 Key = str | Column
 
@@ -31,12 +38,60 @@ def order_hash(keys: Sequence[Key], seed: int = 0, epoch: int | None = None) ->
     return F.md5(F.concat_ws(":", *salt, *[_column(k).cast("string") for k in keys]))
 
 
-def _keyed(df: DataFrame, keys: Sequence[Key], seed: int, epoch: int | None, digits: int) -> DataFrame:
-    return df.withColumn("_hash", order_hash(keys, seed, epoch)).withColumn(
-        "_bucket", F.substring("_hash", 1, digits)
+def _range_index(df: DataFrame, column: str) -> Column:
+    """Number of the value range a row falls in; even numbers hold a single value.
+
+    Runs one aggregate for at most RANGES - 1 limits. 0 is null, 2i + 2 is limit i, odd
+    numbers lie between limits, and NaN comes last.
+    """
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in _NUMERIC:
+        raise TypeError(f"cannot order by {column} of type {kind}; use a number")
+    wide = "double" if kind in ("float", "double") else "bigint"
+    x = f"CAST(`{column}` AS {wide})"
+    known = f"NOT isnan({x})" if wide == "double" else "true"
+    shares = [i / RANGES for i in range(1, RANGES)]
+    found = df.filter(F.expr(known)).agg(F.percentile_approx(F.expr(x), shares)).first()[0]
+    limits = sorted(set(found or []))
+
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(2 * low + 1)
+        mid = (low + high) // 2
+        limit = f"CAST('{limits[mid]!r}' AS {wide})"
+        return (
+            f"CASE WHEN {x} < {limit} THEN {tree(low, mid)} WHEN {x} = {limit} THEN {2 * mid + 2} "
+            f"ELSE {tree(mid + 1, high)} END"
+        )
+
+    last = 2 * len(limits) + 2
+    return F.expr(
+        f"CASE WHEN {x} IS NULL THEN 0 WHEN NOT ({known}) THEN {last} ELSE {tree(0, len(limits))} END"
     )
 
 
+def _keyed(
+    df: DataFrame,
+    keys: Sequence[Key],
+    seed: int,
+    epoch: int | None,
+    digits: int,
+    order_by: str | None = None,
+) -> DataFrame:
+    """Add `_hash` and a `_bucket` string; buckets sort like the rows they hold."""
+    hashed = df.withColumn("_hash", order_hash(keys, seed, epoch))
+    if order_by is None:
+        return hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
+    hashed = hashed.withColumn("_range", _range_index(df, order_by))
+    ties = F.when(F.col("_range") % 2 == 0, F.substring("_hash", 1, TIE_DIGITS)).otherwise("")
+    return hashed.withColumn("_bucket", F.concat(F.lpad(F.col("_range").cast("string"), 5, "0"), ties)).drop("_range")
+
+
+def _order(keys: Sequence[Key], order_by: str | None) -> list[Column]:
+    lead = [] if order_by is None else [F.col(order_by)]
+    return [*lead, F.col("_hash"), *[_column(k) for k in keys]]
+
+
 def _offsets(keyed: DataFrame, within: Sequence[str], weight: str | None = None) -> DataFrame:
     """(within, _bucket, _n, _before, _total): at most 16**digits rows per group."""
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -60,22 +115,28 @@ def rank_rows(
     name: str = "position",
     within: Sequence[str] = (),
     total: str | None = None,
+    order_by: str | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in hash order, overall or `within` groups.
 
+    `order_by` names a numeric column that comes before the hash (overall only).
+
     `keys` must identify a row. With `within`, a group is ranked bucket by bucket, so
     a group that holds most rows is still spread over many tasks; null is a group too. `total` names an
     extra column with the number of rows ranked together.
     """
-    keyed = _keyed(df, keys, seed, epoch, GROUP_DIGITS if within else GLOBAL_DIGITS)
+    if within and order_by is not None:
+        raise ValueError("order_by applies to an overall order only")
+    keyed = _keyed(df, keys, seed, epoch, GROUP_DIGITS if within else GLOBAL_DIGITS, order_by)
     if within:
         # a struct is never null itself, so a null group joins its own offsets
         keyed = keyed.withColumn("_group", F.struct(*within))
     group = ["_group"] if within else []
     offsets = _offsets(keyed, group)
     if not within:
-        offsets = F.broadcast(offsets)  # at most 16**GLOBAL_DIGITS short rows
-    order = Window.partitionBy(*group, "_bucket").orderBy("_hash", *[_column(k) for k in keys])
+        # at most 16**GLOBAL_DIGITS, or about RANGES * 16**TIE_DIGITS, short rows
+        offsets = F.broadcast(offsets)
+    order = Window.partitionBy(*group, "_bucket").orderBy(*_order(keys, order_by))
     ranked = keyed.withColumn("_rank", F.row_number().over(order)).join(offsets, [*group, "_bucket"])
     extra = [F.col("_total").alias(total)] if total else []
     return ranked.select(*df.columns, (F.col("_before") + F.col("_rank") - 1).alias(name), *extra)
@@ -89,21 +150,22 @@ def slice_rows(
     seed: int = 0,
     epoch: int | None = None,
     at_least: int = 0,
+    order_by: str | None = None,
 ) -> DataFrame:
-    """Rows whose hash-order position lies in [start, stop).
+    """Rows whose position in the order of `rank_rows` lies in [start, stop).
 
     Buckets wholly inside the range are kept by a filter alone; only the one or two
     buckets the range cuts through are ranked. Fewer than `at_least` rows is an error.
     """
-    keyed = _keyed(df, keys, seed, epoch, GLOBAL_DIGITS)
+    keyed = _keyed(df, keys, seed, epoch, GLOBAL_DIGITS, order_by)
     spans = _offsets(keyed, ()).filter(
         required(F.col("_total") >= at_least, f"fewer than {at_least} rows")
     ).filter((F.col("_before") < stop) & (F.col("_before") + F.col("_n") > start))
     inside = (F.col("_before") >= start) & (F.col("_before") + F.col("_n") <= stop)
-    # bucket tables: at most 16**GLOBAL_DIGITS short rows, and at most two
+    # bucket tables: bounded as in rank_rows, and at most two rows
     whole = F.broadcast(spans.filter(inside).select("_bucket"))
     edges = F.broadcast(spans.filter(~inside).select("_bucket", "_before"))
-    order = Window.partitionBy("_bucket").orderBy("_hash", *[_column(k) for k in keys])
+    order = Window.partitionBy("_bucket").orderBy(*_order(keys, order_by))
     position = F.col("_before") + F.col("_rank") - 1
     cut = (
         keyed.join(edges, "_bucket")

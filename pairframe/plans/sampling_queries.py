@@ -173,6 +173,16 @@ def batch_assign(spark, sf_dir):
     return Batches(event_obs(spark, sf_dir), BATCH).assign()
 
 
+@query(
+    "batch_ordered",
+    f"SELECT *, position // {BATCH} AS batch_id FROM (SELECT *, row_number() OVER (ORDER BY label, "
+    f"md5(concat_ws(':', 0, 0, id)), id) - 1 AS position FROM ({EVENT_OBS_SQL}))",
+)
+def batch_ordered(spark, sf_dir):
+    """Batches in the order of a column with many ties."""
+    return Batches(event_obs(spark, sf_dir), BATCH, order_by="label").assign()
+
+
 @query(
     "batch_slice",
     f"SELECT * EXCLUDE position FROM (SELECT *, {_rank_sql('9, 1')} AS position FROM ({EVENT_OBS_SQL})) "

@@ -107,6 +107,32 @@ def test_epochs(spark):
     assert not mixed.order(0).exceptAll(mixed.order(1)).isEmpty()
 
 
+@pytest.mark.parametrize("ranges", [4, 256])
+def test_ordered_batches(spark, monkeypatch, ranges):
+    from pairframe.operators import ranking
+
+    monkeypatch.setattr(ranking, "RANGES", ranges)
+    values = [7.0] * 60 + [float(i % 5) for i in range(20)] + [None, float("nan"), None, float("nan"), -3.5, 1e-7]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v double")
+    batches = Batches(df, 10, order_by="v")
+    got = {r["id"]: r["position"] for r in batches.order().collect()}
+
+    def place(i):
+        v = values[i]
+        lead = (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+        return (*lead, hashlib.md5(f"0:0:{i}".encode()).hexdigest())
+
+    assert got == {i: n for n, i in enumerate(sorted(range(len(values)), key=place))}
+    assert {r["id"] for r in batches.batch(2).collect()} == {i for i, p in got.items() if p // 10 == 2}
+
+
+def test_order_by_needs_a_number(obs):
+    with pytest.raises(TypeError):
+        Batches(obs, 10, order_by="cell_id").order()
+    with pytest.raises(ValueError):
+        rank_rows(obs, ["id"], within=["cell_id"], order_by="label")
+
+
 def test_write_batches(spark, tmp_path):
     path = str(tmp_path / "b")
     Batches(spark.range(50), 5).write(path, batches_per_shard=3)
