@@ -176,6 +176,7 @@ class PairFrame:
         Unshuffled batches follow the numeric column `order_by` (such as `id`) when given.
         """
         rows = batch_rows(self.obs if obs is None else obs, targets, sample_weights)
+        order_by = {targets: "target", sample_weights: "weight"}.get(order_by, order_by)
         return Batches(
             rows, batch_size, shuffle, seed, encode=lambda df: self.encode(df, drugs_first), order_by=order_by
         )

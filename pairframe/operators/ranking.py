@@ -12,6 +12,7 @@ a large part of the rows is spread as well.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -38,36 +39,44 @@ def order_hash(keys: Sequence[Key], seed: int = 0, epoch: int | None = None) ->
     return F.md5(F.concat_ws(":", *salt, *[_column(k).cast("string") for k in keys]))
 
 
-def _range_index(df: DataFrame, column: str) -> Column:
-    """Number of the value range a row falls in; even numbers hold a single value.
+def _with_range(df: DataFrame, column: str) -> DataFrame:
+    """Add `_range`, the number of the value range a row falls in; even: a single value.
 
     Runs one aggregate for at most RANGES - 1 limits. 0 is null, 2i + 2 is limit i, odd
-    numbers lie between limits, and NaN comes last.
+    numbers lie between limits, and NaN comes last. The limits are searched in two steps,
+    first the block and then inside it.
     """
     kind = df.schema[column].dataType.simpleString()
     if kind not in _NUMERIC:
         raise TypeError(f"cannot order by {column} of type {kind}; use a number")
     wide = "double" if kind in ("float", "double") else "bigint"
-    x = f"CAST(`{column}` AS {wide})"
-    known = f"NOT isnan({x})" if wide == "double" else "true"
+    x = F.col(column).cast(wide)
+    is_nan = F.isnan(x) if wide == "double" else F.lit(False)
     shares = [i / RANGES for i in range(1, RANGES)]
-    found = df.filter(F.expr(known)).agg(F.percentile_approx(F.expr(x), shares)).first()[0]
-    limits = sorted(set(found or []))
-
-    def tree(low: int, high: int) -> str:
-        if low == high:
-            return str(2 * low + 1)
-        mid = (low + high) // 2
-        limit = f"CAST('{limits[mid]!r}' AS {wide})"
-        return (
-            f"CASE WHEN {x} < {limit} THEN {tree(low, mid)} WHEN {x} = {limit} THEN {2 * mid + 2} "
-            f"ELSE {tree(mid + 1, high)} END"
-        )
-
-    last = 2 * len(limits) + 2
-    return F.expr(
-        f"CASE WHEN {x} IS NULL THEN 0 WHEN NOT ({known}) THEN {last} ELSE {tree(0, len(limits))} END"
+    found = df.filter(~is_nan).agg(F.percentile_approx(x, shares)).first()[0]
+    limits = sorted(set(found or [0]))
+    size = math.isqrt(len(limits)) + 1
+    blocks = [limits[i : i + size] for i in range(0, len(limits), size)]
+
+    def literal(values: list) -> Column:
+        return F.expr("array(" + ", ".join(f"CAST('{v!r}' AS {wide})" for v in values) + ")")
+
+    def below(values: Column, inclusive: bool) -> Column:
+        return F.size(F.filter(values, lambda v: (v <= F.col("_x")) if inclusive else (v < F.col("_x"))))
+
+    searched = (
+        df.withColumn("_x", x)
+        .withColumn("_nth", below(literal([b[0] for b in blocks]), True) - 1)
+        .withColumn("_block", F.get(F.array(*[literal(b) for b in blocks]), F.greatest(F.col("_nth"), F.lit(0))))
     )
+    smaller = F.greatest(F.col("_nth"), F.lit(0)) * size + below(F.col("_block"), False)
+    exact = F.array_contains("_block", F.col("_x")).cast("int")
+    number = (
+        F.when(F.col("_x").isNull(), 0)
+        .when(is_nan, 2 * len(limits) + 2)
+        .otherwise(2 * smaller + 1 + exact)
+    )
+    return searched.withColumn("_range", number).drop("_x", "_nth", "_block")
 
 
 def _keyed(
@@ -82,7 +91,7 @@ def _keyed(
     hashed = df.withColumn("_hash", order_hash(keys, seed, epoch))
     if order_by is None:
         return hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
-    hashed = hashed.withColumn("_range", _range_index(df, order_by))
+    hashed = _with_range(hashed, order_by)
     ties = F.when(F.col("_range") % 2 == 0, F.substring("_hash", 1, TIE_DIGITS)).otherwise("")
     return hashed.withColumn("_bucket", F.concat(F.lpad(F.col("_range").cast("string"), 5, "0"), ties)).drop("_range")
 
@@ -154,26 +163,21 @@ def slice_rows(
 ) -> DataFrame:
     """Rows whose position in the order of `rank_rows` lies in [start, stop).
 
-    Buckets wholly inside the range are kept by a filter alone; only the one or two
-    buckets the range cuts through are ranked. Fewer than `at_least` rows is an error.
+    Rows of buckets the range does not touch are dropped while scanning, so only about
+    stop - start rows are shuffled and ranked. Fewer than `at_least` rows is an error.
     """
     keyed = _keyed(df, keys, seed, epoch, GLOBAL_DIGITS, order_by)
     spans = _offsets(keyed, ()).filter(
         required(F.col("_total") >= at_least, f"fewer than {at_least} rows")
     ).filter((F.col("_before") < stop) & (F.col("_before") + F.col("_n") > start))
-    inside = (F.col("_before") >= start) & (F.col("_before") + F.col("_n") <= stop)
-    # bucket tables: bounded as in rank_rows, and at most two rows
-    whole = F.broadcast(spans.filter(inside).select("_bucket"))
-    edges = F.broadcast(spans.filter(~inside).select("_bucket", "_before"))
     order = Window.partitionBy("_bucket").orderBy(*_order(keys, order_by))
     position = F.col("_before") + F.col("_rank") - 1
-    cut = (
-        keyed.join(edges, "_bucket")
+    return (
+        keyed.join(F.broadcast(spans.select("_bucket", "_before")), "_bucket")  # bounded as in rank_rows
         .withColumn("_rank", F.row_number().over(order))
         .filter((position >= start) & (position < stop))
+        .select(df.columns)
     )
-    kept = keyed.join(whole, "_bucket", "left_semi")
-    return kept.select(df.columns).unionByName(cut.select(df.columns))
 
 
 def number_rows(df: DataFrame, name: str, order_by: Sequence[Key] | None = None, seed: int = 0) -> DataFrame:

@@ -156,4 +156,6 @@ def test_frame_batches(spark, obs):
     batches = PairFrame(obs, {"x": cells}, {"k": drugs}).batches(32)
     assert len(batches) == 4
     assert batches.batch(3).count() == 4
+    first = PairFrame(obs, {"x": cells}, {"k": drugs}).batches(32, order_by="id").batch(0)
+    assert sorted(r["id"] for r in first.collect()) == list(range(32))
     assert batches.batch(0).columns == ["id", "cell_id", "drug_id", "target", "weight", "cell_x", "drug_k"]
