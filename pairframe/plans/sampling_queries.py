@@ -16,13 +16,13 @@ from pairframe.plans.adapters import (
     event_obs,
     fold_table,
     scale_sql,
+    spread,
     supply_obs,
     tidy,
     user_roles,
 )
 from pairframe.plans.catalog import query
 from pairframe.plans.feature_queries import CELLS_FIRST, PAIR_SQL, supply_frame
-from pairframe.plans.adapters import spread
 from pairframe.session import new_folder
 from pairframe.sources.splits import load_split, load_splits, save_splits
 
