@@ -23,4 +23,6 @@ def test_entry_runs(spark):
     from __spark_entry__ import entry, oracle_sql, queries
 
     assert entry(spark).columns == ["id", "cell_id", "drug_id", "label"]
-    assert set(oracle_sql()) == set(queries())
+    assert set(CATALOG.SQL) == set(CATALOG.QUERIES)
+    assert set(CATALOG.QUERIES) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
