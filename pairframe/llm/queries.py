@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairframe.llm.bpe import coded_documents
 from pairframe.llm.common import table
 from pairframe.llm.quality import scored_documents
+from pairframe.llm.sharding import sharded_documents
 
 QUERIES = {}
 SQL = {}
@@ -17,6 +18,11 @@ def query(function):
     return function
 
 
+@query
+def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
