@@ -16,7 +16,9 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from pairframe.llm.common import Workspace
 
 POOLED_SHARE = 0.3
 IDENTITY_SHARE = 0.02
@@ -103,7 +105,25 @@ def _vectors(texts: list) -> np.ndarray:
     return np.array([statistics(t) for t in texts], float).reshape(len(texts), DIM)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> QuadraticDiscriminant:
+def vectors(docs: DataFrame, text_col: str = "text", out: str = "vector") -> DataFrame:
+    """`docs` with its text column replaced by the vector of the text's statistics."""
+    others = [c for c in docs.columns if c not in (text_col, out)]
+
+    def task(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                value = _vectors(part.column(part.schema.get_field_index(text_col)).to_pylist())
+                columns = [part.column(part.schema.get_field_index(c)) for c in others]
+                columns.append(pa.array(value.tolist(), pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays(columns, names=[*others, out])
+
+    kept = docs.select(*[F.col(f"`{c}`") for c in (*others, text_col)])
+    fields = [f for f in kept.schema.fields if f.name in others]
+    return kept.mapInArrow(task, StructType([*fields, StructField(out, ArrayType(DoubleType()))]))
+
+
+def fit(labelled: DataFrame, vector_col: str = "vector", label_col: str = "label") -> QuadraticDiscriminant:
     """Fit on all rows whose label is 0 or 1; rows with another or no label are ignored.
 
     Counts, sums and products of the statistics are added up per class inside the tasks
@@ -113,10 +133,10 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -
     def moments(batches):
         for batch in batches:
             labels = np.array(batch.column(1).to_pylist())
-            vectors = _vectors(batch.column(0).to_pylist())
+            values = np.array(batch.column(0).to_pylist(), float).reshape(-1, DIM)
             rows = []
             for label in (0, 1):
-                x = vectors[labels == label]
+                x = values[labels == label]
                 rows.append(np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0, 1]), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["label", "m"]
@@ -124,7 +144,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -
 
     size = 1 + DIM + DIM * DIM
     known = labelled.filter(F.col(label_col).isin(0, 1)).select(
-        F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")
+        F.col(vector_col).alias("vector"), F.col(label_col).cast("int").alias("label")
     )
     sums = known.mapInArrow(moments, "label bigint, m array<double>").select("label", F.posexplode("m").alias("i", "v"))
     found = sums.groupBy("label", "i").agg(F.sum("v").alias("v")).collect()  # 2 x (1 + DIM + DIM^2) numbers
@@ -179,21 +199,38 @@ def remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
-def train(docs: DataFrame, labels: DataFrame) -> QuadraticDiscriminant:
-    """Fit on the labelled documents outside the held-out quarter.
+def score_vectors(rows: DataFrame, model: QuadraticDiscriminant, vector_col: str = "vector", out: str = "score") -> DataFrame:
+    """`rows` with the vector column replaced by the score."""
+    others = [c for c in rows.columns if c not in (vector_col, out)]
+
+    def task(batches):
+        for batch in batches:
+            values = np.array(batch.column(batch.schema.get_field_index(vector_col)).to_pylist(), float)
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
+            columns.append(pa.array(model.scores(values.reshape(-1, DIM))))
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, out])
+
+    kept = rows.select(*[F.col(f"`{c}`") for c in (*others, vector_col)])
+    fields = [f for f in kept.schema.fields if f.name in others]
+    return kept.mapInArrow(task, StructType([*fields, StructField(out, DoubleType())]))
+
+
+def train(rows: DataFrame, labels: DataFrame) -> QuadraticDiscriminant:
+    """Fit on the labelled rows (doc_id, vector) outside the held-out quarter.
 
     A document labelled twice counts with its smallest label; documents are matched on
-    doc_id, so null ids are never training rows.
+    doc_id, so null ids are never training rows. Texts do not take part in the join.
     """
     marked = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    rows = docs.filter(remainder(4) != 2).select("doc_id", "text").join(marked, "doc_id")
-    return fit(rows)
+    return fit(rows.filter(remainder(4) != 2).select("doc_id", "vector").join(marked, "doc_id"))
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document; texts are read once."""
     held_out = F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out")
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
+    work = Workspace(docs.sparkSession, "quality")
+    rows = work.save(vectors(docs.select("doc_id", "text")), "vectors")
+    scored = score_vectors(rows, train(rows, labels))
     return scored.select(
         "doc_id", held_out, "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
     )
