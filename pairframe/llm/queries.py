@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairframe.llm.bpe import coded_documents
 from pairframe.llm.common import table
 from pairframe.llm.licenses import licensed_documents
+from pairframe.llm.minhash import duplicate_documents
 from pairframe.llm.quality import scored_documents
 from pairframe.llm.sharding import sharded_documents
 
@@ -29,6 +30,11 @@ def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licensed_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
