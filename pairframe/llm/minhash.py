@@ -7,9 +7,11 @@ two signatures that differ in at most 2 x chunks - 1 = `RADIUS` symbols share a
 within that distance are confirmed on their full shingle sets.
 
 No bucket is expanded into all its pairs. First every member is paired with the smallest
-member of its bucket; confirmed pairs are merged into components. Only buckets that still
-hold more than one component then pair members of different components, since links inside
-a component add nothing.
+member of its bucket, and confirmed pairs are merged into components. In buckets that still
+hold several components every member is paired with its nearest ones of other components,
+again confirmed and merged. Only buckets that even then hold more than one component pair
+all members of different components: links inside a component add nothing, so no link that
+matters is left out.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ SIZE, CHUNK = 64, 4
 RADIUS = 2 * (SIZE // CHUNK) - 1
 PERCENT = 75
 MEMBERS_PER_BLOCK = 512
+MEMBERS_PER_CELL = 8192
+NEAREST = 2
+CACHED_SETS = 2048
 
 _FLIPS = np.random.default_rng(20240229).integers(0, 2**63, SIZE, dtype=np.uint64)
 _FACTORS = np.random.default_rng(20240301).integers(0, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,18 +94,24 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def task(batches):
-        last, last_set = None, None
+        sets: dict[int, np.ndarray] = {}
+
+        def of(node: int, text: str) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= CACHED_SETS:
+                    sets.clear()
+                sets[node] = shingle_set(text, width)
+            return sets[node]
+
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 a, b, text_a, text_b = (c.to_pylist() for c in batch.slice(start, 256).columns)
-                keep = []
-                for i in range(len(a)):
-                    if a[i] != last:
-                        last, last_set = a[i], shingle_set(text_a[i], width)
-                    other = shingle_set(text_b[i], width)
-                    both = overlap(last_set, other)
-                    keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
-                out = [(x, y) for x, y, k in zip(a, b, keep) if k]
+                out = []
+                for x, y, s, t in zip(a, b, text_a, text_b):
+                    one, two = of(x, s), of(y, t)
+                    both = overlap(one, two)
+                    if 100 * both >= percent * (len(one) + len(two) - both):
+                        out.append((x, y))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"]
                 )
@@ -108,56 +119,61 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return rows.mapInArrow(task, "a bigint, b bigint")
 
 
-def _within(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs whose signatures differ in at most `RADIUS` symbols."""
-    left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-    right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
+def _within(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures differ in at most `RADIUS` symbols and whose sizes allow the similarity."""
+    left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
+    right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
     differ = sum((F.get("sa", i) != F.get("sb", i)).cast("int") for i in range(SIZE))
-    return pairs.join(right, "b").join(left, "a").filter(differ <= RADIUS).select("a", "b")
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.join(right, "b").join(left, "a").filter(sizes & (differ <= RADIUS)).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of one bucket, in different components and within the radius.
+def _cross_pairs(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """(a, b) of one bucket, in different components, within the radius and of fitting sizes.
 
-    `members` has key, node, component and signature. A bucket is dealt into blocks of about
-    `MEMBERS_PER_BLOCK`, and every two blocks of a bucket meet in one task, so a large
-    bucket is compared by many tasks and none holds more than two blocks.
+    `members` has key, node, component, n_shingles and signature. A bucket is dealt into
+    blocks of about `MEMBERS_PER_BLOCK`, and every two blocks of a bucket meet in one task,
+    so a large bucket is compared by many tasks and none holds more than two blocks of it.
+    Small buckets share cells. With `nearest` each member keeps only that many partners per
+    cell, those of the smallest distance.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    cells = max(1, -(-members.count() // MEMBERS_PER_CELL))
     blocks = F.ceil(F.col("n") / MEMBERS_PER_BLOCK).cast("int")
     dealt = members.join(sizes, "key").select(
         "*", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = dealt.select("key", "node", "component", "signature", "block", other).select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-        "key",
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
-        "block",
-        "node",
-        "component",
-        "signature",
-    )
+    rows = dealt.select("*", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(cells))).otherwise(F.xxhash64("key", "low", "high"))
+    rows = rows.select(cell.alias("cell"), "key", "low", "high", "block", "node", "component", "n_shingles", "signature")
 
     def compare(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        component = table.column("component").to_numpy()
-        block = table.column("block").to_numpy()
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        sigs = np.array(table.column("signature").to_pylist(), np.int16).reshape(len(node), SIZE)
-        first = np.flatnonzero(block == low)
-        second = np.flatnonzero(block == high)
-        out_a, out_b = [], []
-        for i in first:
-            near = second[(sigs[second] != sigs[i]).sum(1) <= RADIUS]
-            near = near[(component[near] != component[i]) & ((node[near] > node[i]) if low == high else True)]
-            out_a.append(np.minimum(node[near], node[i]))
-            out_b.append(np.maximum(node[near], node[i]))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
-
-    return rows.groupBy("cell", "key", "low", "high").applyInArrow(compare, "a bigint, b bigint")
+        get = lambda c: table.column(c).to_numpy()
+        key, low, high, block, node, component = (get(c) for c in ("key", "low", "high", "block", "node", "component"))
+        size = get("n_shingles").astype(np.int64)
+        sigs = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
+        order = np.lexsort((high, low, key))
+        cut = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
+        pairs = [np.empty((0, 2), np.int64)]
+        for rows_of in np.split(order, cut):
+            first, second = rows_of[block[rows_of] == low[rows_of]], rows_of[block[rows_of] == high[rows_of]]
+            for i in first:
+                fits = (component[second] != component[i]) & (
+                    100 * np.minimum(size[second], size[i]) >= percent * np.maximum(size[second], size[i])
+                )
+                others = second[fits]
+                if not len(others):
+                    continue
+                distance = (sigs[others] != sigs[i]).sum(1)
+                others, distance = others[distance <= RADIUS], distance[distance <= RADIUS]
+                if nearest and len(others) > nearest:
+                    others = others[np.argpartition(distance, nearest)[:nearest]]
+                pairs.append(np.stack([np.minimum(node[others], node[i]), np.maximum(node[others], node[i])], 1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return rows.groupBy("cell").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -182,7 +198,11 @@ def near_duplicates(
     nodes = work.save(
         rows.filter("node is not null")
         .groupBy("node")
-        .agg(F.first("signature").alias("signature"), F.min("text_hash").alias("text_hash")),
+        .agg(
+            F.first("signature").alias("signature"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.min("text_hash").alias("text_hash"),
+        ),
         "nodes",
     )
     keyed = nodes.select("node", F.explode(chunk_keys(F.col("signature"))).alias("key"))
@@ -191,9 +211,8 @@ def near_duplicates(
         "leaders",
     )
     members = work.save(keyed.join(leaders, "key"), "members")
-    signatures = nodes.select("node", "signature")
     starred = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    star = work.save(_within(starred, signatures), "star")
+    star = work.save(_within(starred, nodes, percent), "star")
 
     # texts of the nodes that share a key with another, one per node
     wanted = members.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
@@ -203,19 +222,21 @@ def near_duplicates(
     links = work.save(_confirm(star, texts, width, percent), "star-links")
     merged = work.save(components(work, links), "merged")
 
-    placed = members.select("key", "node").join(merged, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
-    )
-    placed = work.save(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    open_members = placed.join(open_keys.select("key"), "key").join(signatures, "node")
-    cross = work.save(_cross_pairs(open_members).distinct(), "cross")
-    more = work.save(_confirm(cross, texts, width, percent), "cross-links")
-    whole = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = work.save(components(work, whole), "components")
+    for nearest in (NEAREST, None):
+        placed = members.select("key", "node").join(merged, "node", "left").select(
+            "key", "node", F.coalesce("component", "node").alias("component")
+        )
+        placed = work.save(placed, "placed")
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+        open_members = placed.join(open_keys.select("key"), "key").join(nodes.drop("text_hash"), "node")
+        open_members = work.save(open_members, "open")
+        cross = work.save(_cross_pairs(open_members, percent, nearest).distinct(), "cross")
+        more = _confirm(cross, texts, width, percent)
+        whole = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        merged = work.save(components(work, whole), "merged")
 
     placed_rows = work.save(
-        rows.select("doc_id", "text_hash", "n_shingles", "node").join(final, "node", "left").select(
+        rows.select("doc_id", "text_hash", "n_shingles", "node").join(merged, "node", "left").select(
             "doc_id", "text_hash", "n_shingles", F.coalesce("component", "node").alias("component")
         ),
         "placed-rows",
