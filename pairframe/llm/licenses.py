@@ -256,7 +256,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kept = [c for c in docs.columns if c not in added]
     form = word_form(F.col(text_col))
-    formed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), form.alias("_form"))
+    # as a generated column the form is computed once, not in every condition on it
+    formed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.explode(F.array(form)).alias("_form"))
     digest = F.sha2("_form", 256)
     hits = formed.filter(gated(F.col("_form"))).select(digest.alias("_key"), "_form").dropDuplicates(["_key"])
     places = detect(hits, "_key", "_form")
