@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairframe.llm.bpe import coded_documents
 from pairframe.llm.common import table
 from pairframe.llm.licenses import licensed_documents
+from pairframe.llm.lines import line_counts
 from pairframe.llm.minhash import duplicate_documents
 from pairframe.llm.quality import scored_documents
 from pairframe.llm.sharding import sharded_documents
@@ -43,3 +44,8 @@ def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_counts(table(spark, sf_dir, "documents"))
