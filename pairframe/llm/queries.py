@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairframe.llm.bpe import coded_documents
 from pairframe.llm.common import table
 from pairframe.llm.decontaminate import leaking_documents
+from pairframe.llm.imatch import fingerprinted_documents
 from pairframe.llm.licenses import licensed_documents
 from pairframe.llm.lines import line_counts
 from pairframe.llm.minhash import duplicate_documents
@@ -42,6 +43,11 @@ def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_imatch_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprinted_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
