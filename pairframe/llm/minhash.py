@@ -6,12 +6,14 @@ differ, so a chunk has `CHUNK` keys, each without one symbol. By the pigeonhole
 two signatures that differ in at most 2 x chunks - 1 = `RADIUS` symbols share a key. Pairs
 within that distance are confirmed on their full shingle sets.
 
-No bucket is expanded into all its pairs. First every member is paired with the smallest
-member of its bucket, and confirmed pairs are merged into components. In buckets that still
-hold several components every member is paired with its nearest ones of other components,
-again confirmed and merged. Only buckets that even then hold more than one component pair
-all members of different components: links inside a component add nothing, so no link that
-matters is left out.
+No bucket is expanded into rows for all its pairs. First every member is paired with the
+smallest member of its bucket, and confirmed pairs are merged into components. Buckets that
+still hold several components are compared inside their tasks, on signatures alone; what
+leaves a task is a spanning forest of the pairs within the radius, at most a row per member.
+The forest's components are clusters that hold every pair left to confirm. A cluster's texts
+meet block by block, each pair within the radius and not yet connected is confirmed on the
+full sets, and again only a forest of confirmed links leaves the task. Links inside a
+component add nothing, so no link that matters is left out.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ SIZE, CHUNK = 64, 4
 RADIUS = 2 * (SIZE // CHUNK) - 1
 PERCENT = 75
 MEMBERS_PER_BLOCK = 512
-MEMBERS_PER_CELL = 8192
-NEAREST = 2
+MEMBERS_PER_CELL = 16384
+BYTES_PER_BLOCK = 4 << 20
+BYTES_PER_CELL = 16 << 20
 CACHED_SETS = 2048
 
 _FLIPS = np.random.default_rng(20240229).integers(0, 2**63, SIZE, dtype=np.uint64)
@@ -128,54 +131,107 @@ def _within(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(sizes & (differ <= RADIUS)).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """(a, b) of one bucket, in different components, within the radius and of fitting sizes.
+def _dealt(rows: DataFrame, group: str, blocks: Column, cells: int) -> DataFrame:
+    """Rows with `cell`, `low` and `high`: every two blocks of a group meet in one cell.
 
-    `members` has key, node, component, n_shingles and signature. A bucket is dealt into
-    blocks of about `MEMBERS_PER_BLOCK`, and every two blocks of a bucket meet in one task,
-    so a large bucket is compared by many tasks and none holds more than two blocks of it.
-    Small buckets share cells. With `nearest` each member keeps only that many partners per
-    cell, those of the smallest distance.
+    A group of one block shares its cell with others; of a larger one each pair of blocks
+    is a cell. `blocks` may use the columns of `rows`.
+    """
+    dealt = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("*", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    shared, own = F.pmod(F.xxhash64(group), F.lit(cells)), F.xxhash64(group, "low", "high")
+    return met.withColumn("cell", F.when(F.col("blocks") == 1, shared).otherwise(own)).drop("block", "blocks", "other")
+
+
+def _groups(table: pa.Table, group: str) -> list[np.ndarray]:
+    """Row numbers of each (group, low, high) of a cell."""
+    keys = [table.column(c).to_numpy() for c in (group, "low", "high")]
+    order = np.lexsort(keys[::-1])
+    changed = sum((np.diff(k[order]) != 0).astype(int) for k in keys)
+    return np.split(order, np.flatnonzero(changed) + 1)
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
+
+
+def _forest(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect all members of a bucket that are linked by pairs within the radius.
+
+    `members` has key, node, component, n_shingles and signature; pairs of one component or
+    of unfit sizes do not count.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     cells = max(1, -(-members.count() // MEMBERS_PER_CELL))
-    blocks = F.ceil(F.col("n") / MEMBERS_PER_BLOCK).cast("int")
-    dealt = members.join(sizes, "key").select(
-        "*", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = dealt.select("*", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(cells))).otherwise(F.xxhash64("key", "low", "high"))
-    rows = rows.select(cell.alias("cell"), "key", "low", "high", "block", "node", "component", "n_shingles", "signature")
+    rows = _dealt(members.join(sizes, "key"), "key", F.ceil(F.col("n") / MEMBERS_PER_BLOCK), cells).drop("n")
 
     def compare(table: pa.Table) -> pa.Table:
-        get = lambda c: table.column(c).to_numpy()
-        key, low, high, block, node, component = (get(c) for c in ("key", "low", "high", "block", "node", "component"))
-        size = get("n_shingles").astype(np.int64)
-        sigs = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
-        order = np.lexsort((high, low, key))
-        cut = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
-        pairs = [np.empty((0, 2), np.int64)]
-        for rows_of in np.split(order, cut):
-            first, second = rows_of[block[rows_of] == low[rows_of]], rows_of[block[rows_of] == high[rows_of]]
-            for i in first:
-                fits = (component[second] != component[i]) & (
-                    100 * np.minimum(size[second], size[i]) >= percent * np.maximum(size[second], size[i])
-                )
-                others = second[fits]
-                if not len(others):
-                    continue
-                distance = (sigs[others] != sigs[i]).sum(1)
-                others, distance = others[distance <= RADIUS], distance[distance <= RADIUS]
-                if nearest and len(others) > nearest:
-                    others = others[np.argpartition(distance, nearest)[:nearest]]
-                pairs.append(np.stack([np.minimum(node[others], node[i]), np.maximum(node[others], node[i])], 1))
-        found = np.unique(np.concatenate(pairs), axis=0)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+        node, component = (table.column(c).to_numpy() for c in ("node", "component"))
+        size, sigs = table.column("n_shingles").to_numpy(), _signatures(table)
+        out = [np.empty((0, 2), np.int64)]
+        for of in _groups(table, "key"):
+            near = np.stack([(sigs[of] != sigs[i]).sum(1) <= RADIUS for i in of])
+            near &= component[of][:, None] != component[of]
+            near &= 100 * np.minimum(size[of][:, None], size[of]) >= percent * np.maximum(size[of][:, None], size[of])
+            label = np.arange(len(of))
+            while True:
+                least = np.minimum(label, np.where(near, label, len(of)).min(1))
+                least = least[least]
+                if (least == label).all():
+                    break
+                label = least
+            joined = np.flatnonzero(label != np.arange(len(of)))
+            out.append(np.stack([node[of[label[joined]]], node[of[joined]]], 1))
+        # one forest for all buckets of the cell
+        ends, index = np.unique(np.concatenate(out), return_inverse=True)
+        u, v = index.reshape(-1, 2).T
+        label = np.arange(len(ends))
+        while (label[u] != label[v]).any():
+            least = np.minimum(label[u], label[v])
+            np.minimum.at(label, label[u], least)
+            np.minimum.at(label, label[v], least)
+            label = label[label]
+        joined = np.flatnonzero(label != np.arange(len(ends)))
+        return pa.table({"a": ends[label[joined]], "b": ends[joined]})
 
     return rows.groupBy("cell").applyInArrow(compare, "a bigint, b bigint")
 
 
+def _confirm_clusters(clustered: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links between components, a forest of them per cell.
+
+    `clustered` has cluster, node, component, n_shingles, signature and text.
+    """
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    blocks = F.greatest(F.ceil(F.col("n") / MEMBERS_PER_BLOCK), F.ceil(F.col("bytes") / BYTES_PER_BLOCK), F.lit(1))
+    rows = _dealt(clustered.join(sizes, "cluster"), "cluster", blocks, max(1, -(-total // BYTES_PER_CELL))).drop("n", "bytes")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        node, component = (table.column(c).to_numpy() for c in ("node", "component"))
+        size, sigs, text = table.column("n_shingles").to_numpy(), _signatures(table), table.column("text")
+        a, b = [], []
+        for of in _groups(table, "cluster"):
+            sets = [shingle_set(text[int(i)].as_py(), width) for i in of]
+            _, label = np.unique(component[of], return_inverse=True)
+            for i in range(len(of)):
+                near = (sigs[of] != sigs[of[i]]).sum(1) <= RADIUS
+                near &= 100 * np.minimum(size[of], size[of[i]]) >= percent * np.maximum(size[of], size[of[i]])
+                near[: i + 1] = False
+                for j in np.flatnonzero(near & (label != label[i])):
+                    if label[j] == label[i]:
+                        continue
+                    both = overlap(sets[i], sets[j])
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        label[label == label[j]] = label[i]
+                        a.append(node[of[i]])
+                        b.append(node[of[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("cell").applyInArrow(confirm, "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
@@ -222,18 +278,25 @@ def near_duplicates(
     links = work.save(_confirm(star, texts, width, percent), "star-links")
     merged = work.save(components(work, links), "merged")
 
-    for nearest in (NEAREST, None):
-        placed = members.select("key", "node").join(merged, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("component")
-        )
-        placed = work.save(placed, "placed")
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-        open_members = placed.join(open_keys.select("key"), "key").join(nodes.drop("text_hash"), "node")
-        open_members = work.save(open_members, "open")
-        cross = work.save(_cross_pairs(open_members, percent, nearest).distinct(), "cross")
-        more = _confirm(cross, texts, width, percent)
-        whole = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        merged = work.save(components(work, whole), "merged")
+    placed = members.select("key", "node").join(merged, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component")
+    )
+    placed = work.save(placed, "placed")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    described = nodes.drop("text_hash")
+    open_members = placed.join(open_keys.select("key"), "key").join(described, "node")
+    forest = work.save(_forest(work.save(open_members, "open"), percent), "forest")
+    clusters = work.save(components(work, forest), "clusters")
+    clustered = (
+        clusters.select("node", F.col("component").alias("cluster"))
+        .join(merged, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .join(described, "node")
+        .join(texts, "node")
+    )
+    more = work.save(_confirm_clusters(work.save(clustered, "clustered"), width, percent), "cluster-links")
+    whole = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    merged = work.save(components(work, whole), "components")
 
     placed_rows = work.save(
         rows.select("doc_id", "text_hash", "n_shingles", "node").join(merged, "node", "left").select(
