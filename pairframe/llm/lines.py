@@ -30,19 +30,18 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def exploded(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, line_no, line, words) of all lines with enough words.
-
-    Lines end at line feeds; words lie between spaces, tabs and carriage returns.
-    """
+def raw_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line_no, line): every line, lower-cased, tabs as spaces."""
     clean = F.lower(F.replace(F.replace("text", F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
-    lines = docs.select(
-        F.col("doc_id"),
-        text_hash(F.col("text")).alias("text_hash"),
-        F.posexplode(F.split(clean, "\n")).alias("line_no", "line"),
+    return docs.select(
+        F.col("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.posexplode(F.split(clean, "\n")).alias("line_no", "line")
     )
-    words = F.array_remove(F.split("line", " "), "")
-    return lines.withColumn("words", words).filter(F.size("words") >= min_words)
+
+
+def worded(lines: DataFrame, min_words: int) -> DataFrame:
+    """Lines with enough words and, once, the array of their words."""
+    words = F.explode(F.array(F.array_remove(F.split("line", " "), ""))).alias("words")
+    return lines.select("*", words).filter(F.size("words") >= min_words)
 
 
 def tokens(words: Column) -> Column:
@@ -102,12 +101,12 @@ def may_hold(words: list[int], columns: list[str]) -> Column:
 LINE = ["doc_id", "text_hash", "line_no"]
 
 
-def similar_pairs(work: Workspace, lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def similar_pairs(work: Workspace, lines: DataFrame, pairs: DataFrame, similarity: float, min_words: int) -> DataFrame:
     """The later lines of the pairs (later, earlier: structs of LINE) that reach the similarity."""
     ids = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).select("id.*").distinct()
     ids = work.save(ids, "ids")
-    maybe = lines.filter(may_hold(member_filter(ids, LINE), LINE))
-    sets = maybe.join(ids, LINE).select(F.struct(*LINE).alias("id"), tokens(F.col("words")).alias("tokens"))
+    maybe = lines.filter(may_hold(member_filter(ids, LINE), LINE)).join(ids, LINE)
+    sets = worded(maybe, min_words).select(F.struct(*LINE).alias("id"), tokens(F.col("words")).alias("tokens"))
     sets = work.save(sets.dropDuplicates(["id"]), "sets")
     late, early = (sets.select(F.col("id").alias(n), F.col("tokens").alias(f"{n}_tokens")) for n in ("later", "earlier"))
     both = F.size(F.array_intersect("later_tokens", "earlier_tokens"))
@@ -115,6 +114,18 @@ def similar_pairs(work: Workspace, lines: DataFrame, pairs: DataFrame, similarit
     return pairs.join(late, "later").join(early, "earlier").filter(both >= similarity * whole).select("later").distinct()
 
 
+def possible(candidates: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (later, earlier) that the sizes and places of all their shared prefix tokens allow.
+
+    What can still be shared lies behind the last shared token of the prefixes, in both.
+    """
+    met = candidates.groupBy("later", "earlier").agg(
+        F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.count("*").alias("met"), F.max("at1").alias("at1"), F.max("at2").alias("at2")
+    )
+    most = F.col("met") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
+    return met.filter(most >= _least_overlap(F.col("n1"), F.col("n2"), similarity)).select("later", "earlier")
+
+
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, removed): sorted numbers (from 0) of the lines that go, per document that loses any.
 
@@ -125,12 +136,13 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     """
     work = Workspace(docs.sparkSession, "lines")
     safe = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
-    lines = exploded(safe, min_words)
+    raw = raw_lines(safe)
+    lines = worded(raw, min_words)
     levels = constant_array(rarity_levels(lines), "int")
     low = (1 << LEVELS_SHIFT) - 1
     code = lambda t: F.shiftleft(F.get(levels, bucket(t)).cast("long"), LEVELS_SHIFT).bitwiseOR(t.bitwiseAND(F.lit(low)))
     ordered = F.sort_array(F.transform(tokens(F.col("words")), code))
-    line_hash = F.xxhash64(F.array_join("words", " "))
+    line_hash = F.xxhash64(F.trim("line"))
     # one member per distinct line, at its first place
     coded = lines.select(*LINE, line_hash.alias("line_hash"), ordered.alias("codes")).select(
         *LINE,
@@ -151,34 +163,27 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     )
     firsts = work.save(members.groupBy("code").agg(F.min(F.struct("id", "n", "at")).alias("first")), "firsts")
 
-    def fits(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
-        least = _least_overlap(n1, n2, similarity)
-        sizes = F.least(n1, n2) >= F.greatest(n1, n2) * similarity - 1e-9
-        return sizes & (F.least(n1 - at1, n2 - at2) >= least - F.least(at1, at2))
-
-    star = work.save(
-        members.join(firsts, "code")
-        .filter((F.col("id") > F.col("first.id")) & fits(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at")))
-        .select(F.col("id").alias("later"), F.col("first.id").alias("earlier"))
-        .distinct(),
-        "star",
-    )
-    gone = work.save(similar_pairs(work, lines, star, similarity), "gone")
-    # members that still stand meet every earlier member of their buckets but the first
-    standing = members.join(gone, members["id"] == gone["later"], "left_anti")
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Candidates of one code: later and earlier member with sizes and places in the prefix."""
+        sizes = F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9
+        return left.join(right, "code").filter((F.col("later") > F.col("earlier")) & sizes)
+
+    late = members.select("code", F.col("id").alias("later"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    first = firsts.select("code", F.col("first.id").alias("earlier"), F.col("first.n").alias("n2"), F.col("first.at").alias("at2"))
     early = members.select("code", F.col("id").alias("earlier"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    rest = (
-        standing.join(early, "code")
-        .filter((F.col("id") > F.col("earlier")) & fits(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
-        .select(F.col("id").alias("later"), "earlier")
-        .distinct()
-        .join(star, ["later", "earlier"], "left_anti")
+    # with one bucket at a time the places of single tokens bound the overlap
+    star = meet(late, first).filter(
+        F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) + F.least("at1", "at2") >= _least_overlap(F.col("n1"), F.col("n2"), similarity)
     )
-    more = similar_pairs(work, lines, work.save(rest, "rest"), similarity)
+    star = work.save(star.select("later", "earlier").distinct(), "star")
+    gone = work.save(similar_pairs(work, raw, star, similarity, min_words), "gone")
+    # members that still stand meet every earlier member of their buckets
+    rest = possible(meet(late.join(gone, "later", "left_anti"), early), similarity).join(star, ["later", "earlier"], "left_anti")
+    more = similar_pairs(work, raw, work.save(rest, "rest"), similarity, min_words)
     near = gone.unionByName(more).select("later.*")
 
     repeated = distinct.filter("copies > 1").select("line_hash", "id")
-    places = lines.select(*LINE, line_hash.alias("line_hash"))
+    places = raw.select(*LINE, line_hash.alias("line_hash"))
     copies = places.join(repeated, "line_hash").filter(F.struct(*LINE) != F.col("id")).select(*LINE)
     removed = copies.unionByName(near).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     return work.save(removed, "removed")
