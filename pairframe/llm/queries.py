@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairframe.llm import pitman_yor
 from pairframe.llm.bpe import coded_documents
 from pairframe.llm.common import table
 from pairframe.llm.decontaminate import leaking_documents
@@ -48,6 +49,11 @@ def op6_imatch_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scored_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
