@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from pairframe.llm.common import ship_package
+
 LONG_WORD = 160
 CACHED_WORDS = 200_000
 NO_RANK = 1 << 30
@@ -185,6 +187,7 @@ def encode_decode(
     has no tokens and decodes to the empty text; repeated rows are coded each; an empty
     table gives an empty table. Rows never leave their partition.
     """
+    ship_package(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     added = ["n_tokens", *(c for c in (ids_col, decoded_col) if c)]
     added += ["ids_sha256", "decoded_sha256"] if digests else []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,6 +12,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pairframe.session import shared_dir
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Workers import the functions they run. Where the package is not installed on the
+    executors and not on their path, Spark hands them this archive.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted(root.rglob("*.py")):
+            file.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(application)
+
+
 class Workspace:
     """Stages of one run as Parquet under the shared folder.
 
@@ -17,6 +41,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid4().hex}"
         self.count = 0

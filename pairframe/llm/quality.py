@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from pairframe.llm.common import Workspace
+from pairframe.llm.common import Workspace, ship_package
 
 POOLED_SHARE = 0.3
 IDENTITY_SHARE = 0.02
@@ -107,6 +107,7 @@ def _vectors(texts: list) -> np.ndarray:
 
 def vectors(docs: DataFrame, text_col: str = "text", out: str = "vector") -> DataFrame:
     """`docs` with its text column replaced by the vector of the text's statistics."""
+    ship_package(docs.sparkSession)
     others = [c for c in docs.columns if c not in (text_col, out)]
 
     def task(batches):
@@ -180,6 +181,7 @@ def score(docs: DataFrame, model: QuadraticDiscriminant, text_col: str = "text",
     Null and empty texts have a score as well, that of a text without words. Rows are
     scored where they are, without a shuffle.
     """
+    ship_package(docs.sparkSession)
     others = [c for c in docs.columns if c != out]
 
     def task(batches):

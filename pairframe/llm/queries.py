@@ -14,6 +14,7 @@ from pairframe.llm.lines import line_counts
 from pairframe.llm.minhash import duplicate_documents
 from pairframe.llm.quality import scored_documents
 from pairframe.llm.sharding import sharded_documents
+from pairframe.llm.suffixes import repeated_bytes
 
 QUERIES = {}
 SQL = {}
@@ -44,6 +45,11 @@ def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_imatch_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted_documents(table(spark, sf_dir, "documents"))
