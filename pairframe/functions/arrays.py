@@ -11,8 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairframe.functions.guards import required
 from pairframe.functions.numeric import nan_to_null
 
+#: Up to this width a reduction has one aggregate per position; the rows are the same beyond.
 NARROW = 16
 
 
@@ -66,13 +68,18 @@ def reduce_arrays(
 ) -> DataFrame:
     """Element-wise `sum`, `avg` or `max` of the vectors that share a key.
 
-    A known `width` up to NARROW becomes one aggregate per position and a single
-    shuffle; otherwise positions are unfolded and reduced by (key, position).
+    Null vectors are skipped, so a key without any vector has no row. A stated `width` is
+    checked: a vector of another length is an error. A known width up to NARROW becomes
+    one aggregate per position and a single shuffle; otherwise positions are unfolded and
+    reduced by (key, position).
     """
     reducers = {"sum": F.sum, "avg": F.avg, "max": F.max}
     if how not in reducers:
         raise ValueError(f"how must be one of {sorted(reducers)}")
     reducer = reducers[how]
+    df = df.filter(F.col(vector).isNotNull())
+    if width is not None:
+        df = df.filter(required(F.size(vector) == width, f"a vector is not of the stated width {width}"))
     if width is not None and width <= NARROW:
         elements = [F.get(vector, i).cast("double") for i in range(width)]
         if weight is not None:

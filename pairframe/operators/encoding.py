@@ -33,14 +33,15 @@ def _attach_side(df: DataFrame, sets: Sets, side: str, strict: bool) -> DataFram
     """All sets of one entity through a single join on the observations.
 
     The tables are joined with each other first, entity by entity, which is far less
-    data than joining each of them with the observations.
+    data than joining each of them with the observations. An entity must be in all of
+    them in strict mode; otherwise it keeps the values it has, and is null in the rest.
     """
     plain = {k: s for k, s in sets.items() if isinstance(s, FeatureSet) and s.kind != CONSTANT}
     if plain:
         merged = None
         for key, features in plain.items():
             table = features.table.select(ENTITY, F.col(VALUE).alias(f"{side}_{key}"))
-            merged = table if merged is None else merged.join(table, ENTITY)
+            merged = table if merged is None else merged.join(table, ENTITY, "inner" if strict else "full")
         df = join_value(df, merged, f"{side}_id", {f"{side}_{k}": f"{side}_{k}" for k in plain}, strict)
     for key, features in sets.items():
         if key not in plain:

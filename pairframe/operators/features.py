@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairframe.featureset import CONSTANT, ENTITY, LOOKUP, MATRIX, VALUE, FeatureSet
 from pairframe.functions.arrays import array_stats, pick_positions
+from pairframe.functions.guards import required
 from pairframe.functions.numeric import safe_scale
 from pairframe.operators.checks import check_kind
+from pairframe.operators.scaling import float_kind
 from pairframe.operators.selection import keep_members
 
 
@@ -46,7 +48,10 @@ def variance_filter(
 
 
 def scale_features(features: FeatureSet, fit_ids: DataFrame | Iterable[Any] | None = None) -> FeatureSet:
-    """Standardise every feature with mean and population deviation of `fit_ids`."""
+    """Standardise every feature with mean and population deviation of `fit_ids`.
+
+    Integer and decimal features become doubles. Without any entity to fit on it raises.
+    """
     stats = feature_variances(features, fit_ids).select(
         "pos",
         "mean",
@@ -54,10 +59,12 @@ def scale_features(features: FeatureSet, fit_ids: DataFrame | Iterable[Any] | No
     )
     # one row of two arrays as wide as the feature set
     fitted = stats.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "scale"))).alias("by_pos")).scalar()
-    element = features.table.schema[VALUE].dataType.elementType
+    element = float_kind(features.table.schema[VALUE].dataType.elementType)
     scaled = F.zip_with(VALUE, "_fitted", lambda x, s: ((x.cast("double") - s["mean"]) / s["scale"]).cast(element))
     return features.with_table(
-        features.table.withColumn("_fitted", fitted).select(ENTITY, scaled.alias(VALUE))
+        features.table.withColumn("_fitted", fitted)
+        .filter(required((F.size("_fitted") > 0) | (F.size(VALUE) == 0), "no entity to fit the scaling on"))
+        .select(ENTITY, scaled.alias(VALUE))
     )
 
 

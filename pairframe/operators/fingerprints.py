@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairframe.featureset import ENTITY, LOOKUP, VALUE, FeatureSet
+from pairframe.functions.guards import required
 from pairframe.operators.features import map_values
 
 N_BITS = 512
@@ -78,8 +79,15 @@ def fingerprint_table(
     radius: int = RADIUS,
     featurizer: Callable[[Column], Column] | None = None,
 ) -> FeatureSet:
-    """Matrix set of bit vectors; a repeated id keeps one row, the id defaults to the string."""
-    rows = df.select(F.col(id_col or text_col).alias(ENTITY), F.col(text_col).alias(VALUE)).dropDuplicates([ENTITY])
+    """Matrix set of bit vectors, one per id; the id defaults to the string.
+
+    An id with two different strings, or with none, is an error.
+    """
+    rows = df.select(F.col(id_col or text_col).alias(ENTITY), F.col(text_col).alias(VALUE))
+    rows = rows.groupBy(ENTITY).agg(
+        F.min(VALUE).alias(VALUE), F.max(VALUE).alias("_other"), F.count(VALUE).alias("_n"), F.count(F.lit(1)).alias("_all")
+    )
+    rows = rows.filter(required((F.col(VALUE) == F.col("_other")) & (F.col("_n") == F.col("_all")), "an id needs one string"))
     vector = (featurizer or (lambda c: fingerprint(c, n_bits, radius)))(F.col(VALUE))
     return FeatureSet.matrix(
         rows.select(ENTITY, vector.alias(VALUE)), [str(i) for i in range(n_bits)], name="fingerprint"

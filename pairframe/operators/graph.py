@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairframe.functions.arrays import linear, reduce_arrays
+from pairframe.functions.guards import required
 from pairframe.session import cut_lineage
 
 # Fixed value: added to a degree before dividing by it.
@@ -123,6 +124,8 @@ def graph_conv(
     More than one step walks the already walked edges again.
     """
     reached = walk_edges(walk_edges(edges, steps), steps)
+    fits = F.col("features").isNull() | (F.size("features") == len(weights))
+    nodes = nodes.filter(required(fits, f"features are not of the weights' length {len(weights)}"))
     mapped = nodes.withColumn("features", linear(F.col("features"), weights, bias))
     units = len(weights[0])
     sums = _gather(reached, mapped, "src", "dst", "sum", F.col("weight"), units)

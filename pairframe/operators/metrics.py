@@ -1,4 +1,7 @@
-"""Scores of predictions, over a whole table or per group, in one aggregate pass."""
+"""Scores of predictions, over a whole table or per group, in one aggregate pass.
+
+Rows where either side is null or NaN count for no part of a score.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +10,31 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairframe.functions.numeric import nan_to_null
+
+
+def _complete(y_true: str, y_pred: str) -> tuple[Column, Column]:
+    """Both sides as doubles, null unless both are there."""
+    y, p = (nan_to_null(F.col(c).cast("double")) for c in (y_true, y_pred))
+    return F.when(p.isNotNull(), y), F.when(y.isNotNull(), p)
+
 
 def r2(y_true: str = "y_true", y_pred: str = "y_pred") -> Column:
     """1 - residual / total sum of squares; null when y_true is constant."""
-    y, p = F.col(y_true).cast("double"), F.col(y_pred).cast("double")
+    y, p = _complete(y_true, y_pred)
     total = F.var_pop(y) * F.count(y)
     return F.lit(1.0) - F.try_divide(F.sum((y - p) * (y - p)), total)
 
 
 def pearson(y_true: str = "y_true", y_pred: str = "y_pred") -> Column:
     """Correlation; null when either side is constant."""
-    y, p = F.col(y_true).cast("double"), F.col(y_pred).cast("double")
+    y, p = _complete(y_true, y_pred)
     return F.try_divide(F.covar_pop(y, p), F.stddev_pop(y) * F.stddev_pop(p))
 
 
 def rmse(y_true: str = "y_true", y_pred: str = "y_pred") -> Column:
-    d = F.col(y_true).cast("double") - F.col(y_pred).cast("double")
-    return F.sqrt(F.avg(d * d))
+    y, p = _complete(y_true, y_pred)
+    return F.sqrt(F.avg((y - p) * (y - p)))
 
 
 METRICS = {"r2": r2, "pearson": pearson, "rmse": rmse}

@@ -166,6 +166,8 @@ def slice_rows(
     Rows of buckets the range does not touch are dropped while scanning, so only about
     stop - start rows are shuffled and ranked. Fewer than `at_least` rows is an error.
     """
+    if at_least > 0 and df.isEmpty():  # no row is left for the guard below to fail on
+        raise ValueError(f"fewer than {at_least} rows")
     keyed = _keyed(df, keys, seed, epoch, GLOBAL_DIGITS, order_by)
     spans = _offsets(keyed, ()).filter(
         required(F.col("_total") >= at_least, f"fewer than {at_least} rows")

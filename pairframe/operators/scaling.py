@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairframe.functions.guards import required
 from pairframe.functions.numeric import nan_to_null, safe_scale
@@ -13,6 +13,11 @@ from pairframe.session import checked_broadcast, cut_lineage
 METHODS = ("global", "grouped")
 
 
+def float_kind(kind: T.DataType) -> T.DataType:
+    """The type of scaled values: float stays float, everything else becomes double."""
+    return kind if isinstance(kind, (T.FloatType, T.DoubleType)) else T.DoubleType()
+
+
 def _nan() -> Column:
     return F.lit(float("nan"))
 
@@ -36,13 +41,13 @@ def fit_scaler(df: DataFrame, group: str | None = None, value: str = "label") ->
 def apply_scaler(
     df: DataFrame, stats: DataFrame, group: str | None = None, value: str = "label", strict: bool = True
 ) -> DataFrame:
-    """Replace `value` by (value - mean) / scale, keeping its type.
+    """Replace `value` by (value - mean) / scale; integers and decimals become doubles.
 
     A group without statistics is an error in strict mode and null otherwise. Global
     statistics are one row and enter as a scalar subquery, not as a join. Group
     statistics are computed here, once, and broadcast when there are few groups.
     """
-    kind = df.schema[value].dataType
+    kind = float_kind(df.schema[value].dataType)
     if group is None:
         fitted = stats.select(F.struct("mean", "scale")).scalar()
         scaled = (F.col(value).cast("double") - fitted["mean"]) / fitted["scale"]
@@ -52,7 +57,7 @@ def apply_scaler(
     )
     joined = df.join(side, F.col(group) == F.col("_group"), "left")
     if strict:
-        unseen = F.concat(F.lit("Unseen group: "), F.coalesce(F.col(group).cast("string"), F.lit("null")))
+        unseen = F.concat(F.lit("no statistics for group "), F.coalesce(F.col(group).cast("string"), F.lit("null")))
         joined = joined.filter(required(F.col("_group").isNotNull(), unseen))
     scaled = (F.col(value).cast("double") - F.col("_mean")) / F.col("_scale")
     return joined.select(*[scaled.cast(kind).alias(c) if c == value else F.col(c) for c in df.columns])
@@ -68,7 +73,7 @@ def normalize_labels(
 ) -> tuple[DataFrame | None, ...]:
     """Fit on `train` (overall or per drug) and apply to it and to each other table."""
     if method not in METHODS:
-        raise ValueError(f"norm_method must be one of {METHODS}")
+        raise ValueError(f"unknown scaling method {method!r}; known are {METHODS}")
     group = None if method == "global" else "drug_id"
     stats = fit_scaler(train, group)
     if group is not None:

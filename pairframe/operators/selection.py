@@ -20,8 +20,9 @@ def keep_members(
 ) -> DataFrame:
     """Rows whose `column` is among `members`: a DataFrame (first column) or values.
 
-    Unknown members are ignored and repeats do not multiply rows. Short value lists
-    become a pushed-down IN filter, everything else a semi join. `at_most` is a known
+    Unknown members are ignored and repeats do not multiply rows. Values of any number are
+    cast to the column's type once; those that cannot be are no members, nor is None. A
+    short list becomes a pushed-down IN filter, everything else a semi join. `at_most` is a known
     bound on the number of members; a small one lets them be broadcast.
     """
     if isinstance(members, DataFrame):
@@ -29,11 +30,13 @@ def keep_members(
         if at_most is not None and at_most <= BROADCAST_LIMIT:
             wanted = F.broadcast(wanted)
         return df.join(wanted, column, "left_semi")
-    values = list(dict.fromkeys(members))
+    kind = df.schema[column].dataType
+    values = list(dict.fromkeys(str(v) for v in members if v is not None))
     if len(values) <= LITERAL_LIMIT:
-        return df.filter(F.col(column).isin(values))
-    schema = T.StructType([T.StructField(column, df.schema[column].dataType)])
-    return df.join(df.sparkSession.createDataFrame([(v,) for v in values], schema), column, "left_semi")
+        return df.filter(F.col(column).isin([F.lit(v).try_cast(kind) for v in values]))
+    schema = T.StructType([T.StructField(column, T.StringType())])
+    wanted = df.sparkSession.createDataFrame([(v,) for v in values], schema)
+    return df.join(wanted.select(F.col(column).try_cast(kind).alias(column)), column, "left_semi")
 
 
 def intersect_columns(*frames: DataFrame, cols: str | Sequence[str]) -> tuple[DataFrame, ...]:

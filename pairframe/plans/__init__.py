@@ -11,6 +11,7 @@ MODULES = (
     "file_queries",
     "regression",
     "stream_queries",
+    "edge_queries",
 )
 
 

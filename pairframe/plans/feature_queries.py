@@ -180,12 +180,12 @@ def encode_constant(spark, sf_dir):
 
 @query(
     "encode_embedding",
-    f"SELECT event_id, value, {spread_sql('embedding', 4)} FROM events JOIN embeddings ON CAST(trunc(value) AS INT) = vec_id",
+    f"SELECT event_id, value, {spread_sql('embedding', DIM)} FROM events JOIN embeddings ON CAST(trunc(value) AS INT) = vec_id",
 )
 def encode_embedding(spark, sf_dir):
     """Vector of the row whose number is the truncated value; values past the table are dropped."""
     encoded = encode_index(table(spark, sf_dir, "events"), user_vectors(spark, sf_dir), "value", "x", strict=False)
-    return encoded.filter(F.col("x").isNotNull()).select("event_id", "value", *spread("x", 4))
+    return encoded.filter(F.col("x").isNotNull()).select("event_id", "value", *spread("x", DIM))
 
 
 PAIR_SQL = (

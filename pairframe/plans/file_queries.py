@@ -36,7 +36,7 @@ from pairframe.sources.text import read_delimited, read_gene_sets, read_list
 
 
 def _write_csv(df, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    df.write.options(header=True, escape='"').csv(path)
 
 
 @query(

@@ -35,7 +35,7 @@ def model_rows(frame: PairFrame) -> DataFrame:
 
 def fit_and_predict(splits: dict[str, PairFrame], estimator=None, **constants) -> DataFrame:
     """Fit on the `train` split and return the prediction table of every split."""
-    estimator = estimator or LinearRegression(solver="normal", predictionCol="y_pred")
+    estimator = estimator or LinearRegression(solver="auto", predictionCol="y_pred")
     model = estimator.fit(model_rows(splits["train"]))
     predicted = {
         name: model.transform(model_rows(frame)).withColumnRenamed("label", "y_true")
@@ -47,7 +47,8 @@ def fit_and_predict(splits: dict[str, PairFrame], estimator=None, **constants) -
 def event_predictions(spark, sf_dir) -> DataFrame:
     roles = cut_lineage(user_roles(spark, sf_dir))  # read by every split below
     obs = event_obs(spark, sf_dir)
-    levels = obs.groupBy("drug_id").agg(F.avg("label").alias("level"))
+    trained = obs.join(role_members(roles, "train").withColumnRenamed("vec_id", "cell_id"), "cell_id", "left_semi")
+    levels = trained.groupBy("drug_id").agg(F.avg("label").alias("level"))
     frame = PairFrame(
         obs,
         cell_features={"vector": user_vectors(spark, sf_dir)},
@@ -76,7 +77,7 @@ def _predictions_sql() -> str:
         f"obs AS ({EVENT_OBS_SQL})",
         f"fit AS (SELECT {fits}, CAST(count(*) AS DOUBLE) AS n FROM embeddings JOIN roles USING (vec_id) WHERE role = 'train')",
         f"cells AS (SELECT vec_id, {scaled} FROM embeddings, fit)",
-        "levels AS (SELECT drug_id, avg(label) AS x3 FROM obs GROUP BY 1)",
+        "levels AS (SELECT drug_id, avg(label) AS x3 FROM obs JOIN roles ON cell_id = vec_id WHERE role = 'train' GROUP BY 1)",
         "labels_fit AS (SELECT avg(label) AS mean, var_pop(label) AS var, CAST(count(*) AS DOUBLE) AS n FROM obs "
         "JOIN roles ON cell_id = vec_id WHERE role = 'train')",
         f"s0 AS (SELECT cell_id, drug_id, role, (label - mean) / ({scale_sql()}) AS y, x0, x1, x2, x3 FROM obs "

@@ -20,6 +20,7 @@ def build_session(app: str = "pairframe", master: str | None = None, **conf) ->
         # split a hot join key even if that costs a later shuffle
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
@@ -52,11 +53,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives lost executors and the plan restarts here."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The table as Parquet in the shared folder: the plan restarts there, lost executors or not.
+
+    Unlike a checkpoint of rows the copy can be read column by column and has a known size.
+    """
+    path = new_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:

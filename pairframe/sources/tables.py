@@ -18,14 +18,21 @@ _TYPES = {
 }
 
 
+#: RFC 4180: a quote inside a quoted field is doubled, a field may hold line ends, and
+#: every part file is checked against the header.
+CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "enforceSchema": False, "maxColumns": 500_000}
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
     """Column names; reads one line."""
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.options(**CSV).csv(path).columns
 
 
-def _typed(spark: SparkSession, path: str, types: Mapping[str, str]) -> DataFrame:
+def _typed(spark: SparkSession, path: str, types: Mapping[str, str], lenient: bool = False) -> DataFrame:
+    """A cell that is not of its column's type is an error, or null if `lenient`."""
     schema = T.StructType([T.StructField(c, _TYPES[types.get(c, "string")]) for c in _header(spark, path)])
-    return spark.read.option("header", True).schema(schema).csv(path)
+    mode = "PERMISSIVE" if lenient else "FAILFAST"
+    return spark.read.options(**CSV).option("mode", mode).schema(schema).csv(path)
 
 
 def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None = None) -> DataFrame:
@@ -33,7 +40,7 @@ def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None =
     inferred, which scans the files once more."""
     if types is not None:
         return _typed(spark, path, types)
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return spark.read.options(**CSV).option("inferSchema", True).csv(path)
 
 
 def read_observations(
@@ -49,8 +56,11 @@ def read_metadata(
 ) -> DataFrame:
     """Metadata CSV; its first column becomes entity_id, of `key_type` when given."""
     df = read_table(spark, path, types)
-    df = df.withColumnRenamed(df.columns[0], "entity_id")
-    return df if key_type is None else df.withColumn("entity_id", F.col("entity_id").cast(key_type))
+    key = df.columns[0]
+    if key_type is not None:  # in the schema, so that an id such as 007 is never read as a number
+        fields = [T.StructField(key, _TYPES[key_type]), *df.schema.fields[1:]]
+        df = spark.read.options(**CSV).option("mode", "FAILFAST").schema(T.StructType(fields)).csv(path)
+    return df.withColumnRenamed(key, "entity_id")
 
 
 def read_lookup(
@@ -73,20 +83,20 @@ def read_feature_matrix(
     dtype: str = "double",
     key_type: str = "string",
     name: str | None = None,
-    strict: bool = False,
+    strict: bool = True,
 ) -> FeatureSet:
     """Matrix set from a wide CSV: one id column, all others features.
 
     Names come from the header and types are given, so the file is read once. The
     text "NA" stays an id, a blank id is the empty string, a missing feature is NaN.
-    With `strict` a feature that is not a number is an error.
+    A feature that is not a number is an error, or NaN without `strict`.
     """
     columns = _header(spark, path)
     key = columns[index_col] if isinstance(index_col, int) else index_col
     names = [c for c in columns if c != key]
     schema = T.StructType([T.StructField(c, _TYPES[key_type if c == key else dtype]) for c in columns])
     df = (
-        spark.read.option("header", True)
+        spark.read.options(**CSV)
         .option("mode", "FAILFAST" if strict else "PERMISSIVE")
         .schema(schema)
         .csv(path)
@@ -104,4 +114,4 @@ def read_feature_matrix(
 def write_feature_matrix(features: FeatureSet, path: str, key: str = "entity_id") -> None:
     """Wide CSV with one column per feature."""
     columns = [F.get("value", i).alias(n) for i, n in enumerate(features.feature_names)]
-    features.table.select(F.col("entity_id").alias(key), *columns).write.option("header", True).csv(path)
+    features.table.select(F.col("entity_id").alias(key), *columns).write.options(header=True, escape='"').csv(path)

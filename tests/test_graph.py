@@ -135,3 +135,12 @@ def test_reduce_arrays(spark, how, expected):
         assert reduce_arrays(df, ["k"], "v", how, width=width).first()["features"] == expected
     with pytest.raises(ValueError):
         reduce_arrays(df, ["k"], "v", "median")
+
+
+def test_reduce_arrays_checks_widths_and_skips_nulls(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (1, None), (2, None)], "k int, v array<double>")
+    for width in (None, 3):
+        assert [tuple(r) for r in reduce_arrays(df, ["k"], "v", width=width).collect()] == [(1, [1.0, 2.0, 3.0])]
+    for width in (2, 17):
+        with pytest.raises(Exception, match="stated width"):
+            reduce_arrays(df, ["k"], "v", width=width).collect()

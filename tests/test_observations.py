@@ -159,3 +159,19 @@ def test_apply_rejects_non_callables(obs):
         frame.apply(["not callable"])
     assert frame.apply(lambda f: f.replace(name="n")).name == "n"
     assert frame.apply([lambda f: f.replace(name="a"), lambda f: f.replace(name=f.name + "b")]).name == "ab"
+
+
+def test_scores_use_complete_pairs(spark):
+    from pairframe.operators.metrics import score
+
+    rows = [(1.0, 1.0), (2.0, 2.0), (3.0, None), (4.0, None), (None, 9.0), (float("nan"), 1.0)]
+    got = score(spark.createDataFrame(rows, "y_true double, y_pred double")).first()
+    assert (round(got["r2"], 9), round(got["pearson"], 9), got["rmse"]) == (1.0, 1.0, 0.0)
+
+
+def test_members_are_cast_alike_for_any_number(spark):
+    from pairframe.operators.selection import keep_members
+
+    df = spark.range(3_000)
+    for n in (10, 1_500):
+        assert keep_members(df, "id", [str(i) for i in range(n)] + ["no number", None]).count() == n
