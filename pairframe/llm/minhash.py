@@ -29,7 +29,8 @@ from pairframe.llm.shingles import SHINGLE, mix, overlap, shingle_set
 SIZE, CHUNK = 64, 4
 RADIUS = 2 * (SIZE // CHUNK) - 1
 PERCENT = 75
-MEMBERS_PER_BLOCK = 512
+MEMBERS_PER_BLOCK = 2048
+TEXTS_PER_BLOCK = 512
 MEMBERS_PER_CELL = 16384
 BYTES_PER_BLOCK = 4 << 20
 BYTES_PER_CELL = 16 << 20
@@ -131,16 +132,16 @@ def _within(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(sizes & (differ <= RADIUS)).select("a", "b")
 
 
-def _dealt(rows: DataFrame, group: str, blocks: Column, cells: int) -> DataFrame:
+def _dealt(rows: DataFrame, group: str, blocks: Column, cells: int, neighbours: str) -> DataFrame:
     """Rows with `cell`, `low` and `high`: every two blocks of a group meet in one cell.
 
-    A group of one block shares its cell with others; of a larger one each pair of blocks
-    is a cell. `blocks` may use the columns of `rows`.
+    A group of one block shares its cell with others of equal `neighbours`; of a larger
+    one each pair of blocks is a cell. `blocks` may use the columns of `rows`.
     """
     dealt = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = dealt.select("*", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    shared, own = F.pmod(F.xxhash64(group), F.lit(cells)), F.xxhash64(group, "low", "high")
+    shared, own = F.pmod(F.xxhash64(neighbours), F.lit(cells)), F.xxhash64(group, "low", "high")
     return met.withColumn("cell", F.when(F.col("blocks") == 1, shared).otherwise(own)).drop("block", "blocks", "other")
 
 
@@ -162,9 +163,11 @@ def _forest(members: DataFrame, percent: int) -> DataFrame:
     `members` has key, node, component, n_shingles and signature; pairs of one component or
     of unfit sizes do not count.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    # buckets of the same nodes have the same smallest one: in one cell they give one forest
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead"))
     cells = max(1, -(-members.count() // MEMBERS_PER_CELL))
-    rows = _dealt(members.join(sizes, "key"), "key", F.ceil(F.col("n") / MEMBERS_PER_BLOCK), cells).drop("n")
+    blocks = F.ceil(F.col("n") / MEMBERS_PER_BLOCK)
+    rows = _dealt(members.join(sizes, "key"), "key", blocks, cells, "lead").drop("n", "lead")
 
     def compare(table: pa.Table) -> pa.Table:
         node, component = (table.column(c).to_numpy() for c in ("node", "component"))
@@ -205,8 +208,8 @@ def _confirm_clusters(clustered: DataFrame, width: int, percent: int) -> DataFra
     """
     sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    blocks = F.greatest(F.ceil(F.col("n") / MEMBERS_PER_BLOCK), F.ceil(F.col("bytes") / BYTES_PER_BLOCK), F.lit(1))
-    rows = _dealt(clustered.join(sizes, "cluster"), "cluster", blocks, max(1, -(-total // BYTES_PER_CELL))).drop("n", "bytes")
+    blocks = F.greatest(F.ceil(F.col("n") / TEXTS_PER_BLOCK), F.ceil(F.col("bytes") / BYTES_PER_BLOCK), F.lit(1))
+    rows = _dealt(clustered.join(sizes, "cluster"), "cluster", blocks, max(1, -(-total // BYTES_PER_CELL)), "cluster").drop("n", "bytes")
 
     def confirm(table: pa.Table) -> pa.Table:
         node, component = (table.column(c).to_numpy() for c in ("node", "component"))
