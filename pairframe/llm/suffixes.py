@@ -31,7 +31,7 @@ from pairframe.llm.shingles import mix
 LENGTH = 50
 ANCHOR = 26
 SIDE = (LENGTH - ANCHOR) // 2
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 NAMES_PER_BUCKET = 4_000_000
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -82,20 +82,19 @@ class Block:
         """Per window the place of its smallest anchor name (the first of equal ones), and all names."""
         name = names(self.data, (ANCHOR,))[ANCHOR]
         width, span = LENGTH - ANCHOR + 1, 1
-        place = np.arange(len(name), dtype=np.int64)
-        while span * 2 <= width:
-            left, right = place[:-span], place[span:]
-            place = np.where(name[left] <= name[right], left, right)
-            span *= 2
-        rest = width - span
-        left, right = place[: len(place) - rest], place[rest:]
-        place = np.where(name[left] <= name[right], left, right)
+        least, place = name, np.arange(len(name), dtype=np.int32)
+        while span < width:
+            step = min(span, width - span)
+            first = least[:-step] <= least[step:]
+            place = np.where(first, place[:-step], place[step:])
+            least = np.minimum(least[:-step], least[step:])
+            span += step
         return place[self.windows], name
 
     def unique(self, name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct names, the place of each input in them, and whether two documents of the block have it."""
         distinct, place = np.unique(name, return_inverse=True)
-        low, high = np.full(len(distinct), len(self.ids)), np.full(len(distinct), -1)
+        low, high = np.full(len(distinct), len(self.ids)), np.full(len(distinct), -1)  # documents are in order of id
         np.minimum.at(low, place, doc)
         np.maximum.at(high, place, doc)
         return distinct, place, self.ids[low] != self.ids[high] if len(distinct) else np.zeros(0, bool)
@@ -107,6 +106,13 @@ def _edges(distinct: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(distinct, starts), len(distinct))
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and the run of each value."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 ASKED = "bucket bigint, block bigint, names binary, extra binary"
 ANSWERED = "block bigint, round int, bucket bigint, bits binary"
 
@@ -172,23 +178,26 @@ class Rounds:
         block = self.block
         if not len(block.windows):
             return np.empty(0, np.uint64), np.empty(0, bool)
-        self.anchor, self.name = block.anchors()
-        distinct, self.place, several = block.unique(self.name[self.anchor], block.doc[block.windows])
+        self.anchor, name = block.anchors()
+        # neighbouring windows mostly share their anchor: one look-up for each run
+        starts, self.run = _runs(self.anchor)
+        distinct, self.place, several = block.unique(name[self.anchor[starts]], block.doc[block.windows[starts]])
         return distinct, several
 
     def second(self, shared: np.ndarray):
         block = self.block
-        keep = shared[self.place]
+        keep = shared[self.place][self.run]
         self.left, self.anchor = block.windows[keep], self.anchor[keep]
         side_name = names(block.data, (ANCHOR + SIDE,))[ANCHOR + SIDE]
         # a window with its anchor far inside holds the left side, one with it near its start the right side
         at = np.where(self.anchor - self.left >= SIDE, self.anchor - SIDE, self.anchor)
-        distinct, self.place, several = block.unique(side_name[at], block.doc[self.left])
+        starts, self.run = _runs(at)
+        distinct, self.place, several = block.unique(side_name[at[starts]], block.doc[self.left[starts]])
         return distinct, several
 
     def third(self, shared: np.ndarray):
         block = self.block
-        self.left = self.left[shared[self.place]]
+        self.left = self.left[shared[self.place][self.run]]
         full = names(block.data, (LENGTH,))[LENGTH][self.left]
         distinct, self.place = np.unique(full, return_inverse=True)
         least = np.full(len(distinct), np.iinfo(np.int64).max)
