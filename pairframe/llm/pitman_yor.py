@@ -236,11 +236,13 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     training token every word is the unknown one.
     """
     work = Workspace(docs.sparkSession, "pitman-yor")
-    blocks = work.save(blocks_of(docs, block_bytes), "blocks")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # both tables lie in buckets of what they are grouped by, so each pass reads them without a shuffle
+    blocks = work.save_bucketed(blocks_of(docs, block_bytes), "blocks", "block", max(1, -(-total // block_bytes)), shuffle=False)
     frequent = frequent_words(blocks)
     tokens = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
     buckets = max(8, int(-(-tokens // PAIRS_PER_BUCKET)))
-    asked = requests(blocks, frequent, buckets)
+    asked = work.save_bucketed(requests(blocks, frequent, buckets), "requests", "bucket", buckets)
 
     def count(table: pa.Table) -> pa.Table:
         b = Bucket(table)

@@ -19,7 +19,6 @@ in buckets by block, so that answers come back to them without a shuffle of text
 from __future__ import annotations
 
 import hashlib
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -242,8 +241,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     the length lose nothing. Equal texts are looked at once, for the smallest id; rows of
     equal id do not remove each other's bytes, and null ids are the smallest.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "suffixes")
+    work = Workspace(docs.sparkSession, "suffixes")
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     sized = narrow.select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"))
@@ -256,11 +254,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     wanted = firsts.filter(F.col("n_bytes") >= LENGTH).select("text_hash", F.col("first").alias("doc_id"))
     block = F.pmod(F.xxhash64("text_hash"), F.lit(n_blocks))
     texts = narrow.join(wanted, ["text_hash", "doc_id"]).withColumn("block", block)
-    # one file per bucket: a block's texts need no shuffle to meet its answers
-    name = f"texts_{uuid4().hex}"
-    path = f"{work.root}/texts"
-    texts.repartition(n_blocks, "block").write.bucketBy(n_blocks, "block").option("path", path).saveAsTable(name)
-    stored = spark.table(name)
+    # a block's texts need no shuffle to meet its answers
+    stored = work.save_bucketed(texts, "texts", "block", n_blocks)
 
     def emit1(table: pa.Table) -> pa.Table:
         block = Block(table)
