@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairframe.llm import pitman_yor
 from pairframe.llm.bpe import coded_documents
@@ -17,7 +17,59 @@ from pairframe.llm.sharding import sharded_documents
 from pairframe.llm.suffixes import repeated_bytes
 
 QUERIES = {}
-SQL = {}
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = "[x FOR x IN string_split_regex({}, '[ \\t\\n\\x0B\\f\\r]+') IF x <> '']"
+_SHINGLES = "[array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 3, 2))]"
+
+#: All links by their full sets, then everything reachable over them.
+NEAR_DUPLICATES_SQL = (
+    f"WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")} AS w FROM documents), "
+    f"s AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM t WHERE len(w) > 0), "
+    "n AS (SELECT doc_id, count(s) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id), "
+    "p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL), "
+    "l AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 75 * (a.n + b.n - c)), "
+    "e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), "
+    "r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x) "
+    "SELECT doc_id, n AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id, n"
+)
+
+#: Every window that holds a shingle of the item, by its exact bag.
+LEAKS_SQL = (
+    f"WITH d AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS w FROM documents), "
+    f"i AS (SELECT item_id, {_WORDS.format('lower(text)')} AS w FROM benchmark), "
+    f"ds AS (SELECT doc_id, len(w) - 4 AS size, unnest({_SHINGLES}) AS s, unnest(range(0, greatest(len(w) - 4, 1))) AS place FROM d WHERE len(w) >= 5), "
+    f"b AS (SELECT item_id, len(w) - 4 AS m, unnest({_SHINGLES}) AS s FROM i WHERE len(w) >= 5), "
+    "bs AS (SELECT item_id, m, s, count(*) AS k FROM b GROUP BY ALL), "
+    "h AS (SELECT doc_id, item_id, m, least(m, size) AS width, size, s, k, place FROM ds JOIN bs USING (s)), "
+    "w AS (SELECT doc_id, item_id, m, width, size, s, k, unnest(range(greatest(place - width + 1, 0), least(place, size - width) + 1)) AS start FROM h), "
+    "c AS (SELECT doc_id, item_id, m, width, start, s, least(count(*), k) AS shared FROM w GROUP BY doc_id, item_id, m, width, start, s, k), "
+    "j AS (SELECT doc_id, item_id, start, sum(shared) / (m + width - sum(shared)) AS similarity FROM c GROUP BY doc_id, item_id, m, width, start) "
+    "SELECT doc_id, item_id, CAST(start AS BIGINT) AS first_word, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.75 "
+    "QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"
+)
+
+#: Every pair of lines that shares a shingle, by their full sets.
+LINES_SQL = (
+    "WITH d AS (SELECT doc_id, string_split(replace(replace(lower(text), chr(9), ' '), chr(13), ' '), chr(10)) AS l FROM documents), "
+    "u AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS line_no FROM d), "
+    "t AS (SELECT doc_id, line_no, [x FOR x IN string_split(line, ' ') IF x <> ''] AS w FROM u), "
+    f"s AS (SELECT DISTINCT doc_id, line_no, unnest({_SHINGLES}) AS s FROM t WHERE len(w) >= 8), "
+    "n AS (SELECT doc_id, line_no, count(*) AS n FROM s GROUP BY ALL), "
+    "p AS (SELECT a.doc_id AS d1, a.line_no AS l1, b.doc_id AS d2, b.line_no AS l2, count(*) AS c FROM s a JOIN s b "
+    "ON a.s = b.s AND (a.doc_id, a.line_no) > (b.doc_id, b.line_no) GROUP BY ALL), "
+    "g AS (SELECT DISTINCT d1, l1 FROM p JOIN n x ON d1 = x.doc_id AND l1 = x.line_no JOIN n y ON d2 = y.doc_id AND l2 = y.line_no "
+    "WHERE c >= 0.75 * (x.n + y.n - c)), "
+    "r AS (SELECT d1, count(*) AS k, string_agg(CAST(l1 AS VARCHAR), ',' ORDER BY l1) AS removed FROM g GROUP BY d1) "
+    "SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, coalesce(k, 0) AS n_removed, coalesce(removed, '') AS removed_lines "
+    "FROM d LEFT JOIN r ON doc_id = d1"
+)
+
+SQL = {
+    "op3_minhash_hamming": NEAR_DUPLICATES_SQL,
+    "op8_simhash_decontamination": LEAKS_SQL,
+    "op10_line_similarity": LINES_SQL,
+}
 
 
 def query(function):
@@ -72,4 +124,5 @@ def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_counts(table(spark, sf_dir, "documents"))
+    counts = line_counts(table(spark, sf_dir, "documents"))
+    return counts.withColumn("removed_lines", F.array_join(F.transform("removed_lines", lambda i: i.cast("string")), ","))
