@@ -156,11 +156,11 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
         ),
         "distinct",
     )
-    rows = distinct.select("id", "n", F.posexplode("prefix").alias("at", "code"))
+    # narrow rows for the one large exchange; most codes are alone and end there
+    rows = distinct.select("line_hash", "n", F.posexplode("prefix").alias("at", "code"))
     of_code = Window.partitionBy("code")
-    members = work.save(
-        rows.withColumn("_rows", F.count("*").over(of_code)).filter("_rows > 1").select("code", "id", "n", "at"), "members"
-    )
+    shared = rows.withColumn("_rows", F.count("*").over(of_code)).filter("_rows > 1").drop("_rows")
+    members = work.save(shared.join(distinct.select("line_hash", "id"), "line_hash").select("code", "id", "n", "at"), "members")
     firsts = work.save(members.groupBy("code").agg(F.min(F.struct("id", "n", "at")).alias("first")), "firsts")
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -195,9 +195,14 @@ def with_removed(docs: DataFrame, **options) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("removed_lines")
     )
     kept = [F.col(f"`{c}`") for c in docs.columns if c != "removed_lines"]
-    same = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_id")) & (text_hash(F.col("text")) == F.col("_hash"))
     none = F.array().cast("array<int>")
-    return docs.join(removed, same, "left").select(*kept, F.coalesce("removed_lines", none).alias("removed_lines"))
+    keyed = docs.select(*kept, F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), text_hash(F.col("text")).alias("_hash"))
+    # only texts that may lose lines are shuffled
+    held = may_hold(member_filter(removed, ["_id", "_hash"]), ["_id", "_hash"])
+    touched = keyed.filter(held).join(removed, ["_id", "_hash"], "left").select(
+        *kept, F.coalesce("removed_lines", none).alias("removed_lines")
+    )
+    return touched.unionByName(keyed.filter(~held).select(*kept, none.alias("removed_lines")))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
