@@ -1,16 +1,17 @@
-"""Language-model scores by a hierarchical Pitman-Yor model with Gibbs-sampled seating.
+"""Language-model scores by a hierarchical Pitman-Yor model with sampled seating.
 
 Every context has a restaurant whose dishes are words; a new table sends a customer to the
 shared parent restaurant, whose own base is uniform over the known words and one unknown.
-The context of a token is the word before it: the `CONTEXTS` most frequent words of the
-corpus, the start of a text, and one context for all other words.
+The context of a token is the word before it, or the start of its text. Each context that
+occurs in training has its own restaurant; a context that does not is scored by the parent.
 
 Texts become blocks of token numbers, stored once. Counts meet by word: a block sends each
 bucket of words its (word, context) pairs with their training counts, packed into arrays, so
-a bucket holds all customers of its words in all restaurants and their parent, and a sweep
-needs only the totals of the contexts from elsewhere. Buckets sample the seating, report
-those totals, sample again with the same seed, and return the log probability of every pair
-a block asked for, averaged over the kept samples. All counts cover the whole corpus.
+a bucket holds all customers of its words in all restaurants and their parent. A pair of one
+customer has one table, so only the others are sampled. In a sweep every customer leaves its
+table and sits down again; tables are kept from sweep to sweep. Between sweeps the tables of
+each context and of the parent are summed over all buckets, by ranges of context hashes.
+Within a sweep the totals and the parent are those the sweep before ended with.
 """
 
 from __future__ import annotations
@@ -23,16 +24,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairframe.llm.common import Workspace
 
-CONTEXTS = 250
-START, OTHER = CONTEXTS, CONTEXTS + 1
-WIDTH = 256
 SWEEPS, KEPT = 6, 3
 STRENGTH = 1.0
 BLOCK_BYTES = 8 << 20
 PAIRS_PER_BUCKET = 2_000_000
-TOP_OF_BLOCK = 4096
 SEED = 7
 END = xxhash.xxh3_64_intdigest(b"\x00end")
+START = xxhash.xxh3_64_intdigest(b"\x00start")
+#: With fewer dishes left than this, each is finished in a loop of its own.
+FEW = 64
+ROW = "kind int, bucket bigint, grp bigint, round int, a binary, b binary, c binary, d binary, e binary, f binary"
+FACTS, MERGED, ASK, STATE, SUMS = range(5)
 
 
 class _Hashes(dict):
@@ -101,36 +103,16 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, tokens, training
 
 
-def frequent_words(blocks: DataFrame) -> list[int]:
-    """The contexts: words with the most training tokens, by the sums of each block's leading ones."""
+def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a block, its distinct pairs in order, each token's pair, training counts of the pairs.
 
-    def task(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, tokens, training = _unpack(row)
-                counts = np.bincount(tokens[training], minlength=len(words))
-                top = np.argsort(-counts, kind="stable")[:TOP_OF_BLOCK]
-                top = top[(counts[top] > 0) & (words[top] != END)]
-                yield pa.RecordBatch.from_arrays([pa.array(words[top].view(np.int64)), pa.array(counts[top])], names=["word", "n"])
-
-    top = blocks.mapInArrow(task, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in top.orderBy(F.col("n").desc(), "word").limit(CONTEXTS).collect()]
-
-
-def pairs_of(row: dict, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a block, its distinct (word, context) pairs in order, each token's pair, training counts of the pairs."""
+    A pair is word x (number of words + 1) + context; context 0 is the start, k + 1 word k.
+    """
     words, tokens, training = _unpack(row)
-    order = np.argsort(frequent)
-    at = np.searchsorted(frequent, words, sorter=order) if len(frequent) else np.zeros(len(words), int)
-    context = np.full(len(words), OTHER, np.int64)
-    if len(frequent):
-        found = order[np.minimum(at, len(frequent) - 1)]
-        same = frequent[found] == words
-        context[same] = found[same]
     before = np.empty(len(tokens), np.int64)
-    before[1:] = context[tokens[:-1]]
-    before[np.cumsum(row["sizes"]) - row["sizes"]] = START
-    pairs, place = np.unique(tokens.astype(np.int64) * WIDTH + before, return_inverse=True)
+    before[1:] = tokens[:-1].astype(np.int64) + 1
+    before[np.cumsum(row["sizes"]) - row["sizes"]] = 0
+    pairs, place = np.unique(tokens.astype(np.int64) * (len(words) + 1) + before, return_inverse=True)
     return words, pairs, place, np.bincount(place[training], minlength=len(pairs))
 
 
@@ -140,92 +122,265 @@ def _bounds(words: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(words, np.array([min(i * step, (1 << 64) - 1) for i in range(buckets)], np.uint64))
 
 
-def requests(blocks: DataFrame, frequent: list[int], buckets: int) -> DataFrame:
-    """(bucket, block, words, pairs, counts): what each block holds of each bucket."""
-    known = np.array(frequent, np.int64).view(np.uint64)
+def requests(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, words, places, contexts, counts): what each block holds of each bucket."""
 
     def task(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, pairs, _, counts = pairs_of(row, known)
+                words, pairs, _, counts = pairs_of(row)
+                width = len(words) + 1
+                context = np.append(np.array([START], np.uint64), words)[pairs % width]
                 cut = np.append(_bounds(words, buckets), len(words))
-                edge = np.searchsorted(pairs, cut * WIDTH)
-                columns = [[], [], [], []]
+                edge = np.searchsorted(pairs, cut * width)
+                columns = [[], [], [], [], []]
                 for b in np.flatnonzero(np.diff(cut)):
+                    part = slice(edge[b], edge[b + 1])
                     columns[0].append(int(b))
                     columns[1].append(words[cut[b] : cut[b + 1]].tobytes())
-                    columns[2].append((pairs[edge[b] : edge[b + 1]] - cut[b] * WIDTH).astype(np.uint32).tobytes())
-                    columns[3].append(counts[edge[b] : edge[b + 1]].astype(np.uint32).tobytes())
+                    columns[2].append((pairs[part] // width - cut[b]).astype(np.uint32).tobytes())
+                    columns[3].append(context[part].tobytes())
+                    columns[4].append(counts[part].astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int64()), pa.array([row["block"]] * len(columns[0]), pa.int64())]
                     + [pa.array(c, pa.binary()) for c in columns[1:]],
-                    names=["bucket", "block", "words", "pairs", "counts"],
+                    names=["bucket", "block", "words", "places", "contexts", "counts"],
                 )
 
-    return blocks.mapInArrow(task, "bucket bigint, block bigint, words binary, pairs binary, counts binary")
+    return blocks.mapInArrow(task, "bucket bigint, block bigint, words binary, places binary, contexts binary, counts binary")
 
 
 class Bucket:
     """All customers of a bucket's words."""
 
     def __init__(self, table: pa.Table):
+        read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c)]
         self.number = table.column("bucket")[0].as_py()
         self.blocks = table.column("block").to_pylist()
-        self.asked_words = [np.frombuffer(w.as_py(), np.uint64) for w in table.column("words")]
-        asked = [np.frombuffer(p.as_py(), np.uint32).astype(np.int64) for p in table.column("pairs")]
-        counts = [np.frombuffer(c.as_py(), np.uint32) for c in table.column("counts")]
-        self.words = np.unique(np.concatenate(self.asked_words))
-        self.places = [np.searchsorted(self.words, w) for w in self.asked_words]
-        self.asked = [p[a // WIDTH] * WIDTH + a % WIDTH for p, a in zip(self.places, asked)]
-        keys = np.concatenate(self.asked)
-        self.pairs, place = np.unique(keys, return_inverse=True)
-        total = np.bincount(place, np.concatenate(counts), len(self.pairs)).astype(np.int64)
-        self.word, self.context, self.count = self.pairs // WIDTH, self.pairs % WIDTH, total
-        self.word_count = np.bincount(self.word, total, len(self.words)).astype(np.int64)
-
-    def samples(self, facts: dict):
-        """Kept seatings: tables of each pair, customers and tables of each word at the parent.
-
-        Totals of other buckets are taken as this bucket's times their number: words are
-        dealt by hash. The generator depends on the bucket alone, so a second run is equal.
-        """
-        random = np.random.default_rng([SEED, self.number])
-        served = self.count > 0
-        tables = served.astype(np.int64)
-        parent = np.bincount(self.word, tables, len(self.words))
-        parent_tables = (parent > 0).astype(np.int64)
-        d, d0, share = facts["discount"], facts["parent_discount"], facts["buckets"]
-        base = 1 / (facts["words"] + 1)
-        for sweep in range(SWEEPS):
-            of_context = np.bincount(self.context, tables, WIDTH) * share
-            below = (STRENGTH + d0 * parent_tables.sum() * share) * base
-            p = (np.maximum(parent - d0 * parent_tables, 0) + below) / (STRENGTH + parent.sum() * share)
-            new = (STRENGTH + d * of_context[self.context]) * p[self.word]
-            tables = seat(self.count, d, new, random)
-            parent = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
-            parent_tables = seat(parent, d0, np.full(len(parent), below), random)
-            if sweep >= SWEEPS - KEPT:
-                yield tables, parent, parent_tables
-
-
-def seat(customers: np.ndarray, discount: float, new: np.ndarray, random) -> np.ndarray:
-    """Tables after all customers of a dish sat down one by one, for many dishes at once.
-
-    Customer i opens a table with probability new / (i - discount x tables + new), where
-    `new` is (strength + discount x tables of the restaurant) x the parent's probability.
-    From customer 65 on, runs of doubling length are drawn with the odds of their middle.
+        asked_words, contexts = read("words", np.uint64), read("contexts", np.uint64)
+        self.words = np.unique(np.concatenate(asked_words))
+        self.contexts, of_context = np.unique(np.concatenate(contexts), return_inverse=True)
+        self.places = [np.searchsorted(self.words, w) for w in asked_words]
+        of_word = np.concatenate([p[at] for p, at in zip(self.places, read("places", np.uint32))])
+        self.pairs, place = np.unique(of_word * len(self.contexts) + of_context, return_inverse=True)
+        self.asked = np.split(place, np.cumsum([len(c) for c in contexts])[:-1])
+        self.count = np.bincount(place, np.concatenate(read("counts", np.uint32)), len(self.pairs)).astype(np.int64)
+        self.word, self.context = self.pairs // len(self.contexts), self.pairs % len(self.contexts)
+        self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
+        self.many = np.flatnonzero(self.count > 1)
+
+
+def adjust(sizes: np.ndarray, tables: np.ndarray, customers: np.ndarray, random) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and numbers of tables for changed numbers of customers: random ones leave, further ones sit alone."""
+    n = len(tables)
+    dish = np.repeat(np.arange(n), tables)
+    seat, of_seat = np.repeat(np.arange(len(sizes)), sizes), np.repeat(dish, sizes)
+    before = np.bincount(dish, sizes, n).astype(np.int64)
+    order = np.lexsort((random.random(len(seat)), of_seat))
+    rank = np.arange(len(seat)) - np.repeat(np.cumsum(before) - before, before)
+    left = np.bincount(seat[order][rank < np.repeat(customers, before)], minlength=len(sizes))
+    alone = np.repeat(np.arange(n), np.maximum(customers - before, 0))
+    dish, sizes = np.append(dish[left > 0], alone), np.append(left[left > 0], np.ones(len(alone), np.int64))
+    order = np.argsort(dish, kind="stable")
+    return sizes[order], np.bincount(dish, minlength=n)
+
+
+def reseat(customers, sizes, tables, discount: float, strength, base, random) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and numbers of tables after every customer of every dish left its table and sat down again.
+
+    `sizes` are those of all tables, dish by dish. Without the customer, a table is chosen
+    in proportion to its customers less the discount, a new one to
+    (strength + discount x tables of the dish) x base, where `strength` holds the tables of
+    the restaurant's other dishes. Step j moves customer j of all dishes at once.
     """
-    tables = (customers > 0).astype(np.int64)
-    active = np.flatnonzero(customers > 1)
-    seated, step = 1, 1
-    while len(active):
-        step = 1 if seated < 64 else seated
-        n = np.minimum(customers[active] - seated, step)
-        odds = new[active] / (np.maximum(seated + (n - 1) / 2 - discount * tables[active], 1e-9) + new[active])
-        tables[active] += random.binomial(n, np.clip(odds, 0, 1))
-        seated += step
-        active = active[customers[active] > seated]
-    return tables
+    tables = tables.astype(np.int64).copy()
+    start = np.cumsum(customers) - customers
+    dish = np.repeat(np.arange(len(tables)), tables)
+    number = np.arange(len(sizes)) - np.repeat(np.cumsum(tables) - tables, tables)
+    seat = np.repeat(number, sizes)
+    # stored sizes do not say who sits where: customers of a dish are dealt to its seats at random
+    seat = seat[np.lexsort((random.random(len(seat)), np.repeat(dish, sizes)))]
+    # a table opened in step j has number customers + j, which no other has
+    room = 2 * start
+    held = np.zeros(2 * len(seat), np.int64)
+    held[room[dish] + number] = sizes
+    order = np.argsort(-customers, kind="stable")
+    order = order[: np.count_nonzero(customers > 1)]
+    ascending, j = customers[order][::-1], 0
+    while True:
+        active = order[: len(order) - np.searchsorted(ascending, j, side="right")]
+        if len(active) < FEW:
+            break
+        place = start[active] + j
+        old = room[active] + seat[place]
+        held[old] -= 1
+        tables[active] -= held[old] == 0
+        new = (strength[active] + discount * tables[active]) * base[active]
+        chosen, left = np.empty(len(active), np.int64), np.arange(len(active))
+        while len(left):
+            at, opens = active[left], new[left]
+            draw = random.random(len(left)) * (customers[at] - 1 + opens) - opens
+            other = np.clip(draw.astype(np.int64), 0, customers[at] - 2)
+            table = seat[start[at] + other + (other >= j)]
+            chosen[left] = np.where(draw < 0, customers[at] + j, table)
+            taken = (draw < 0) | (random.random(len(left)) * held[room[at] + table] >= discount)
+            left = left[~taken]
+        tables[active] += chosen == customers[active] + j
+        held[room[active] + chosen] += 1
+        seat[place] = chosen
+        j += 1
+    for i in active:
+        n, t = int(customers[i]), int(tables[i])
+        sits, has = seat[start[i] : start[i] + n].tolist(), held[room[i] : room[i] + 2 * n].tolist()
+        s, p = float(strength[i]), float(base[i])
+        for k in range(j, n):
+            has[sits[k]] -= 1
+            t -= has[sits[k]] == 0
+            new = (s + discount * t) * p
+            while True:
+                draw = random.random() * (n - 1 + new) - new
+                if draw < 0:
+                    table = n + k
+                    t += 1
+                    break
+                other = min(int(draw), n - 2)
+                table = sits[other + (other >= k)]
+                if random.random() * has[table] >= discount:
+                    break
+            has[table] += 1
+            sits[k] = table
+        held[room[i] : room[i] + 2 * n] = has
+        tables[i] = t
+    return held[held > 0], tables
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    """(kind, bucket, grp, round, arrays...) as a table of `ROW`."""
+    columns = {c: [r[i] for r in rows] for i, c in enumerate(("kind", "bucket", "grp", "round"))}
+    kinds = {"kind": pa.int32(), "bucket": pa.int64(), "grp": pa.int64(), "round": pa.int32()}
+    table = {c: pa.array(v, kinds[c]) for c, v in columns.items()}
+    for k, c in enumerate("abcdef"):
+        table[c] = pa.array([r[4 + k].tobytes() if len(r) > 4 + k else None for r in rows], pa.binary())
+    return pa.table(table)
+
+
+def _asks(bucket: int, round_: int, contexts: np.ndarray, values: list[np.ndarray], groups: int) -> list[tuple]:
+    """One row per range of context hashes: the contexts and, one after the other, their values."""
+    cut = np.append(_bounds(contexts, groups), len(contexts))
+    return [
+        (ASK, bucket, int(g), round_, contexts[cut[g] : cut[g + 1]], np.concatenate([v[cut[g] : cut[g + 1]] for v in values]).astype(np.uint32))
+        for g in np.flatnonzero(np.diff(cut))
+    ]
+
+
+def sums_of(asks: DataFrame, asking: int, rounds: list[int]) -> DataFrame:
+    """To the rows of round `asking` the sums over all buckets of the values of each of `rounds`, in the order asked."""
+
+    def task(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys = [np.frombuffer(r["a"], np.uint64) for r in rows]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        places = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+        sums = {}
+        for r, at in zip(rows, places):
+            if r["round"] in rounds:
+                values = np.frombuffer(r["b"], np.uint32).reshape(-1, len(at))
+                total = sums.setdefault(r["round"], np.zeros((len(values), len(distinct)), np.int64))
+                total[:, at] += values  # the contexts of one row are distinct
+        total = np.concatenate([sums.get(r, np.zeros((1, len(distinct)), np.int64)) for r in rounds])
+        return _rows([
+            (SUMS, r["bucket"], r["grp"], asking, total[:, at]) for r, at in zip(rows, places) if r["round"] == asking
+        ])
+
+    return asks.filter(F.col("kind") == ASK).groupBy("grp").applyInArrow(task, ROW)
+
+
+def _sums(rows: list[dict], round_: int, width: int) -> np.ndarray:
+    """The sums for all contexts asked for: the ranges one after the other."""
+    parts = sorted((r for r in rows if r["kind"] == SUMS and r["round"] == round_), key=lambda r: r["grp"])
+    return np.concatenate([np.frombuffer(r["a"], np.int64).reshape(width, -1) for r in parts] or [np.zeros((width, 0), np.int64)], axis=1)
+
+
+def _parent(customers, tables, totals: np.ndarray, facts: dict) -> np.ndarray:
+    """Probability of words at the parent; `totals` are its customers and tables."""
+    d0 = facts["parent_discount"]
+    below = (STRENGTH + d0 * totals[1]) / (facts["words"] + 1)
+    return (np.maximum(customers - d0 * tables, 0) + below) / (STRENGTH + totals[0])
+
+
+def start_rows(table: pa.Table, groups: int) -> pa.Table:
+    """Facts of a bucket, the pairs to be sampled, and its customers and first tables by context."""
+    b = Bucket(table)
+    once = b.count == 1
+    facts = [np.count_nonzero(x == k) for x in (b.count, b.word_count) for k in (1, 2)]
+    facts += [np.count_nonzero(b.word_count), b.count.sum(), np.count_nonzero(b.count)]
+    of_context = lambda w: np.bincount(b.context, w, len(b.contexts))
+    held, at = np.unique(b.context[b.many], return_inverse=True)
+    u32 = lambda x: x.astype(np.uint32)
+    singles = np.bincount(b.word, once, len(b.words))
+    merged = (MERGED, b.number, None, None, u32(singles), b.contexts[held], u32(held), u32(b.word[b.many]), u32(at), u32(b.count[b.many]))
+    asks = _asks(b.number, -1, b.contexts, [of_context(b.count), of_context(once), of_context(b.count > 1)], groups)
+    return _rows([(FACTS, b.number, None, -1, np.array(facts, float)), merged, *asks])
+
+
+def sweep_rows(table: pa.Table, others: pa.Table, sweep: int, totals: np.ndarray, facts: dict, groups: int) -> pa.Table:
+    """The seating of a bucket after a sweep, its tables by context and its share of the parent."""
+    rows, number = others.to_pylist(), table.column("bucket")[0].as_py()
+    read = lambda r, c, kind=np.uint32: np.frombuffer(r[c], kind).astype(np.int64 if kind is np.uint32 else kind)
+    row = table.to_pylist()[0]
+    singles, contexts, held, word, context, count = (read(row, c, np.uint64 if c == "b" else np.uint32) for c in "abcdef")
+    fixed = _sums(rows, -1, 3)[:, held]
+    random = np.random.default_rng([SEED, number, sweep])
+    kept = [r for r in rows if r["kind"] == STATE]
+    if kept:
+        sizes, tables, parent_sizes, parent_tables = (read(kept[0], c) for c in "abcd")
+        of_context = fixed[1] + _sums(rows, sweep - 1, 1)[0]
+    else:
+        sizes, tables = count, np.ones(len(count), np.int64)
+        of_context = fixed[1] + fixed[2]
+    at_parent = lambda: singles + np.bincount(word, tables, len(singles)).astype(np.int64)
+    parent = at_parent()
+    if not kept:
+        parent_sizes, parent_tables = parent[parent > 0], (parent > 0).astype(np.int64)
+    # a dish is seated by what the parent holds without its own tables
+    rest = parent[word] - tables
+    p = _parent(rest, np.minimum(parent_tables[word], rest), totals, facts)
+    d, d0 = facts["discount"], facts["parent_discount"]
+    sizes, tables = reseat(count, sizes, tables, d, STRENGTH + d * (of_context[context] - tables), p, random)
+    parent = at_parent()
+    parent_sizes, adjusted = adjust(parent_sizes, parent_tables, parent, random)
+    base = np.full(len(parent), 1 / (facts["words"] + 1))
+    below = STRENGTH + d0 * np.maximum(totals[1] - parent_tables, 0)
+    parent_sizes, parent_tables = reseat(parent, parent_sizes, adjusted, d0, below, base, random)
+    state = [x.astype(np.uint32) for x in (sizes, tables, parent_sizes, parent_tables)]
+    asks = _asks(number, sweep, contexts, [np.bincount(context, tables, len(contexts))], groups)
+    share = np.array([parent.sum(), parent_tables.sum()], float)
+    return _rows([(STATE, number, None, sweep, *state), (FACTS, number, None, sweep, share), *asks])
+
+
+def answer_rows(table: pa.Table, others: pa.Table, totals: list[np.ndarray], facts: dict) -> pa.Table:
+    """The log probability of every pair each block asked for, averaged over the kept sweeps."""
+    b, rows = Bucket(table), others.to_pylist()
+    customers, singles, _ = _sums(rows, -1, 3)
+    of_context = singles + _sums(rows, SWEEPS, KEPT)
+    states = sorted((r for r in rows if r["kind"] == STATE), key=lambda r: r["round"])
+    d, mean = facts["discount"], np.zeros(len(b.pairs))
+    for held, total, state in zip(of_context, totals, states):
+        tables = (b.count > 0).astype(np.int64)
+        tables[b.many] = np.frombuffer(state["b"], np.uint32)
+        parent = np.bincount(b.word, tables, len(b.words))
+        p = _parent(parent, np.frombuffer(state["d"], np.uint32), total, facts)
+        own = np.maximum(b.count - d * tables, 0)
+        mean += (own + (STRENGTH + d * held[b.context]) * p[b.word]) / (STRENGTH + customers[b.context])
+    log_p = np.log10(mean / KEPT).astype(np.float32)
+    return pa.table(
+        {
+            "block": pa.array(b.blocks, pa.int64()),
+            "bucket": pa.array([b.number] * len(b.blocks), pa.int64()),
+            "known": pa.array([b.word_count[p].astype(np.uint64).tobytes() for p in b.places], pa.binary()),
+            "log_p": pa.array([log_p[a].tobytes() for a in b.asked], pa.binary()),
+        }
+    )
 
 
 def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -239,68 +394,57 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # both tables lie in buckets of what they are grouped by, so each pass reads them without a shuffle
     blocks = work.save_bucketed(blocks_of(docs, block_bytes), "blocks", "block", max(1, -(-total // block_bytes)), shuffle=False)
-    frequent = frequent_words(blocks)
     tokens = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
     buckets = max(8, int(-(-tokens // PAIRS_PER_BUCKET)))
-    asked = work.save_bucketed(requests(blocks, frequent, buckets), "requests", "bucket", buckets)
-
-    def count(table: pa.Table) -> pa.Table:
-        b = Bucket(table)
-        once, twice = (np.count_nonzero(b.count == k) for k in (1, 2))
-        word_once, word_twice = (np.count_nonzero(b.word_count == k) for k in (1, 2))
-        facts = [once, twice, word_once, word_twice, np.count_nonzero(b.word_count), b.count.sum()]
-        facts += np.bincount(b.context, b.count, WIDTH).tolist()
-        return pa.table({"fact": np.arange(len(facts)), "n": pa.array([float(f) for f in facts])})
-
-    grouped = asked.groupBy("bucket")
-    found = grouped.applyInArrow(count, "fact bigint, n double").groupBy("fact").agg(F.sum("n").alias("n"))
-    sums = {r.fact: r.n for r in found.collect()}  # 6 + WIDTH numbers
-    fact = lambda i: sums.get(i, 0.0)
+    groups = max(4, buckets // 4)
+    asked = work.save_bucketed(requests(blocks, buckets), "requests", "bucket", buckets)
+    start = work.save(asked.groupBy("bucket").applyInArrow(lambda table: start_rows(table, groups), ROW), "start")
+
+    def facts_of(rows: DataFrame, n: int) -> np.ndarray:
+        """Sums over the buckets of the few numbers that each gives."""
+        total = np.zeros(n)
+        for r in rows.filter(F.col("kind") == FACTS).select("a").toLocalIterator():
+            total += np.frombuffer(r.a, float)
+        return total
+
+    once, twice, word_once, word_twice, words, n_tokens, n_pairs = facts_of(start, 7)
     facts = {
-        "buckets": buckets,
-        "discount": min(0.95, max(0.1, fact(0) / max(fact(0) + 2 * fact(1), 1))),
-        "parent_discount": min(0.95, max(0.1, fact(2) / max(fact(2) + 2 * fact(3), 1))),
-        "words": fact(4),
-        "tokens": fact(5),
+        "discount": min(0.95, max(0.1, once / max(once + 2 * twice, 1))),
+        "parent_discount": min(0.95, max(0.1, word_once / max(word_once + 2 * word_twice, 1))),
+        "words": words,
+        "tokens": n_tokens,
     }
-    customers = np.array([fact(6 + u) for u in range(WIDTH)])
-
-    def totals_of(table: pa.Table) -> pa.Table:
-        b = Bucket(table)
-        fact_id, value = [], []
-        for k, (tables, parent, parent_tables) in enumerate(b.samples(facts)):
-            row = [*np.bincount(b.context, tables, WIDTH), parent.sum(), parent_tables.sum()]
-            fact_id += range(k * (WIDTH + 2), (k + 1) * (WIDTH + 2))
-            value += row
-        return pa.table({"fact": pa.array(fact_id, pa.int64()), "n": pa.array([float(v) for v in value])})
-
-    found = grouped.applyInArrow(totals_of, "fact bigint, n double").groupBy("fact").agg(F.sum("n").alias("n"))
-    totals = np.zeros(KEPT * (WIDTH + 2))
-    for r in found.collect():  # KEPT x (WIDTH + 2) numbers
-        totals[r.fact] = r.n
-    totals = totals.reshape(KEPT, WIDTH + 2)
-
-    def answer(table: pa.Table) -> pa.Table:
-        b = Bucket(table)
-        d, d0 = facts["discount"], facts["parent_discount"]
-        mean = np.zeros(len(b.pairs))
-        for total, (tables, parent, parent_tables) in zip(totals, b.samples(facts)):
-            p = (np.maximum(parent - d0 * parent_tables, 0) + (STRENGTH + d0 * total[WIDTH + 1]) / (facts["words"] + 1)) / (
-                STRENGTH + total[WIDTH]
-            )
-            own = np.maximum(b.count - d * tables, 0)
-            mean += (own + (STRENGTH + d * total[b.context]) * p[b.word]) / (STRENGTH + customers[b.context])
-        log_p = np.log10(mean / KEPT).astype(np.float32)
-        out = {"block": [], "bucket": [], "known": [], "log_p": []}
-        for block, places, asked_pairs in zip(b.blocks, b.places, b.asked):
-            out["block"].append(block)
-            out["bucket"].append(b.number)
-            out["known"].append(b.word_count[places].astype(np.uint64).tobytes())
-            out["log_p"].append(log_p[np.searchsorted(b.pairs, asked_pairs)].tobytes())
-        return pa.table({k: pa.array(v, pa.int64() if k in ("block", "bucket") else pa.binary()) for k, v in out.items()})
-
-    answers = grouped.applyInArrow(answer, "block bigint, bucket bigint, known binary, log_p binary")
-    known_words = np.array(frequent, np.int64).view(np.uint64)
+    fixed = work.save(sums_of(start, -1, [-1]), "fixed")
+    merged = start.filter(F.col("kind") == MERGED)
+    totals, sweeps, known = [np.array([n_pairs, words])], [], fixed
+
+    def sweep(k: int, total: np.ndarray):
+        def task(table: pa.Table, others: pa.Table) -> pa.Table:
+            return sweep_rows(table, others, k, total, facts, groups)
+
+        return task
+
+    for k in range(SWEEPS):
+        rows = merged.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(sweep(k, totals[-1]), ROW)
+        sweeps.append(work.save(rows, f"sweep-{k}"))
+        totals.append(facts_of(sweeps[-1], 2))
+        if k < SWEEPS - 1:
+            sums = work.save(sums_of(sweeps[-1], k, [k]), f"sums-{k}")
+            known = fixed.unionByName(sweeps[-1].filter(F.col("kind") == STATE)).unionByName(sums)
+    kept = sweeps[-KEPT]
+    for rows in sweeps[SWEEPS - KEPT + 1 :]:
+        kept = kept.unionByName(rows)
+    # every context a bucket has asks for the tables of the kept sweeps
+    asking = start.filter(F.col("kind") == ASK).withColumn("round", F.lit(SWEEPS))
+    last = work.save(sums_of(asking.unionByName(kept.filter(F.col("kind") == ASK)), SWEEPS, list(range(SWEEPS - KEPT, SWEEPS))), "last")
+    known = fixed.unionByName(last).unionByName(kept.filter(F.col("kind") == STATE).select(*fixed.columns))
+
+    answered = "block bigint, bucket bigint, known binary, log_p binary"
+
+    def answer(table: pa.Table, others: pa.Table) -> pa.Table:
+        return answer_rows(table, others, totals[-KEPT:], facts)
+
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, answered)
     n_all, v_all = facts["tokens"], facts["words"]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -308,7 +452,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         join = lambda c, kind: np.frombuffer(b"".join(right.column(c)[int(i)].as_py() for i in order), kind)
         counts, log_p = join("known", np.uint64).astype(float), join("log_p", np.float32).astype(float)
         row = left.to_pylist()[0]
-        _, _, place, _ = pairs_of(row, known_words)
+        _, _, place, _ = pairs_of(row)
         tokens = np.frombuffer(row["tokens"], np.uint32)
         starts = np.cumsum(row["sizes"]) - row["sizes"]
         base = np.log10((counts + 0.1) / (n_all + 0.1 * (v_all + 1)))

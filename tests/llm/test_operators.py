@@ -320,3 +320,22 @@ def test_pipeline_stage_by_stage(spark, small, pairs):
         state = after
     coded = docs.collect()
     assert {r.doc_id for r in coded} == set(state) and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in coded)
+
+
+def test_language_model_has_every_context(spark):
+    """The word after each of 600 contexts, more than any fixed number of frequent ones, is learnt."""
+    train = [(i, f"c{i % 600} d{i % 600}", False) for i in range(3000)]
+    probes = [(10_000 + k, f"c{k} d{k}", True) for k in range(600)] + [(20_000 + k, f"c{k} d{(k + 1) % 600}", True) for k in range(600)]
+    df = spark.createDataFrame(train + probes, "doc_id bigint, text string, held_out boolean")
+    score = {r.doc_id: r.score for r in pitman_yor.score_texts(df).collect()}
+    assert all(score[10_000 + k] > score[20_000 + k] + 1 for k in range(600))
+
+
+def test_language_model_backs_off(spark):
+    """A rare context keeps its own word; contexts that training lacks are all scored by the parent."""
+    train = [(i, "a b a c a b", False) for i in range(30)] + [(50 + i, "rare c", False) for i in range(5)]
+    probes = [(100 * n + k, f"{u} {w}", True) for n, u in enumerate(("rare", "new", "other"), 1) for k, w in enumerate("abc")]
+    df = spark.createDataFrame(train + probes, "doc_id bigint, text string, held_out boolean")
+    score = {r.doc_id: r.score for r in pitman_yor.score_texts(df).collect()}
+    assert all(score[200 + k] == score[300 + k] for k in range(3))
+    assert score[102] - score[101] > score[202] - score[201] + 0.3
