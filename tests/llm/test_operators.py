@@ -339,3 +339,28 @@ def test_language_model_backs_off(spark):
     score = {r.doc_id: r.score for r in pitman_yor.score_texts(df).collect()}
     assert all(score[200 + k] == score[300 + k] for k in range(3))
     assert score[102] - score[101] > score[202] - score[201] + 0.3
+
+
+def test_seating_is_that_of_the_restaurant():
+    """Tables of a dish of few and of many customers against their exact distribution."""
+    import numpy as np
+
+    def expected(c, d, strength, base):
+        """Mean tables: ways to seat c customers at t tables times the odds of opening t."""
+        ways = {1: 1.0}
+        for n in range(1, c):
+            ways = {t: ways.get(t, 0) * (n - d * t) + ways.get(t - 1, 0) for t in range(1, n + 2)}
+            scale = max(ways.values())
+            ways = {t: w / scale for t, w in ways.items()}
+        odds = {t: w * np.prod([(strength + d * k) * base for k in range(t)]) for t, w in ways.items()}
+        return sum(t * o for t, o in odds.items()) / sum(odds.values())
+
+    random = np.random.default_rng(1)
+    for c, n in ((6, 3000), (100, 300), (100, 3)):
+        customers = np.full(n, c)
+        sizes, tables, seen = customers, np.ones(n, int), []
+        for sweep in range(60 if n > 3 else 6000):
+            sizes, tables = pitman_yor.reseat(customers, sizes, tables, 0.6, np.full(n, 20.0), np.full(n, 0.05), random)
+            assert sizes.sum() == c * n and len(sizes) == tables.sum()
+            seen += [tables.mean()] if sweep >= 10 else []
+        assert np.mean(seen) == pytest.approx(expected(c, 0.6, 20.0, 0.05), rel=0.04)
