@@ -1,7 +1,9 @@
 """I-Match document fingerprints with randomised lexicons.
 
 The lexicon holds the terms whose document frequency, counted over all documents, lies in a
-band; terms that are too common or too rare say nothing about identity. Several random
+band; terms that are too common or too rare say nothing about identity. A large group of
+near copies makes its own terms common, so a text with less than a quarter of its distinct
+terms inside the band is described by all its terms. Several random
 subsets of it, from an eighth down to a 256th of its terms, each give one hash of the
 document's distinct terms in the subset. A hash survives an edit that touches none of its
 terms, so the share of equal hashes tells how alike two texts are. The hash of a set of terms
@@ -19,6 +21,8 @@ from pairframe.llm.decontaminate import word_array
 
 #: Share of the documents a lexicon term occurs in.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.02
+#: Below this share of terms inside the band, all terms of a text count.
+LEAST_INSIDE = 0.25
 #: Subset k keeps the terms whose hash ends in that many zero bits.
 SUBSET_BITS = (3, 3, 3, 3, 4, 4, 4, 4, 5, 5, 5, 5, 6, 6, 6, 6, 7, 7, 7, 7, 8, 8, 8, 8)
 DIGITS = 6
@@ -45,9 +49,11 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], terms: DataFrame) -> DataFrame:
-    """Per key one fingerprint for each text column, null where a text has no lexicon term.
+    """Per key one fingerprint for each text column, null where a text has no term in any subset.
 
-    `keys` must be unique. If `rows` is already partitioned by the keys, nothing is shuffled.
+    A text uses its lexicon terms if they are `LEAST_INSIDE` or more of its distinct terms,
+    else all its terms. `keys` must be unique. If `rows` is already partitioned by the keys,
+    nothing is shuffled.
     """
 
     def of_kind(i: int, text: str) -> Column:
@@ -55,21 +61,32 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], terms: Data
 
     kinds = [of_kind(i, t) for i, t in enumerate(texts)]
     placed = rows.select(*keys, F.explode(F.concat(*kinds)).alias("x")).select(*keys, "x.kind", "x.term")
-    held = placed.join(terms, "term")
-    parts, names = [], []
-    for i, _ in enumerate(texts):
-        for k, bits in enumerate(SUBSET_BITS):
-            value = F.xxhash64(F.lit(k), F.col("term"))
-            member = (F.col("kind") == i) & (value.bitwiseAND(F.lit((1 << bits) - 1)) == 0)
-            parts.append(F.bit_xor(F.when(member, F.shiftrightunsigned(value, 64 - 4 * DIGITS))).alias(f"_{i}_{k}"))
-    hashed = held.groupBy(*keys).agg(*parts)
+    held = placed.join(terms.withColumn("inside", F.lit(True)), "term", "left")
+    parts = [F.count("*").alias("n")]
+    for k, bits in enumerate(SUBSET_BITS):
+        value = F.xxhash64(F.lit(k), F.col("term"))
+        member = value.bitwiseAND(F.lit((1 << bits) - 1)) == 0
+        parts.append(F.bit_xor(F.when(member, F.shiftrightunsigned(value, 64 - 4 * DIGITS))).alias(f"_{k}"))
+    # terms inside and outside the band apart: both together give the hashes over all terms
+    hashed = held.groupBy(*keys, "kind", F.coalesce("inside", F.lit(False)).alias("inside")).agg(*parts)
+    cells = F.array(*[F.col(f"_{k}") for k in range(len(SUBSET_BITS))])
+    sides = []
     for i, name in enumerate(texts):
-        cells = [
-            F.coalesce(F.lpad(F.hex(F.col(f"_{i}_{k}")), DIGITS, "0"), F.lit("-" * DIGITS)) for k in range(len(SUBSET_BITS))
-        ]
+        of_text = F.col("kind") == i
+        for side, inside in (("in", F.col("inside")), ("out", ~F.col("inside"))):
+            sides.append(F.first(F.when(of_text & inside, F.struct("n", cells.alias("cells"))), ignorenulls=True).alias(f"{name}_{side}"))
+    joined = hashed.groupBy(*keys).agg(*sides)
+    names = []
+    for name in texts:
+        a, b = F.col(f"{name}_in"), F.col(f"{name}_out")
+        n_in, n_out = F.coalesce(a["n"], F.lit(0)), F.coalesce(b["n"], F.lit(0))
+        both = lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(x.bitwiseXOR(y))
+        all_cells = F.when(a.isNull(), b["cells"]).when(b.isNull(), a["cells"]).otherwise(F.zip_with(a["cells"], b["cells"], both))
+        chosen = F.when(n_in >= LEAST_INSIDE * (n_in + n_out), a["cells"]).otherwise(all_cells)
+        shown = F.transform(chosen, lambda x: F.coalesce(F.lpad(F.hex(x), DIGITS, "0"), F.lit("-" * DIGITS)))
         empty = "-" * (DIGITS * len(SUBSET_BITS))
-        names.append(F.nullif(F.concat(*cells), F.lit(empty)).alias(f"{name}_print"))
-    return hashed.select(*keys, *names)
+        names.append(F.nullif(F.array_join(shown, ""), F.lit(empty)).alias(f"{name}_print"))
+    return joined.select(*keys, *names)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -110,8 +127,8 @@ def next_documents(work: Workspace, ids: DataFrame) -> DataFrame:
 def fingerprinted_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and neighbours are.
 
-    Null texts count as empty. A text without lexicon terms has a fingerprint of its whole
-    text, `t` and a hash. Rows that repeat id and text are one document in the order and
+    Null texts count as empty. A text without terms in any subset, such as one without words,
+    has a fingerprint of its whole text, `t` and a hash. Rows that repeat id and text are one document in the order and
     have one result each; null ids come last.
     """
     work = Workspace(docs.sparkSession, "imatch")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -364,3 +365,20 @@ def test_seating_is_that_of_the_restaurant():
             assert sizes.sum() == c * n and len(sizes) == tables.sum()
             seen += [tables.mean()] if sweep >= 10 else []
         assert np.mean(seen) == pytest.approx(expected(c, 0.6, 20.0, 0.05), rel=0.04)
+
+
+def test_fingerprints_of_a_large_group_of_near_copies(spark):
+    """A third of the rows are near copies: their terms are above the band, but still tell likeness."""
+    randomly = random.Random(4)
+    base = [f"hot{i}" for i in range(201)]
+    rows = []
+    for i in range(100):
+        text = list(base)
+        text[randomly.randrange(201)] = f"edit{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(f"w{randomly.randrange(3000)}" for _ in range(60))) for i in range(200)]
+    found = {r.doc_id: r for r in imatch.fingerprinted_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(found) == 300 and not any(r.fingerprint.startswith("t") for r in found.values())
+    assert all(found[i].near_next > 0.5 for i in range(1, 100))
+    assert sum(found[i].near_edited for i in range(1, 100)) > 99 * 0.1
+    assert sum(found[i].near_next for i in range(1001, 1200)) < 199 * 0.2
