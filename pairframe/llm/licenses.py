@@ -27,28 +27,35 @@ BASE = (
 )
 
 #: Every rule's pattern holds one of these strings, so other texts need no rule.
-GATES = ("licen", "cc by", "cc0", "copyright", "public domain", "spdx", "redistribution", "permission", "as is", "unlicense")
+GATES = ("licen", "cc by", "cc0", "copyright", "public domain", "spdx", "redistribution", "permission", "as is", "unlicense", "creative commons")
 
 
 @dataclass(frozen=True)
 class Family:
-    """One license: its label, the keyword all its names hold, its names and versions."""
+    """One license: its label, the keyword its names hold, its names and versions.
+
+    `own` gives the keyword of each name that does not hold that of the family.
+    """
 
     label: str
     keyword: str
     names: tuple[str, ...]
     versions: tuple[str, ...] = ()
     tags: tuple[str, ...] = ()
+    own: tuple[tuple[str, str], ...] = ()
+
+    def keyword_of(self, name: str) -> str:
+        return dict(self.own).get(name, self.keyword)
 
 
 FAMILIES = (
     Family("agpl", "affero", ("gnu affero general public licen[cs]e", "affero general public licen[cs]e"), ("1", "3"), ("agpl 1 0", "agpl 3 0")),
     Family("lgpl", "gnu", ("gnu (?:lesser|library) general public licen[cs]e",), ("2", "2 1", "3"), ("lgpl 2 0", "lgpl 2 1", "lgpl 3 0")),
     Family("gfdl", "gnu", ("gnu free documentation licen[cs]e",), ("1 1", "1 2", "1 3"), ("gfdl 1 1", "gfdl 1 2", "gfdl 1 3")),
-    Family("gpl", "general", ("gnu general public licen[cs]e", "gnu gpl licen[cs]e"), ("1", "2", "3"), ("gpl 1 0", "gpl 2 0", "gpl 3 0")),
+    Family("gpl", "gnu", ("gnu general public licen[cs]e", "gnu gpl licen[cs]e"), ("1", "2", "3"), ("gpl 1 0", "gpl 2 0", "gpl 3 0")),
     Family("apache", "apache", ("apache(?: software)? licen[cs]e",), ("1 0", "1 1", "2 0"), ("apache 1 0", "apache 1 1", "apache 2 0")),
     Family("mit", "mit", ("mit licen[cs]e", "mit x11 licen[cs]e", "expat mit licen[cs]e"), (), ("mit", "mit 0")),
-    Family("bsd-2-clause", "bsd", ("(?:2|two) clause bsd licen[cs]e", "simplified bsd licen[cs]e", "freebsd licen[cs]e"), (), ("bsd 2 clause",)),
+    Family("bsd-2-clause", "bsd", ("(?:2|two) clause bsd licen[cs]e", "simplified bsd licen[cs]e", "freebsd licen[cs]e"), (), ("bsd 2 clause",), (("freebsd licen[cs]e", "freebsd"),)),
     Family("bsd-3-clause", "bsd", ("(?:3|three) clause bsd licen[cs]e", "(?:new|modified|revised) bsd licen[cs]e"), (), ("bsd 3 clause",)),
     Family("bsd-4-clause", "bsd", ("(?:4|four) clause bsd licen[cs]e", "original bsd licen[cs]e"), (), ("bsd 4 clause",)),
     Family("bsd", "bsd", ("bsd licen[cs]e", "bsd style licen[cs]e"), (), ("0bsd",)),
@@ -87,7 +94,7 @@ FAMILIES = (
     Family("curl", "curl", ("curl licen[cs]e",), (), ("curl",)),
     Family("json", "json", ("json licen[cs]e",), (), ("json",)),
     Family("cecill", "cecill", ("cecill(?: [abc])?(?: free software)? licen[cs]e",), ("1 0", "2 0", "2 1"), ("cecill 1 0", "cecill 2 1")),
-    Family("cc-by-nc-sa", "nc", ("cc by nc sa", "creative commons attribution non ?commercial share ?alike licen[cs]e"), ("2 0", "2 5", "3 0", "4 0")),
+    Family("cc-by-nc-sa", "nc", ("cc by nc sa", "creative commons attribution non ?commercial share ?alike licen[cs]e"), ("2 0", "2 5", "3 0", "4 0"), (), (("creative commons attribution non ?commercial share ?alike licen[cs]e", "creative"),)),
     Family("cc-by-nc-nd", "nc", ("cc by nc nd",), ("2 0", "2 5", "3 0", "4 0")),
     Family("cc-by-nc", "nc", ("cc by nc",), ("2 0", "2 5", "3 0", "4 0")),
     Family("cc-by-nc", "creative", ("creative commons attribution non ?commercial(?: licen[cs]e)?",), ("3 0", "4 0")),
@@ -98,7 +105,7 @@ FAMILIES = (
     Family("cc-by", "creative", ("creative commons attribution licen[cs]e",), ("2 0", "2 5", "3 0", "4 0")),
     Family("cc0", "cc0", ("cc0", "cc0 1 0(?: universal)?"), (), ("cc0 1 0",)),
     Family("llama-community", "community", ("llama(?: [23])? community licen[cs]e",), ("2", "3", "3 1")),
-    Family("openrail", "rail", ("(?:creativeml |bigscience |bigcode )?open rail(?: m)? licen[cs]e", "creativeml openrail m licen[cs]e"), (), ("openrail",)),
+    Family("openrail", "rail", ("(?:creativeml |bigscience |bigcode )?open rail(?: m)? licen[cs]e", "creativeml openrail m licen[cs]e"), (), ("openrail",), (("creativeml openrail m licen[cs]e", "openrail"),)),
 )
 
 #: Sentences of license texts, without the license's name: (label, keyword, pattern).
@@ -151,10 +158,10 @@ def signature_rules() -> list[Rule]:
         for name in f.names:
             for version in f.versions:
                 versions.append(
-                    Rule(f.label, f.keyword, f"(?:{GRANT})?{name}(?: version| v)? {version}(?: (?:only|or later|international|unported))?", 0.95)
+                    Rule(f.label, f.keyword_of(name), f"(?:{GRANT})?{name}(?: version| v)? {version}(?: (?:only|or later|international|unported))?", 0.95)
                 )
-            grants.append(Rule(f.label, f.keyword, f"{GRANT}{name}", 0.9))
-            names.append(Rule(f.label, f.keyword, name, 0.6))
+            grants.append(Rule(f.label, f.keyword_of(name), f"{GRANT}{name}", 0.9))
+            names.append(Rule(f.label, f.keyword_of(name), name, 0.6))
     for label, keyword, pattern in SENTENCES:
         sentences.append(Rule(label, keyword, pattern, 0.85))
     return tags + sentences + versions + grants + names

@@ -382,3 +382,35 @@ def test_fingerprints_of_a_large_group_of_near_copies(spark):
     assert all(found[i].near_next > 0.5 for i in range(1, 100))
     assert sum(found[i].near_edited for i in range(1, 100)) > 99 * 0.1
     assert sum(found[i].near_next for i in range(1001, 1200)) < 199 * 0.2
+
+
+def _texts_of(pattern):
+    """The shortest text of a rule with first alternatives, and a longer one with last ones."""
+    from re import _constants as c, _parser
+
+    def text(parts, longer):
+        out = ""
+        for op, arg in parts:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                out += "x" if arg[0][0] is c.CATEGORY and arg[0][1] is c.CATEGORY_WORD else "1" if arg[0][0] is c.CATEGORY else chr(arg[-1 if longer else 0][1])
+            elif op is c.BRANCH:
+                out += text(arg[1][-1 if longer else 0], longer)
+            elif op is c.SUBPATTERN:
+                out += text(arg[3], longer)
+            elif op is c.MAX_REPEAT:
+                out += text(arg[2], longer) * max(arg[0], int(longer))
+        return out
+
+    return [text(_parser.parse(pattern), longer) for longer in (False, True)]
+
+
+def test_every_license_rule_is_found_on_its_own_phrase(spark):
+    rules = licenses.signature_rules()
+    rows = [(2 * i + k, t) for i, r in enumerate(rules) for k, t in enumerate(_texts_of(r.pattern))]
+    assert all(re.fullmatch(rules[i // 2].pattern, t) for i, t in rows)
+    forms = spark.createDataFrame(rows, "key bigint, form string").filter(licenses.gated(F.col("form")))
+    found = {(r.key, r.rule) for r in licenses.detect(forms, "key", "form").collect()}
+    missed = [t for i, t in rows if (i, i // 2) not in found]
+    assert missed == []
