@@ -245,15 +245,22 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     sized = narrow.select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"))
-    firsts = sized.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.max("n_bytes").alias("n_bytes"))
+    rows_of = sized.groupBy("text_hash", "doc_id").agg(F.max("n_bytes").alias("n_bytes"), F.count("*").alias("copies"))
+    least = F.min(F.struct("doc_id", "copies"))
+    firsts = rows_of.groupBy("text_hash").agg(least["doc_id"].alias("first"), least["copies"].alias("copies"), F.max("n_bytes").alias("n_bytes"))
     firsts = work.save(firsts, "firsts")
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     buckets = max(4, -(-total // (13 * NAMES_PER_BUCKET)) * 4)
 
-    wanted = firsts.filter(F.col("n_bytes") >= LENGTH).select("text_hash", F.col("first").alias("doc_id"))
+    wanted = firsts.filter(F.col("n_bytes") >= LENGTH).select("text_hash", F.col("first").alias("doc_id"), "copies")
     block = F.pmod(F.xxhash64("text_hash"), F.lit(n_blocks))
-    texts = narrow.join(wanted, ["text_hash", "doc_id"]).withColumn("block", block)
+    several = wanted.filter("copies > 1")
+    texts = narrow.join(wanted if several.isEmpty() else wanted.filter("copies = 1"), ["text_hash", "doc_id"])
+    if not several.isEmpty():
+        # rows that repeat the smallest id of their text are one document
+        texts = texts.unionByName(narrow.join(several, ["text_hash", "doc_id"]).dropDuplicates(["text_hash", "doc_id"]))
+    texts = texts.drop("copies").withColumn("block", block)
     # a block's texts need no shuffle to meet its answers
     stored = work.save_bucketed(texts, "texts", "block", n_blocks)
 
@@ -307,7 +314,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("id"), F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
         F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"),
     )
-    joined = rows.join(firsts.drop("n_bytes"), "text_hash").join(found, "text_hash", "left")
+    joined = rows.join(firsts.select("text_hash", "first"), "text_hash").join(found, "text_hash", "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
     return joined.select(
         F.col("id").alias("doc_id"),

@@ -414,3 +414,11 @@ def test_every_license_rule_is_found_on_its_own_phrase(spark):
     found = {(r.key, r.rule) for r in licenses.detect(forms, "key", "form").collect()}
     missed = [t for i, t in rows if (i, i // 2) not in found]
     assert missed == []
+
+
+def test_repeated_rows_of_the_smallest_id(spark):
+    text = "".join(chr(97 + i * 7 % 26) + chr(65 + i * 5 % 26) for i in range(40))
+    rows = [(1, text), (1, text), (1, text), (2, text), (3, "xy" + text)]
+    found = sorted(tuple(r) for r in suffixes.repeated_bytes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    wanted = plain.repeated(rows[2:])
+    assert found == sorted((i, *wanted[i]) for i, _ in rows)
