@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairframe.llm import pitman_yor
 from pairframe.llm.bpe import coded_documents
+from pairframe.llm.clusters import clustered_vectors
 from pairframe.llm.common import table
 from pairframe.llm.decontaminate import leaking_documents
 from pairframe.llm.imatch import fingerprinted_documents
@@ -13,8 +14,10 @@ from pairframe.llm.licenses import licensed_documents
 from pairframe.llm.lines import line_counts
 from pairframe.llm.minhash import duplicate_documents
 from pairframe.llm.quality import scored_documents
+from pairframe.llm.search import ranked_documents
 from pairframe.llm.sharding import sharded_documents
 from pairframe.llm.suffixes import repeated_bytes
+from pairframe.llm.tokenfiles import filed_documents
 
 QUERIES = {}
 
@@ -65,10 +68,61 @@ LINES_SQL = (
     "FROM d LEFT JOIN r ON doc_id = d1"
 )
 
+_TERMS = "regexp_extract_all(translate(text, '{}', '{}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')".format(_UPPER, _UPPER.lower())
+
+#: Every document against every item, by their terms.
+SEARCH_SQL = (
+    f"WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents), "
+    "n AS (SELECT doc_id, len(t) AS n FROM d WHERE len(t) > 0), "
+    "c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n), "
+    f"i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark), "
+    "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) "
+    "WHERE term IN (SELECT term FROM i) GROUP BY ALL), "
+    "w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w "
+    "FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c), "
+    "s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) "
+    "AS score FROM i JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id), c GROUP BY item_id, doc_id) "
+    "SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score "
+    "FROM s WHERE score > 0 QUALIFY rank <= 50"
+)
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Each round as two tables: the assignment, then the centroids it makes."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v "
+        f"FROM embeddings WHERE len(embedding) = {dim} AND len([x FOR x IN embedding IF isfinite(x)]) = {dim})",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS c FROM "
+        f"(SELECT v, sha256('3:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, v, k, d FROM (SELECT vec_id, v, k, c, "
+            f"CAST(list_sum([(v[i] - c[i]) * (v[i] - c[i]) FOR i IN range(1, {dim + 1})]) AS BIGINT) AS d FROM v, c{r}) "
+            "QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"
+        )
+        if r < rounds:
+            parts.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN (SELECT k, list(s ORDER BY i) AS c "
+                "FROM (SELECT k, i, CAST((s - (((s % n) + n) % n)) // n AS BIGINT) AS s FROM (SELECT k, i, sum(x) AS s, count(*) AS n "
+                f"FROM (SELECT k, unnest(v) AS x, unnest(range({dim})) AS i FROM a{r}) GROUP BY k, i)) GROUP BY k) m USING (k))"
+            )
+    last = f"a{rounds}"
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, CAST({last}.k AS INT) AS cluster, d AS distance, "
+        f"CAST(sum(d) OVER (PARTITION BY {last}.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(c, ',')) AS centroid_sha256 FROM {last} JOIN c{rounds} ON {last}.k = c{rounds}.k"
+    )
+
+
+CLUSTERS_SQL = _clusters_sql()
+
 SQL = {
     "op3_minhash_hamming": NEAR_DUPLICATES_SQL,
     "op8_simhash_decontamination": LEAKS_SQL,
     "op10_line_similarity": LINES_SQL,
+    "op11_range_maximum_search": SEARCH_SQL,
+    "op12_geometric_drift": CLUSTERS_SQL,
 }
 
 
@@ -126,3 +180,18 @@ def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = line_counts(table(spark, sf_dir, "documents"))
     return counts.withColumn("removed_lines", F.array_join(F.transform("removed_lines", lambda i: i.cast("string")), ","))
+
+
+@query
+def op11_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_geometric_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filed_documents(table(spark, sf_dir, "documents"))
