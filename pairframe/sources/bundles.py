@@ -82,7 +82,7 @@ class MetricBundle(ResponseSource):
         files = {k: self.joinpath(v) for k, v in METRIC_BUNDLE_FILES.items()}
         types = {**self.obs_types(), self.metric: "double"}
         expression = read_feature_matrix(
-            spark, files["cell_expression"], dtype="float", key_type=self.id_type, name="gexp", strict=True
+            spark, files["cell_expression"], dtype="float", key_type=self.id_type, name="gexp", na_values=()
         )
         structure = read_lookup(spark, files["drug_structure"], "smiles", key_type=self.id_type, name="smiles")
         return PairFrame(
