@@ -62,7 +62,7 @@ class PairFrame:
         """Apply one transform or several in order; each maps a frame to a frame."""
         steps = [transforms] if callable(transforms) else list(transforms)
         if not all(callable(t) for t in steps):
-            raise ValueError("transforms must be callable or a list of callables")
+            raise ValueError("a transform is a function of a frame; got something else")
         frame = self
         for step in steps:
             frame = step(frame)
@@ -102,12 +102,10 @@ class PairFrame:
         return self.summary().first()["n_drugs"]
 
     def describe(self) -> str:
-        """Name and counts; runs one aggregate."""
+        """What the frame holds, in words; runs one aggregate."""
         row = self.summary().first()
-        return (
-            f"PairFrame(name={self.name}, size={row['size']:_}, "
-            f"n_cells={row['n_cells']:_}, n_drugs={row['n_drugs']:_})"
-        )
+        counts = f"{row['size']} observations of {row['n_cells']} cells and {row['n_drugs']} drugs"
+        return counts if self.name is None else f"{self.name}: {counts}"
 
     # -- subsets ----------------------------------------------------------
 
@@ -169,14 +167,16 @@ class PairFrame:
         drugs_first: bool | None = None,
         shuffle: bool = False,
         seed: int = 0,
-        order_by: str | None = None,
+        order_by: str | Sequence[str] | None = None,
     ) -> Batches:
         """Encoded mini-batches of these observations, or of explicit (id, cell_id, drug_id) rows.
 
-        Unshuffled batches follow the numeric column `order_by` (such as `id`) when given.
+        Unshuffled batches follow the columns `order_by` (such as `id`) when given.
         """
         rows = batch_rows(self.obs if obs is None else obs, targets, sample_weights)
-        order_by = {targets: "target", sample_weights: "weight"}.get(order_by, order_by)
+        if order_by is not None:
+            stated = [order_by] if isinstance(order_by, str) else order_by
+            order_by = [{targets: "target", sample_weights: "weight"}.get(c, c) for c in stated]
         return Batches(
             rows, batch_size, shuffle, seed, encode=lambda df: self.encode(df, drugs_first), order_by=order_by
         )

@@ -15,7 +15,7 @@ from pairframe.operators.ranking import Key, rank_rows, slice_rows
 class Batches:
     """Batches of `rows` in a fixed order, or in a new order each epoch when `shuffle`.
 
-    The fixed order is by hash, or by the numeric column `order_by`.
+    The fixed order is by hash, or by `order_by`: columns of any orderable type, ties by hash.
     Batch k holds positions [k * batch_size, (k + 1) * batch_size); the last may be short.
     `encode` adds features to rows that are already placed, so ordering moves narrow rows.
     """
@@ -26,9 +26,9 @@ class Batches:
     seed: int = 0
     keys: Sequence[Key] = field(default=("id",))
     encode: Callable[[DataFrame], DataFrame] | None = None
-    order_by: str | None = None
+    order_by: Key | Sequence[Key] | None = None
 
-    def _lead(self) -> str | None:
+    def _lead(self) -> Key | Sequence[Key] | None:
         return None if self.shuffle else self.order_by
 
     def _encoded(self, df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def validate_obs(df: DataFrame) -> DataFrame:
     """Project the four observation columns; a missing one is an error."""
     missing = [c for c in OBS_COLUMNS if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {', '.join(missing)}")
+        raise ValueError(f"observations need the columns {missing} as well")
     return df.select(*OBS_COLUMNS)
 
 
@@ -27,12 +27,14 @@ def as_obs(
     label_col: str = "label",
     cell_id_col: str = "cell_id",
     drug_id_col: str = "drug_id",
-    order_by: Sequence[Key] | None = None,
+    order_by: Key | Sequence[Key] | None = None,
+    hash_by: Sequence[Key] | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """Rename columns to an observation table, numbering rows when `id_col` is absent.
 
-    `order_by` names what the generated order depends on; by default all columns.
+    Generated ids ascend with the columns `order_by` of `df`, and with the observation's
+    columns where those are equal. Without it they follow a hash of `hash_by`, by default of all columns.
     """
     renamed = [
         F.col(cell_id_col).alias("cell_id"),
@@ -41,7 +43,13 @@ def as_obs(
     ]
     if id_col in df.columns:
         return df.select(F.col(id_col).alias("id"), *renamed)
-    return validate_obs(number_rows(df.select(*renamed), "id", order_by, seed))
+    if order_by is None:
+        return validate_obs(number_rows(df.select(*renamed), "id", hash_by, seed))
+    stated = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
+    lead = [F.col(k) if isinstance(k, str) else k for k in stated]
+    names = [f"_order{i}" for i in range(len(lead))]
+    kept = df.select(*renamed, *[c.alias(n) for c, n in zip(lead, names)])
+    return validate_obs(number_rows(kept, "id", order_by=names))
 
 
 def pick_metric(df: DataFrame, metric: str) -> DataFrame:

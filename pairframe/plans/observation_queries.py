@@ -47,11 +47,29 @@ def obs_generated_id(spark, sf_dir):
         "l_extendedprice",
         "l_suppkey",
         "l_partkey",
-        order_by=["cell_id", "drug_id", cents],
+        hash_by=["cell_id", "drug_id", cents],
         seed=7,
     )
 
 
+@query(
+    "obs_ordered_id",
+    "SELECT row_number() OVER (ORDER BY l_shipdate, l_returnflag DESC, l_suppkey, l_partkey, l_extendedprice) - 1 AS id, "
+    "l_suppkey AS cell_id, l_partkey AS drug_id, l_extendedprice AS label FROM lineitem",
+)
+def obs_ordered_id(spark, sf_dir):
+    """Ids by ship date, then return flag backwards; equal ones by the observation itself."""
+    flag = F.ascii("l_returnflag") * -1
+    return as_obs(
+        table(spark, sf_dir, "lineitem"),
+        "row_id",
+        "l_extendedprice",
+        "l_suppkey",
+        "l_partkey",
+        order_by=["l_shipdate", flag],
+    )
+
+
 @query("metric_pick", f"SELECT id, cell_id, drug_id, round(quantity, 6) AS label FROM ({SUPPLY_OBS_SQL})")
 def metric_pick(spark, sf_dir):
     return pick_metric(supply_metrics(spark, sf_dir), "quantity").withColumn("label", tidy("label"))

@@ -18,6 +18,7 @@ from pairframe.plans.adapters import (
     scale_sql,
     spread,
     supply_obs,
+    table,
     tidy,
     user_roles,
 )
@@ -183,6 +184,29 @@ def batch_ordered(spark, sf_dir):
     return Batches(event_obs(spark, sf_dir), BATCH, order_by="label").assign()
 
 
+TEXT_ORDER_SQL = (
+    "SELECT *, row_number() OVER (ORDER BY drug_id, ts, md5(concat_ws(':', 0, 0, id)), id) - 1 AS position FROM "
+    "(SELECT event_id AS id, user_id AS cell_id, event_type AS drug_id, value AS label, ts FROM events)"
+)
+
+
+def _timed_batches(spark, sf_dir):
+    ts = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts")
+    return Batches(event_obs(spark, sf_dir).join(ts, "id"), BATCH, order_by=["drug_id", "ts"])
+
+
+@query("batch_ordered_text", f"SELECT * EXCLUDE ts, position // {BATCH} AS batch_id FROM ({TEXT_ORDER_SQL})")
+def batch_ordered_text(spark, sf_dir):
+    """Batches in the order of a string, a third of the rows at each value, and a timestamp."""
+    return _timed_batches(spark, sf_dir).assign().drop("ts")
+
+
+@query("batch_ordered_slice", f"SELECT * EXCLUDE (ts, position) FROM ({TEXT_ORDER_SQL}) WHERE position // {BATCH} = 4")
+def batch_ordered_slice(spark, sf_dir):
+    """One batch of that order, without sorting the others."""
+    return _timed_batches(spark, sf_dir).batch(4).drop("ts")
+
+
 @query(
     "batch_slice",
     f"SELECT * EXCLUDE position FROM (SELECT *, {_rank_sql('9, 1')} AS position FROM ({EVENT_OBS_SQL})) "

@@ -25,16 +25,12 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_init_defaults(obs):
-    frame = PairFrame(obs)
-    assert (frame.obs.count(), len(frame.obs.columns)) == (100, 4)
-    assert frame.cell_features is None and frame.drug_features is None
-    assert frame.cell_meta is None and frame.drug_meta is None
-    assert frame.encode_drugs_first is False
-    assert frame.name is None and frame.desc is None
-    assert frame.dtype == "double"
-    assert (frame.size, frame.n_cells, frame.n_drugs) == (100, 10, 10)
-    assert frame.describe() == "PairFrame(name=None, size=100, n_cells=10, n_drugs=10)"
+def test_a_frame_of_observations_alone_can_be_described_but_not_encoded(obs):
+    frame = PairFrame(obs.filter("id < 25"))
+    assert frame.describe() == "25 observations of 3 cells and 10 drugs"
+    assert frame.replace(name="few").describe().startswith("few: 25 ")
+    with pytest.raises(ValueError, match="cell feature"):
+        frame.encode()
 
 
 def test_missing_columns(spark):

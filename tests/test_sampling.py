@@ -1,11 +1,14 @@
+import datetime as dt
 import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairframe import Batches, FeatureSet, PairFrame
+from pairframe.operators import ranking
 from pairframe.operators.batching import batch_rows
-from pairframe.operators.ranking import rank_rows
+from pairframe.operators.observations import as_obs
+from pairframe.operators.ranking import rank_rows, slice_rows
 from pairframe.operators.splitting import apply_split, stratified_holdout
 from pairframe.sources.splits import load_split, load_splits, save_splits
 
@@ -107,11 +110,10 @@ def test_epochs(spark):
     assert not mixed.order(0).exceptAll(mixed.order(1)).isEmpty()
 
 
-@pytest.mark.parametrize("ranges", [4, 256])
-def test_ordered_batches(spark, monkeypatch, ranges):
-    from pairframe.operators import ranking
-
-    monkeypatch.setattr(ranking, "RANGES", ranges)
+@pytest.mark.parametrize("rows", [7, 1 << 20])
+def test_ordered_batches(spark, monkeypatch, rows):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", rows)
+    monkeypatch.setattr(ranking, "SLICE_ROWS", rows)
     values = [7.0] * 60 + [float(i % 5) for i in range(20)] + [None, float("nan"), None, float("nan"), -3.5, 1e-7]
     df = spark.createDataFrame(list(enumerate(values)), "id int, v double")
     batches = Batches(df, 10, order_by="v")
@@ -126,13 +128,65 @@ def test_ordered_batches(spark, monkeypatch, ranges):
     assert {r["id"] for r in batches.batch(2).collect()} == {i for i, p in got.items() if p // 10 == 2}
 
 
-def test_order_by_needs_a_number(obs):
+def test_order_by_needs_an_order(spark, obs):
     with pytest.raises(TypeError):
-        Batches(obs, 10, order_by="cell_id").order()
+        rank_rows(spark.range(3).withColumn("m", F.create_map("id", "id")), ["id"], order_by="m")
     with pytest.raises(ValueError):
         rank_rows(obs, ["id"], within=["cell_id"], order_by="label")
 
 
+def mixed_rows(n=400):
+    start = dt.datetime(2024, 1, 1)
+    return [
+        (i, "hot" if i % 3 == 0 else None if i % 50 == 1 else f"k{i % 7}", start + dt.timedelta(microseconds=i * 37 % 11), i % 5 / 2)
+        for i in range(n)
+    ]
+
+
+MIXED = "id bigint, s string, t timestamp, x double"
+
+
+@pytest.mark.parametrize("probes", [5, 10_000])
+def test_order_by_several_columns(spark, monkeypatch, probes):
+    """A third of the rows share one string; strings, then timestamps, then an expression."""
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 90)
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 40)
+    monkeypatch.setattr(ranking, "PROBES", probes)
+    rows = mixed_rows()
+    df = spark.createDataFrame(rows, MIXED)
+    order = ["s", "t", -F.col("x")]
+    expected = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2], -r[3], hashlib.md5(f"5:{r[0]}".encode()).hexdigest()))
+    got = {r["id"]: r["position"] for r in rank_rows(df, ["id"], 5, order_by=order, total="n").collect()}
+    assert got == {r[0]: i for i, r in enumerate(expected)}
+    for start, stop in ((0, 10), (133, 143), (395, 500), (400, 410)):
+        part = slice_rows(df, start, stop, ["id"], 5, order_by=order)
+        assert part.columns == df.columns
+        assert {r["id"] for r in part.collect()} == {r[0] for r in expected[start:stop]}
+    with pytest.raises(ValueError, match="fewer"):
+        slice_rows(df, 0, 10, ["id"], order_by=order, at_least=401)
+
+
+def test_a_slice_moves_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 200)
+    monkeypatch.setattr(ranking, "PROBES", 400)
+    df = spark.range(20_000).withColumn("v", F.col("id") % 10)
+    hashed = df.withColumn("_hash", ranking.order_hash(["id"]))
+    near, before = ranking._narrowed(hashed, [F.col("v"), F.col("_hash")], 9_000, 9_010, 20_000)
+    assert near.count() <= 200 and before <= 9_000 < before + near.count()
+
+
+def test_ids_in_a_stated_order(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 5)
+    monkeypatch.setattr(ranking, "RUN_LENGTH", 4)
+    rows = [("c", "d", float(v)) for v in (5, 1, 3, 2, 9, 4)] + [("hot", "d", 3.0)] * 30 + [(None, "d", 2.0), ("a", None, None)]
+    df = spark.createDataFrame(rows, "cell_id string, drug_id string, label double")
+    by_label = as_obs(df, order_by=["label"]).orderBy("id").collect()
+    assert [r["id"] for r in by_label] == list(range(len(rows)))
+    expected = sorted(rows, key=lambda r: tuple((v is not None, v or 0) if i == 0 else (v is not None, v or "") for i, v in enumerate((r[2], r[0], r[1]))))
+    assert [tuple(r)[1:] for r in by_label] == expected
+    assert [r["label"] for r in as_obs(df, order_by=-F.col("label")).orderBy("id").take(4)] == [None, 9.0, 5.0, 4.0]
+
+
 def test_write_batches(spark, tmp_path):
     path = str(tmp_path / "b")
     Batches(spark.range(50), 5).write(path, batches_per_shard=3)
