@@ -55,3 +55,10 @@ def prediction_table(splits: Mapping[str, DataFrame], **constants: Any) -> DataF
     if result is None:
         raise ValueError("no splits given")
     return result.select("*", *[F.lit(v).alias(k) for k, v in constants.items()])
+
+
+def prediction_rows(df: DataFrame, split: str, **constants: Any) -> DataFrame:
+    """The same table from one frame whose column `split` names the split of each row."""
+    return df.select(
+        "cell_id", "drug_id", "y_true", "y_pred", F.col(split).alias("split"), *[F.lit(v).alias(k) for k, v in constants.items()]
+    )

@@ -81,14 +81,35 @@ def document_texts(spark: SparkSession, sf_dir: str) -> FeatureSet:
     return FeatureSet.lookup(spread_scan(documents), "doc_id", "text", "text")
 
 
+def _apportion_sql(source: str, size: str, wanted: str, name: str, stratum: str) -> str:
+    """Largest remainders: `wanted` places in proportion to `size`."""
+    return (
+        f"SELECT * EXCLUDE (rest, base), base + CASE WHEN row_number() OVER (ORDER BY rest DESC, md5(concat_ws(':', {SPLIT_SEED}, {stratum})), "
+        f"{stratum}) <= {wanted} - sum(base) OVER () THEN 1 ELSE 0 END AS {name} FROM (SELECT *, "
+        f"({wanted} * {size}) // greatest(pool, 1) AS base, ({wanted} * {size}) % greatest(pool, 1) AS rest "
+        f"FROM (SELECT *, sum({size}) OVER () AS pool FROM ({source})))"
+    )
+
+
+def role_sql(source: str, key: str, stratum: str) -> str:
+    """SQL of `stratified_holdout`; the sizes are rounded up over the whole table."""
+    sizes = f"SELECT {stratum}, count(*) AS n, CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS e FROM {source} GROUP BY {stratum}"
+    wants = f"SELECT *, CAST(least(ceil(CAST(0.1 AS DOUBLE) * sum(n) OVER ()), sum(e) OVER ()) AS BIGINT) AS want FROM ({sizes})"
+    tests = _apportion_sql(wants, "e", "want", "t", stratum)
+    more = (
+        "SELECT * EXCLUDE pool, e - t AS f, CAST(least(ceil(CAST(0.1 AS DOUBLE) * (sum(n) OVER () - want)), sum(e - t) OVER ()) AS BIGINT) "
+        f"AS more FROM ({tests})"
+    )
+    vals = _apportion_sql(more, "f", "more", "v", stratum)
+    return (
+        f"SELECT {key}, {stratum} AS stratum, CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'val' ELSE 'train' END AS role FROM "
+        f"(SELECT {key}, {stratum}, row_number() OVER (PARTITION BY {stratum} ORDER BY md5(concat_ws(':', {SPLIT_SEED}, {key})), {key}) AS r "
+        f"FROM {source}) JOIN ({vals}) USING ({stratum})"
+    )
+
+
 # Hold-out roles of the embedding entities, stratified by their label.
-ROLE_SQL = (
-    "SELECT vec_id, label AS stratum, CASE WHEN r <= t THEN 'test' "
-    "WHEN r <= t + ceil(CAST(0.1 AS DOUBLE) * (n - t)) THEN 'val' ELSE 'train' END AS role FROM ("
-    "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY "
-    f"md5(concat_ws(':', {SPLIT_SEED}, vec_id)), vec_id) AS r, count(*) OVER (PARTITION BY label) AS n, "
-    "ceil(CAST(0.1 AS DOUBLE) * count(*) OVER (PARTITION BY label)) AS t FROM embeddings)"
-)
+ROLE_SQL = role_sql("embeddings", "vec_id", "label")
 
 
 def user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,18 +121,10 @@ def role_members(roles: DataFrame, role: str) -> DataFrame:
     return roles.filter(F.col("role") == role).select("vec_id")
 
 
-def fold_table(obs: DataFrame, folds: int = 10, seed: int = 0) -> DataFrame:
-    """Split table (fold, role, id): fold f tests part f and validates on the next part."""
-    parts = rank_rows(obs.select("id"), ["id"], seed, name="_position").withColumn(
-        "_part", F.col("_position") % folds
-    )
-    spread = parts.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
-    role = (
-        F.when(F.col("_part") == F.col("fold") - 1, "test")
-        .when(F.col("_part") == F.col("fold") % folds, "val")
-        .otherwise("train")
-    )
-    return spread.select("fold", role.alias("role"), "id")
+def fold_parts(obs: DataFrame, folds: int = 10, seed: int = 0) -> DataFrame:
+    """(id, part): every id in one of `folds` equal parts."""
+    placed = rank_rows(obs.select("id"), ["id"], seed, name="_position")
+    return placed.select("id", (F.col("_position") % folds).cast("int").alias("part"))
 
 
 # One graph per part: nation of the supplier -> nation of the customer, weighted by quantity.

@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from pairframe.frame import PairFrame
 from pairframe.operators.batching import Batches
-from pairframe.operators.metrics import prediction_table, score
+from pairframe.operators.metrics import prediction_rows, score
 from pairframe.operators.scaling import apply_scaler, fit_apply, fit_scaler
-from pairframe.operators.splitting import apply_split
+from pairframe.operators.splitting import apply_split, stratified_holdout
 from pairframe.plans.adapters import (
     EVENT_OBS_SQL,
     ROLE_SQL,
+    SPLIT_SEED,
     SUPPLY_OBS_SQL,
     event_obs,
-    fold_table,
+    fold_parts,
+    role_sql,
     scale_sql,
     spread,
     supply_obs,
@@ -25,7 +27,15 @@ from pairframe.plans.adapters import (
 from pairframe.plans.catalog import query
 from pairframe.plans.feature_queries import CELLS_FIRST, PAIR_SQL, supply_frame
 from pairframe.session import new_folder
-from pairframe.sources.splits import load_split, load_splits, save_splits
+from pairframe.sources.splits import (
+    load_fold,
+    load_parts,
+    load_splits,
+    read_split_lists,
+    save_parts,
+    save_splits,
+    write_split_lists,
+)
 
 SAMPLE_SEED = 42
 BATCH = 128
@@ -116,6 +126,16 @@ def holdout(spark, sf_dir):
     return user_roles(spark, sf_dir)
 
 
+PART_ROLE_SQL = role_sql("(SELECT p_partkey, concat(p_brand, '/', p_size) AS kind FROM part)", "p_partkey", "kind")
+
+
+@query("holdout_small_strata", f"SELECT p_partkey, stratum AS kind, role FROM ({PART_ROLE_SQL})")
+def holdout_small_strata(spark, sf_dir):
+    """Parts held out by brand and size: many strata of few members, some of one."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_size").alias("kind"))
+    return stratified_holdout(parts, "p_partkey", "kind", seed=SPLIT_SEED)
+
+
 @query(
     "apply_split",
     f"SELECT role, o.* FROM ({EVENT_OBS_SQL}) o JOIN ({ROLE_SQL}) ON cell_id = vec_id",
@@ -132,15 +152,16 @@ FOLD_SQL = (
 )
 
 
-def _stored_folds(spark, sf_dir) -> str:
-    path = new_folder(spark, "splits")
-    save_splits(fold_table(event_obs(spark, sf_dir), 10, FOLDS_SEED), path)
+def _stored_parts(spark, sf_dir) -> str:
+    path = new_folder(spark, "parts")
+    save_parts(fold_parts(event_obs(spark, sf_dir), 10, FOLDS_SEED), path)
     return path
 
 
 @query("kfold_splits", FOLD_SQL)
 def kfold_splits(spark, sf_dir):
-    return load_splits(spark, _stored_folds(spark, sf_dir))
+    """Ten folds over parts that hold every id once."""
+    return load_parts(spark, _stored_parts(spark, sf_dir))
 
 
 @query(
@@ -149,7 +170,7 @@ def kfold_splits(spark, sf_dir):
 )
 def fold_observations(spark, sf_dir):
     """Observations of one stored fold by role."""
-    split = load_split(spark, _stored_folds(spark, sf_dir), 3)
+    split = load_fold(spark, _stored_parts(spark, sf_dir), 3)
     frame = PairFrame(event_obs(spark, sf_dir))
     parts = [
         frame.select(ids, name=role).obs.select(F.lit(role).alias("role"), "*")
@@ -158,6 +179,27 @@ def fold_observations(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("split_lists", f"SELECT * FROM ({FOLD_SQL}) WHERE fold <= 2")
+def split_lists(spark, sf_dir):
+    """The first two folds as files of ids, read by their names."""
+    path = new_folder(spark, "lists")
+    folds = load_parts(spark, _stored_parts(spark, sf_dir)).filter(F.col("fold") <= 2)
+    write_split_lists(folds, path)
+    return read_split_lists(spark, path, "bigint")
+
+
+@query(
+    "stored_splits",
+    f"SELECT fold, role, count(*) AS n, min(id) AS first_id FROM ({FOLD_SQL}) WHERE fold IN (1, 10) GROUP BY fold, role",
+)
+def stored_splits(spark, sf_dir):
+    """Splits stored as (fold, role, id), summarised from a folder per fold and role."""
+    path = new_folder(spark, "splits")
+    folds = load_parts(spark, _stored_parts(spark, sf_dir)).filter(F.col("fold").isin(1, 10))
+    save_splits(folds, path)
+    return load_splits(spark, path).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 @query(
     "batch_count",
     f"SELECT count(*) AS n_rows, CAST(ceil(count(*) / {BATCH}.0) AS BIGINT) AS n_batches FROM events",
@@ -286,12 +328,7 @@ def metric_by_drug(spark, sf_dir):
     f"FROM ({PRED_SQL}) p JOIN ({ROLE_SQL}) ON p.cell_id = vec_id",
 )
 def predictions(spark, sf_dir):
+    """Every prediction with its user's role, by one join."""
     predicted = mean_predictions(spark, sf_dir).withColumn("y_pred", tidy("y_pred"))
-    roles = user_roles(spark, sf_dir)
-    splits = {
-        role: predicted.join(
-            roles.filter(F.col("role") == role).select(F.col("vec_id").alias("cell_id")), "cell_id", "left_semi"
-        )
-        for role in ("train", "val", "test")
-    }
-    return prediction_table(splits, model="user mean", run=1)
+    roles = user_roles(spark, sf_dir).select(F.col("vec_id").alias("id"), "role")
+    return prediction_rows(apply_split(predicted, roles, "cell_id"), "role", model="user mean", run=1)

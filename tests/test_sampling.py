@@ -10,7 +10,15 @@ from pairframe.operators.batching import batch_rows
 from pairframe.operators.observations import as_obs
 from pairframe.operators.ranking import rank_rows, slice_rows
 from pairframe.operators.splitting import apply_split, stratified_holdout
-from pairframe.sources.splits import load_split, load_splits, save_splits
+from pairframe.sources.splits import (
+    load_fold,
+    load_parts,
+    load_split,
+    load_splits,
+    read_split_lists,
+    save_parts,
+    save_splits,
+)
 
 
 def order(ids, *salt):
@@ -65,11 +73,54 @@ def test_holdout(spark):
     assert counts == {
         ("A", "test"): 5, ("A", "val"): 5, ("A", "train"): 40,
         ("B", "test"): 1, ("B", "val"): 1, ("B", "train"): 5,
-        ("C", "test"): 1,
+        ("C", "train"): 1,
     }
     assert roles.count() == 58
 
 
+def test_holdout_sizes_over_many_small_strata(spark, monkeypatch):
+    from pairframe.operators import splitting
+
+    rows = [(i, None if i // 3 == 7 else f"s{i // 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, s string")
+
+    def sizes(part):
+        return {r["role"]: r["count"] for r in part.groupBy("role").count().collect()}
+
+    small = stratified_holdout(df, "k", "s", seed=1)
+    assert sizes(small) == {"test": 30, "val": 27, "train": 243}
+    monkeypatch.setattr(splitting, "BROADCAST_ROWS", 10)  # too many strata for one task
+    assert sizes(stratified_holdout(df, "k", "s", seed=1)) == {"test": 30, "val": 27, "train": 243}
+    assert sizes(stratified_holdout(df, "k", "s", test_size=1.0)) == {"test": 300}
+    single = spark.createDataFrame([(i, i) for i in range(20)], "k int, s int")
+    assert sizes(stratified_holdout(single, "k", "s")) == {"train": 20}
+    assert stratified_holdout(df.limit(0), "k", "s").count() == 0
+
+
+def test_split_files(spark, tmp_path):
+    for name, ids in {"train_1.txt": "5\n6\n\n", "val_1.txt": "7\n", "test_1.txt": "8\n", "train_12": "9\n", "notes.txt": "1\n"}.items():
+        (tmp_path / name).write_text(ids)
+    got = sorted(tuple(r) for r in read_split_lists(spark, str(tmp_path), "int").collect())
+    assert got == [(1, "test", 8), (1, "train", 5), (1, "train", 6), (1, "val", 7), (12, "train", 9)]
+    (tmp_path / "val_3.txt").write_text("x\n")
+    with pytest.raises(Exception, match="another type"):
+        read_split_lists(spark, str(tmp_path), "int").collect()
+
+
+def test_parts_are_stored_once(spark, tmp_path):
+    parts = spark.range(95).select("id", (F.col("id") % 10).cast("int").alias("part"))
+    path = str(tmp_path / "p")
+    save_parts(parts, path)
+    assert spark.read.parquet(path).count() == 95
+    folds = load_parts(spark, path)
+    assert folds.count() == 950 and folds.filter("role = 'test'").select("id").distinct().count() == 95
+    one = load_fold(spark, path, 10)
+    assert {r["id"] % 10 for r in one.test_ids.collect()} == {9} and {r["id"] % 10 for r in one.val_ids.collect()} == {0}
+    assert one.train_ids.count() == 95 - 9 - 10
+    with pytest.raises(KeyError):
+        load_fold(spark, path, 11)
+
+
 def test_splits_round_trip(spark, obs, tmp_path):
     rows = [(f, "test" if i % 10 == f - 1 else "train", i) for f in range(1, 11) for i in range(100)]
     table = spark.createDataFrame(rows, "fold int, role string, id bigint")
