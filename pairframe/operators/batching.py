@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairframe.functions.guards import required
 from pairframe.operators.ranking import Key, rank_rows, slice_rows
+from pairframe.session import cut_lineage
+
+ROWS_PER_FILE = 500_000
 
 
 @dataclass(frozen=True)
@@ -73,15 +76,36 @@ class Batches:
         )
         return self._encoded(rows)
 
-    def write(self, path: str, epoch: int = 0, batches_per_shard: int = 1_000) -> None:
-        """Parquet for a trainer: one folder per range of batches, ordered inside."""
-        sharded = self.assign(epoch).withColumn("shard", F.expr(f"batch_id div {int(batches_per_shard)}"))
-        (
-            sharded.repartition("shard")
-            .sortWithinPartitions("shard", "batch_id", "position")
-            .write.partitionBy("shard")
-            .parquet(path)
+    def write(self, path: str, epoch: int = 0, rows_per_file: int = ROWS_PER_FILE) -> None:
+        """Encoded batches as Parquet for a trainer, with an index of the files.
+
+        Files hold whole batches, consecutive and ordered inside, about `rows_per_file` rows
+        each, however many batches that is. `read_batch` opens only the file of its batch.
+        """
+        placed = self.order(epoch).withColumn("batch_id", F.expr(f"position div {int(self.batch_size)}"))
+        placed = cut_lineage(placed)
+        files = max(1, -(-placed.count() // rows_per_file))
+        ordered = self._encoded(placed).repartitionByRange(files, "batch_id").sortWithinPartitions("batch_id", "position")
+        ordered.write.parquet(f"{path}/rows")
+        rows = placed.sparkSession.read.parquet(f"{path}/rows")
+        index = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+            F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"), F.count(F.lit(1)).alias("n_rows")
         )
+        index.coalesce(1).write.parquet(f"{path}/index")  # one row per file
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of stored batches with their position and batch_id."""
+    return spark.read.parquet(f"{path}/rows")
+
+
+def read_batch(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """Rows of one stored batch, from the files that the index names; none is an IndexError."""
+    index = spark.read.parquet(f"{path}/index")
+    held = index.filter((F.col("first_batch") <= k) & (F.col("last_batch") >= k)).select("file").collect()
+    if not held:
+        raise IndexError(f"batch {k} is not stored")
+    return spark.read.parquet(*[f"{path}/rows/{r['file']}" for r in held]).filter(F.col("batch_id") == k)
 
 
 def batch_rows(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from pairframe.featureset import ENTITY, FeatureSet
+from pairframe.operators.ranking import Key, rank_rows
 
 
 def check_same_columns(a: DataFrame, b: DataFrame) -> bool:
@@ -23,6 +24,30 @@ def key_mismatches(a: DataFrame, b: DataFrame, key: str, position: str | None =
     return only_a.unionByName(only_b)
 
 
+def order_mismatches(
+    a: DataFrame,
+    b: DataFrame,
+    key: str,
+    order_a: Key | Sequence[Key],
+    order_b: Key | Sequence[Key] | None = None,
+    ids: Sequence[Key] | None = None,
+) -> DataFrame:
+    """(position, left_key, right_key) where two tables, each in its stated order, differ.
+
+    Exact positions come from ranges of the order, without a sort in one task, and the tables
+    meet by position. A longer table has positions without a partner. `ids` identify a row
+    where equal values of the order leave a choice; by default the key does.
+    """
+    sides = []
+    for df, order, name in ((a, order_a, "left_key"), (b, order_a if order_b is None else order_b, "right_key")):
+        ranked = rank_rows(df, list(ids or [key]), order_by=order, name="position")
+        sides.append(ranked.select("position", F.col(key).alias(name), F.lit(True).alias(f"_{name}")))
+    left, right = sides
+    both = left.join(right, "position", "full")
+    same = F.col("left_key").eqNullSafe(F.col("right_key")) & F.col("_left_key").eqNullSafe(F.col("_right_key"))
+    return both.filter(~same).select("position", "left_key", "right_key")
+
+
 def check_same_keys(a: DataFrame, b: DataFrame, key: str, position: str | None = None) -> bool:
     """Same key values (and positions) in both frames; runs a job."""
     return key_mismatches(a, b, key, position).isEmpty()

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from pairframe.featureset import ENTITY, VALUE, FeatureSet
 from pairframe.functions.arrays import reduce_arrays
+from pairframe.functions.numeric import nan_to_null
 from pairframe.operators.encoding import encode_pairs
 from pairframe.operators.metrics import score
-from pairframe.operators.scaling import fit_apply
+from pairframe.operators.scaling import fit_apply, fit_apply_matrix
 from pairframe.operators.selection import keep_members
 from pairframe.plans.adapters import DIM, EVENT_OBS_SQL, SUPPLY_OBS_SQL, event_obs, scale_sql, spread_scan, supply_obs, table, tidy
 from pairframe.plans.catalog import query
 from pairframe.session import new_folder
-from pairframe.sources.tables import read_lookup
+from pairframe.sources.tables import read_feature_matrix, read_lookup
 
 MANY_IDS = 2_500
 WIDTHS = (2, 16, 17, DIM)
@@ -62,6 +63,28 @@ def select_many_ids(spark, sf_dir):
     return keep_members(rows, "event_id", [str(i) for i in range(1, MANY_IDS + 1)])
 
 
+@query("select_float_ids", f"SELECT event_id, user_id, value FROM events WHERE event_id BETWEEN 1 AND {MANY_IDS}")
+def select_float_ids(spark, sf_dir):
+    """The same ids as floats, some of them between two ids."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return keep_members(rows, "event_id", [i / 2 for i in range(1, 2 * MANY_IDS + 2)])
+
+
+@query(
+    "scale_grouped_matrix",
+    "WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS pos FROM embeddings), "
+    "fit AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS mean, var_pop(CAST(x AS DOUBLE)) AS var, CAST(count(*) AS DOUBLE) AS n "
+    f"FROM x GROUP BY label, pos) SELECT vec_id, label, pos, round(CAST(CAST((x - mean) / ({scale_sql()}) AS FLOAT) AS DOUBLE), 4) + 0.0 AS x "
+    "FROM x JOIN fit USING (label, pos)",
+)
+def scale_grouped_matrix(spark, sf_dir):
+    """Vectors scaled per label at all their positions; they stay floats."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    scaled = fit_apply_matrix(vectors, "label", "embedding")
+    long = scaled.select("vec_id", "label", F.posexplode("embedding").alias("pos", "x"))
+    return long.select("vec_id", "label", F.col("pos").cast("bigint").alias("pos"), tidy(F.col("x").cast("double"), 4).alias("x"))
+
+
 @query(
     "reduce_widths",
     " UNION ALL ".join(
@@ -100,6 +123,26 @@ def encode_two_sets(spark, sf_dir):
     return rows.select("id", F.col("cell_balance").alias("balance"), F.col("cell_nation").alias("nation"))
 
 
+@query(
+    "csv_missing",
+    "SELECT s_suppkey AS entity_id, CASE WHEN s_acctbal < 0 THEN NULL ELSE round(s_acctbal, 2) END AS balance, "
+    "CASE WHEN s_nationkey % 3 = 0 THEN NULL ELSE CAST(s_nationkey AS DOUBLE) END AS nation FROM supplier",
+)
+def csv_missing(spark, sf_dir):
+    """A matrix file with the texts NA and null where numbers are missing."""
+    path = new_folder(spark, "csv")
+    texts = table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.when(F.col("s_acctbal") < 0, "NA").otherwise(F.col("s_acctbal").cast("string")).alias("balance"),
+        F.when(F.col("s_nationkey") % 3 == 0, "null").otherwise(F.col("s_nationkey").cast("string")).alias("nation"),
+    )
+    texts.write.options(header=True, escape='"').csv(path)
+    matrix = read_feature_matrix(spark, path, key_type="bigint")
+    return matrix.table.select(
+        ENTITY, *[F.round(nan_to_null(F.get(VALUE, i)), 2).alias(c) for i, c in enumerate(matrix.feature_names)]
+    )
+
+
 @query("csv_quoted", "SELECT CAST(doc_id AS VARCHAR) AS entity_id, md5(text) AS digest FROM documents")
 def csv_quoted(spark, sf_dir):
     """Whole texts, with their quotes and line ends, through a CSV lookup file and back."""

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairframe.frame import PairFrame
-from pairframe.operators.checks import duplicate_keys, key_mismatches, unknown_keys
+from pairframe.operators.checks import (
+    check_feature_sets,
+    check_kind,
+    check_same_columns,
+    duplicate_keys,
+    key_mismatches,
+    order_mismatches,
+    unknown_keys,
+)
+from pairframe.operators.batching import batch_rows
+from pairframe.operators.features import signature
 from pairframe.operators.observations import (
     as_entity_table,
     as_obs,
@@ -24,6 +34,7 @@ from pairframe.plans.adapters import (
     supply_obs,
     table,
     tidy,
+    user_vectors,
 )
 from pairframe.plans.catalog import query
 
@@ -197,7 +208,11 @@ def metadata_join(spark, sf_dir):
     "UNION ALL SELECT 'repeated_line_keys', count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem "
     "GROUP BY ALL HAVING count(*) > 1) "
     "UNION ALL SELECT 'key_mismatches', count(*) FROM ((SELECT DISTINCT user_id AS k FROM events EXCEPT SELECT vec_id "
-    "FROM embeddings) UNION ALL (SELECT vec_id FROM embeddings EXCEPT SELECT user_id FROM events))",
+    "FROM embeddings) UNION ALL (SELECT vec_id FROM embeddings EXCEPT SELECT user_id FROM events)) "
+    "UNION ALL SELECT 'position_mismatches', count(*) FROM (SELECT event_id AS x, row_number() OVER (ORDER BY ts, "
+    "md5(concat_ws(':', 0, event_id)), event_id) AS r FROM events) FULL JOIN (SELECT event_id AS y, row_number() OVER "
+    "(ORDER BY user_id, value, md5(concat_ws(':', 0, event_id)), event_id) AS r FROM events WHERE event_type <> 'click') "
+    "USING (r) WHERE x IS DISTINCT FROM y",
 )
 def checks_report(spark, sf_dir):
     events = table(spark, sf_dir, "events")
@@ -210,6 +225,9 @@ def checks_report(spark, sf_dir):
         "repeated_line_keys": duplicate_keys(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber"),
         "key_mismatches": key_mismatches(users, vectors.withColumnRenamed("vec_id", "user_id"), "user_id"),
     }
+    reports["position_mismatches"] = order_mismatches(
+        events, events.filter("event_type <> 'click'"), "event_id", "ts", ["user_id", "value"]
+    )
     counts = [
         df.agg(F.lit(name).alias("check_name"), F.count(F.lit(1)).alias("violations")) for name, df in reports.items()
     ]
@@ -217,3 +235,63 @@ def checks_report(spark, sf_dir):
     for part in counts[1:]:
         result = result.unionByName(part)
     return result
+
+
+class NameLength:
+    """A feature set of one's own: anything with kind, name, width and attach will do."""
+
+    kind, name, width = "lookup", "length", 1
+
+    def attach(self, df, key, column, strict=True):
+        return df.withColumn(column, F.length(F.col(key).cast("string")))
+
+
+def _error_of(call) -> str:
+    try:
+        call()
+    except (ValueError, TypeError) as error:
+        return str(error)
+    return "none"
+
+
+@query(
+    "frame_report",
+    f"WITH o AS ({EVENT_OBS_SQL}) SELECT 'size' AS item, CAST(count(*) AS VARCHAR) AS value FROM o "
+    "UNION ALL SELECT 'cells', CAST(count(DISTINCT cell_id) AS VARCHAR) FROM o "
+    "UNION ALL SELECT 'drugs', CAST(count(DISTINCT drug_id) AS VARCHAR) FROM o "
+    "UNION ALL SELECT 'cell ids', CAST(sum(cell_id) AS VARCHAR) FROM o "
+    "UNION ALL SELECT 'drug ids', CAST(sum(length(drug_id)) AS VARCHAR) FROM o "
+    "UNION ALL SELECT 'labels', CAST(CAST(round(sum(label)) AS BIGINT) AS VARCHAR) FROM o "
+    "UNION ALL SELECT 'own feature set', CAST(sum(length(drug_id)) AS VARCHAR) FROM o "
+    "UNION ALL SELECT 'whole batch rows', CAST(count(*) AS VARCHAR) FROM o "
+    "UNION ALL SELECT 'label type', 'double' UNION ALL SELECT 'signature', 'embedding float 64' "
+    "UNION ALL SELECT 'same columns', 'True' UNION ALL SELECT 'without sets', 'frame has no cell feature sets' "
+    "UNION ALL SELECT 'wrong kind', 'expected a lookup feature set, got matrix'",
+)
+def frame_report(spark, sf_dir):
+    """What a frame and its checks tell about themselves."""
+    frame = PairFrame(
+        event_obs(spark, sf_dir), {"vector": user_vectors(spark, sf_dir)}, {"length": NameLength()}
+    )
+    described = signature(frame.cell_features["vector"])
+    text = {
+        "label type": frame.dtype,
+        "signature": f"{described['name']} {described['dtype']} {described['shape'][0]}",
+        "same columns": str(check_same_columns(frame.obs, frame.sample_cells(1).obs)),
+        "without sets": _error_of(lambda: check_feature_sets(None, {"length": NameLength()})),
+        "wrong kind": _error_of(lambda: check_kind(frame.cell_features["vector"], "lookup")),
+    }
+    counted = {
+        "size": frame.summary().select("size"),
+        "cells": frame.summary().select("n_cells"),
+        "drugs": frame.summary().select("n_drugs"),
+        "cell ids": frame.cell_ids.agg(F.sum("cell_id")),
+        "drug ids": frame.drug_ids.agg(F.sum(F.length("drug_id"))),
+        "labels": frame.labels.agg(F.round(F.sum("label")).cast("bigint")),
+        "own feature set": NameLength().attach(frame.obs, "drug_id", "n").agg(F.sum("n")),
+        "whole batch rows": batch_rows(frame.obs).agg(F.count("*")),
+    }
+    result = spark.createDataFrame(list(text.items()), "item string, value string")
+    for item, df in counted.items():
+        result = result.unionByName(df.select(F.lit(item).alias("item"), F.col(df.columns[0]).cast("string").alias("value")))
+    return result

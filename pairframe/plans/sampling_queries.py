@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairframe.frame import PairFrame
-from pairframe.operators.batching import Batches
+from pairframe.operators.batching import Batches, read_batch, read_batches
 from pairframe.operators.metrics import prediction_rows, score
 from pairframe.operators.scaling import apply_scaler, fit_apply, fit_scaler
 from pairframe.operators.splitting import apply_split, stratified_holdout
@@ -283,6 +283,31 @@ def batch_features(spark, sf_dir):
     )
 
 
+STORED_BATCHES = (0, 3, 17)
+
+
+@query(
+    "batch_store",
+    f"WITH b AS (SELECT id, cell_id, drug_id, round(target, 6) + 0.0 AS target, round(x00, 6) + 0.0 AS x00, position, position // {BATCH} AS batch_id "
+    f"FROM (SELECT id, cell_id, drug_id, label AS target, x00, {_rank_sql('3, 2')} AS position FROM ({PAIR_SQL.format(x=CELLS_FIRST)}))) "
+    f"SELECT 'all' AS part, * FROM b UNION ALL SELECT 'one', * FROM b WHERE batch_id IN {STORED_BATCHES}",
+)
+def batch_store(spark, sf_dir):
+    """Encoded batches stored in files of many batches; all of them, and three read alone."""
+    path = new_folder(spark, "batches")
+    frame = supply_frame(spark, sf_dir)
+    frame.batches(BATCH, shuffle=True, seed=3).write(path, epoch=2, rows_per_file=20_000)
+    parts = [("all", read_batches(spark, path))] + [("one", read_batch(spark, path, k)) for k in STORED_BATCHES]
+    result = None
+    for name, rows in parts:
+        rows = rows.withColumn("x", F.concat(*frame.feature_columns)).select(
+            F.lit(name).alias("part"), "id", "cell_id", "drug_id", tidy("target").alias("target"),
+            tidy(F.get("x", 0).cast("double")).alias("x00"), "position", "batch_id",
+        )
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
 # Predictions: the mean of the user's values.
 PRED_SQL = (
     "SELECT user_id AS cell_id, event_type AS drug_id, value AS y_true, avg(value) OVER (PARTITION BY user_id) AS y_pred "

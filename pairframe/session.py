@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 BROADCAST_ROWS = 200_000
+ROW_VALUES = 8
 
 
 def build_session(app: str = "pairframe", master: str | None = None, **conf) -> SparkSession:
@@ -62,11 +63,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Store a narrow table, count it, and mark it for broadcast only when it is small.
+def checked_broadcast(df: DataFrame, width: Column | None = None) -> DataFrame:
+    """Store a narrow table, measure it, and mark it for broadcast only when it is small.
 
-    The other side of a join then stays where it is instead of being shuffled by a
+    `width` is the number of values in a row where its arrays make it wide; the table is small
+    if it holds at most BROADCAST_ROWS rows of at most ROW_VALUES values, or as many values in
+    wider rows. The other side of a join then stays where it is instead of being shuffled by a
     possibly hot key. A larger table is joined by shuffle, with hot keys split at run time.
     """
     stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+    rows, values = stored.agg(F.count(F.lit(1)), F.lit(0) if width is None else F.sum(width)).first()
+    small = rows <= BROADCAST_ROWS and (values or 0) <= BROADCAST_ROWS * ROW_VALUES
+    return F.broadcast(stored) if small else stored

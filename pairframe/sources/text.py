@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairframe.functions.text import split_fields
+from pairframe.session import checked_broadcast
 
 
 def read_list(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
@@ -29,25 +30,15 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def _numbered(lines: DataFrame) -> DataFrame:
     """Add `line_no` (0-based, per file).
 
-    Lines are ranked inside their block, which is never larger than one scan split,
-    and shifted by the line counts of earlier blocks.
+    The increasing ids of a block are consecutive, so a line's number is its id less the least
+    id of its block, plus the lines of earlier blocks. Only one row per block is exchanged; it
+    meets the lines in a broadcast join, or a shuffle join where there are very many blocks.
     """
-    in_block = Window.partitionBy("file", "block")
-    ranked = lines.select(
-        "file",
-        "block",
-        "value",
-        F.row_number().over(in_block.orderBy("seq")).alias("_rank"),
-        F.count(F.lit(1)).over(in_block).alias("_n"),
-    )
+    blocks = lines.groupBy("file", "block").agg(F.min("seq").alias("_least"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranked.filter(F.col("_rank") == 1)
-        .select("file", "block", "_n")
-        .select("file", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    )
-    return ranked.join(starts, ["file", "block"]).select(
-        "file", (F.col("_before") + F.col("_rank") - 1).alias("line_no"), "value"
+    starts = blocks.select("file", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_least")).alias("_shift"))
+    return lines.join(checked_broadcast(starts), ["file", "block"]).select(
+        "file", (F.col("seq") + F.col("_shift")).alias("line_no"), "value"
     )
 
 

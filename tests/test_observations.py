@@ -1,3 +1,6 @@
+import datetime as dt
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from pairframe.operators.checks import (
     check_same_columns,
     check_same_keys,
     duplicate_keys,
+    order_mismatches,
     require_known,
     require_unique,
 )
@@ -171,3 +175,58 @@ def test_members_are_cast_alike_for_any_number(spark):
     df = spark.range(3_000)
     for n in (10, 1_500):
         assert keep_members(df, "id", [str(i) for i in range(n)] + ["no number", None]).count() == n
+
+
+@pytest.mark.parametrize(
+    "kind, stored, members, found",
+    [
+        ("bigint", [1, 2, 3], [1.0, 2.5, "3", " 3 ", "x", None, True, 1e300, float("nan"), "9" * 30], [1, 3]),
+        ("int", [1, 2, 3], [Decimal("2.0"), Decimal("2.5"), 2**40], [2]),
+        ("string", ["1", "1.0", "a"], [1, "a", 1.0], ["1", "1.0", "a"]),
+        ("double", [0.5, 1.0, float("inf")], [1, "0.5", "no", Decimal("0.25")], [0.5, 1.0]),
+        ("float", [0.5, 0.1], [0.5, 0.1], [0.5]),
+        ("binary", [b"ab", b"c"], [b"ab", "c", bytearray(b"x")], [bytearray(b"ab"), bytearray(b"c")]),
+        ("decimal(10,2)", [Decimal("1.50"), Decimal("2.00")], [1.5, 2, "2.001", Decimal("1e20")], [Decimal("1.50"), Decimal("2.00")]),
+        ("date", [dt.date(2024, 1, 2), dt.date(2024, 1, 3)], [dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3, 5), "2024-01-03", "?"], [dt.date(2024, 1, 2), dt.date(2024, 1, 3)]),
+        ("timestamp", [dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 3)], [dt.date(2024, 1, 2), "2024-01-02T03:00:00"], [dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 3)]),
+        ("boolean", [True, False], ["true", 7], [True]),
+    ],
+)
+@pytest.mark.parametrize("limit", [1_000, 0])
+def test_members_of_any_type(spark, monkeypatch, kind, stored, members, found, limit):
+    """In a filter and, beyond the limit, in a join."""
+    from pairframe.operators import selection
+
+    monkeypatch.setattr(selection, "LITERAL_LIMIT", limit)
+    df = spark.createDataFrame([(v,) for v in [*stored, None]], f"k {kind}")
+    got = [r["k"] for r in keep_members(df, "k", [*members, members[0]]).collect()]
+    assert sorted(got) == sorted(v if kind != "float" else v for v in found)
+
+
+def test_members_that_cannot_be_compared(spark):
+    for kind, member in (("bigint", b"1"), ("date", 5), ("binary", 1), ("string", b"x"), ("bigint", dt.date(2024, 1, 1))):
+        with pytest.raises(TypeError):
+            keep_members(spark.createDataFrame([], f"k {kind}"), "k", [None, member])
+    assert keep_members(spark.range(3), "id", [None]).count() == 0 and keep_members(spark.range(3), "id", []).count() == 0
+
+
+def test_intersect_reads_every_frame_twice(spark, tmp_path):
+    paths = []
+    for i in range(3):
+        spark.range(i, 10).select("id", F.lit(i).alias("x")).write.parquet(str(tmp_path / str(i)))
+        paths.append(str(tmp_path / str(i)))
+    frames = [spark.read.parquet(p) for p in paths]
+    kept = intersect_columns(*frames, cols="id")
+    assert [k.count() for k in kept] == [8, 8, 8]
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2  # itself and the stored keys
+
+
+def test_order_mismatches(spark):
+    a = spark.createDataFrame([(i, f"k{i}") for i in range(50)], "o int, k string")
+    b = a.withColumn("o", F.when(F.col("o") == 10, 11).when(F.col("o") == 11, 10).otherwise(F.col("o")))
+    assert order_mismatches(a, a, "k", "o").isEmpty()
+    assert rows(order_mismatches(a, b, "k", "o")) == [(10, "k10", "k11"), (11, "k11", "k10")]
+    assert rows(order_mismatches(a, a.filter("o < 48"), "k", "o")) == [(48, "k48", None), (49, "k49", None)]
+    null_last = a.select("o", F.when(F.col("o") == 49, None).otherwise(F.col("k")).alias("k"))
+    assert order_mismatches(null_last, null_last.filter("o < 49"), "k", "o", ids=["o"]).count() == 1

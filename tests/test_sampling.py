@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairframe import Batches, FeatureSet, PairFrame
 from pairframe.operators import ranking
-from pairframe.operators.batching import batch_rows
+from pairframe.operators.batching import batch_rows, read_batch, read_batches
 from pairframe.operators.observations import as_obs
 from pairframe.operators.ranking import rank_rows, slice_rows
 from pairframe.operators.splitting import apply_split, stratified_holdout
@@ -238,12 +238,20 @@ def test_ids_in_a_stated_order(spark, monkeypatch):
     assert [r["label"] for r in as_obs(df, order_by=-F.col("label")).orderBy("id").take(4)] == [None, 9.0, 5.0, 4.0]
 
 
-def test_write_batches(spark, tmp_path):
+def test_stored_batches(spark, tmp_path):
     path = str(tmp_path / "b")
-    Batches(spark.range(50), 5).write(path, batches_per_shard=3)
-    back = spark.read.parquet(path)
-    assert back.count() == 50 and back.select("shard").distinct().count() == 4
-    assert back.filter("shard = 1").select("batch_id").distinct().count() == 3
+    batches = Batches(spark.range(1_000), 5, shuffle=True, seed=2)
+    batches.write(path, epoch=1, rows_per_file=100)
+    back = read_batches(spark, path)
+    assert back.drop("position", "batch_id").exceptAll(spark.range(1_000)).isEmpty() and back.count() == 1_000
+    index = spark.read.parquet(f"{path}/index").collect()
+    assert 5 <= len(index) <= 20 and sum(r["n_rows"] for r in index) == 1_000
+    one = read_batch(spark, path, 7)
+    assert len(one.inputFiles()) == 1
+    assert {r["id"] for r in one.collect()} == {r["id"] for r in batches.batch(7, epoch=1).collect()}
+    assert [r["position"] for r in one.collect()] == list(range(35, 40))
+    with pytest.raises(IndexError):
+        read_batch(spark, path, 200)
 
 
 def test_batch_rows(obs, spark):

@@ -1,10 +1,20 @@
 import math
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairframe import PairFrame, normalize_responses
 from pairframe.operators.metrics import prediction_table, score
-from pairframe.operators.scaling import apply_scaler, fit_apply, fit_scaler
+from pairframe.operators.scaling import (
+    apply_matrix_scaler,
+    apply_scaler,
+    fit_apply,
+    fit_apply_matrix,
+    fit_matrix_scaler,
+    fit_scaler,
+    normalize_labels,
+)
 
 NAN = float("nan")
 
@@ -96,3 +106,68 @@ def test_integer_labels_become_doubles(spark):
         rows = fit_apply(df, group)
         assert dict(rows.dtypes)["label"] == "double"
         assert sorted(round(r["label"], 3) for r in rows.collect()) == [-0.926, -0.463, 1.389]
+
+
+def test_no_value_to_fit_on(spark):
+    empty = spark.createDataFrame([(1, "d", None), (2, "d", float("nan"))], "id int, drug_id string, label double")
+    other = spark.createDataFrame([(3, "d", 1.0)], "id int, drug_id string, label double")
+    for train in (empty, empty.limit(0)):
+        with pytest.raises(Exception, match="no value to fit"):
+            apply_scaler(other, fit_scaler(train)).collect()
+        assert apply_scaler(other, fit_scaler(train), strict=False).first()["label"] is None
+
+
+def matrix_rows():
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 9 == 8 else f"g{i % 3}", (rng.normal(i % 3, 2, 5)).astype(np.float32).tolist()) for i in range(90)]
+    rows[4][2][1], rows[5][2][2] = float("nan"), None
+    return rows + [(100, "one", [1.0] * 5), (101, "g0", None), (102, "g1", [])]
+
+
+@pytest.mark.parametrize("kind, element", [("float", "float"), ("double", "double"), ("int", "double")])
+def test_matrix_scaling_per_group(spark, kind, element):
+    rows = matrix_rows()
+    if kind == "int":
+        rows = [(i, g, v and [None if x is None or x != x else int(x) for x in v]) for i, g, v in rows]
+    df = spark.createDataFrame(rows, f"id int, g string, value array<{kind}>")
+    scaled = fit_apply_matrix(df, "g")
+    assert scaled.columns == df.columns and scaled.schema["value"].dataType.elementType.simpleString() == element
+    got = {r["id"]: r["value"] for r in scaled.collect()}
+    groups = {}
+    for i, g, v in rows:
+        if v:
+            groups.setdefault(g, []).append([np.nan if x is None else x for x in v])
+    stats = {g: (np.nanmean(m, axis=0), np.nanstd(np.array(m, float), axis=0)) for g, m in groups.items()}
+    for i, g, v in rows:
+        if not v:
+            assert got[i] == v
+            continue
+        mean, scale = stats[g]
+        scale = np.where(scale == 0, 1.0, scale)
+        expected = (np.array([np.nan if x is None else x for x in v], float) - mean) / scale
+        assert np.allclose([np.nan if x is None else x for x in got[i]], expected, atol=1e-5, equal_nan=True)
+
+
+def test_matrix_groups_without_statistics(spark):
+    df = spark.createDataFrame(matrix_rows(), "id int, g string, value array<float>")
+    stats = fit_matrix_scaler(df.filter("g = 'g0'"), "g")
+    assert stats.count() == 1 and stats.first()["n"] == 30
+    with pytest.raises(Exception, match="no statistics for group"):
+        apply_matrix_scaler(df, stats, "g").collect()
+    loose = {r["id"]: r["value"] for r in apply_matrix_scaler(df, stats, "g", strict=False).collect()}
+    assert loose[1] is None and loose[0] is not None
+    longer = df.filter("g = 'g0'").withColumn("value", F.concat("value", "value"))
+    with pytest.raises(Exception, match="no statistics"):
+        apply_matrix_scaler(longer, stats, "g").collect()
+
+
+def test_wide_statistics_are_not_broadcast(spark, monkeypatch):
+    from pairframe import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 3)
+    df = spark.createDataFrame([(i, f"g{i % 2}", [float(i)] * 20) for i in range(20)], "id int, g string, value array<double>")
+    plan = fit_apply_matrix(df, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 300)
+    plan = fit_apply_matrix(df, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan.lower()

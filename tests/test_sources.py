@@ -56,6 +56,13 @@ def test_line_numbers_across_blocks(spark, write):
     assert all(r["fields"][0] == str(r["line_no"]) for r in rows)
 
 
+def test_line_numbers_move_no_text(spark, write):
+    path = write("n", "a\nb\n")
+    rows = read_delimited(spark, path, skip_rows=1, numbered=True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_feature_list_file(spark, write):
     rows = read_feature_list(spark, write("f", "g2\ng1\n"), "cgc").orderBy("pos").collect()
     assert [tuple(r) for r in rows] == [("cgc", 0, "g2"), ("cgc", 1, "g1")]
