@@ -18,12 +18,12 @@ from pairframe.plans import load_queries  # noqa: E402
 from pairframe.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "obs_conform obs_generated_id select_ids select_cells min_count_filter dataset_summary lookup_map pair_grid "
-    "metadata_join feature_variance variance_filter scale_features fingerprint_bits encode_matrix encode_pair "
-    "scale_global scale_grouped scale_grouped_parts scale_fit_apply sample_obs sample_cells shuffle_rank "
-    "stratified_holdout apply_split kfold_splits batch_assign batch_ordered batch_slice batch_features metric_by_drug "
+    "obs_conform obs_generated_id obs_ordered_id select_ids select_cells min_count_filter dataset_summary lookup_map "
+    "intersect_keys metadata_join feature_variance variance_filter scale_features fingerprint_bits encode_matrix encode_pair "
+    "scale_global scale_grouped scale_grouped_parts scale_grouped_matrix scale_fit_apply sample_obs sample_cells shuffle_rank "
+    "stratified_holdout holdout_small_strata apply_split kfold_splits batch_assign batch_ordered batch_ordered_text batch_slice batch_features batch_store metric_by_drug "
     "graph_walk graph_conv graph_conv_walked graph_maxpool graph_avgpool softmax_pool additive_score vector_dot "
-    "bundle_roundtrip metric_bundle gmt_sets delimited_rows response_regression stream_scale_encode"
+    "bundle_roundtrip metric_bundle csv_quoted csv_missing gmt_sets delimited_rows response_regression stream_scale_encode"
 ).split()
 
 

@@ -16,8 +16,9 @@ def split_fields(line: Column, delimiter: str = "\t") -> Column:
     if len(delimiter) != 1:
         raise ValueError("delimiter must be one character")
     sep = re.escape(delimiter)
-    field = f'{sep}("(?:[^"]|"")*"[^{sep}]*|[^{sep}]*)'
-    quoted = '^"((?:[^"]|"")*)"(.*)$'
+    # possessive, so that a long field needs no stack
+    field = f'{sep}("[^"]*+(?:""[^"]*+)*+"[^{sep}]*|[^{sep}]*)'
+    quoted = '(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$'
 
     def unwrap(f: Column) -> Column:
         inner = F.replace(F.regexp_extract(f, quoted, 1), F.lit('""'), F.lit('"'))

@@ -169,20 +169,24 @@ def panel_bundle(spark, sf_dir):
     )
 
 
-WORDS_SQL = r"regexp_replace(replace(text, '\"', ''), '[ \t\r\n]+', '{gap}', 'g')".replace(r"\"", '"')
+WORDS_SQL = "regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')"
 
 
 @query(
     "gmt_sets",
     f"SELECT concat('doc ', doc_id) AS set_name, len(words) AS n_genes, array_to_string(words, ' ') AS genes FROM "
-    f"(SELECT doc_id, string_split({WORDS_SQL.format(gap=' ')}, ' ') AS words FROM documents)",
+    f"(SELECT doc_id, string_split({WORDS_SQL}, ' ') AS words FROM documents)",
 )
 def gmt_sets(spark, sf_dir):
-    """The words of every document as a gene-set file."""
-    plain = F.replace("text", F.lit('"'), F.lit(""))
-    line = F.concat_ws(
-        "\t", F.concat(F.lit("doc "), "doc_id"), "lang", F.regexp_replace(plain, "[ \t\r\n]+", "\t")
-    )
+    """The words of every document as a gene-set file; words with quotes, and every tenth
+    other, are quoted fields."""
+    words = F.split(F.regexp_replace("text", "[ \t\r\n]+", "\t"), "\t")
+
+    def field(word, i):
+        quoted = F.concat(F.lit('"'), F.replace(word, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(F.contains(word, F.lit('"')) | (i % 10 == 0), quoted).otherwise(word)
+
+    line = F.concat_ws("\t", F.concat(F.lit("doc "), "doc_id"), "lang", F.array_join(F.transform(words, field), "\t"))
     path = new_folder(spark, "gmt")
     table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
     return read_gene_sets(spark, path).select(
