@@ -13,7 +13,6 @@ from pairframe.operators.scaling import (
     fit_apply_matrix,
     fit_matrix_scaler,
     fit_scaler,
-    normalize_labels,
 )
 
 NAN = float("nan")
