@@ -9,7 +9,8 @@ exchanges do that, with names packed into arrays per bucket of hashes:
    windows have equal anchors. Only anchors are exchanged, about one in 13 positions.
 2. Around each anchor that two documents share, the names of 38 bytes to the left and to the
    right are exchanged; a window whose side is unique leaves.
-3. What is left are windows of full length; the smallest document of each name decides.
+3. What is left are windows of full length; the smallest document of each name decides. The
+   open windows come back with the answers, a bit each, so they are not found a second time.
 
 Short names are exchanged as 32 bits inside their bucket: a chance match keeps a position
 for the next round and costs nothing else. Full names have 64 bits. Texts are stored once,
@@ -132,8 +133,37 @@ def _ask(block: Block, distinct: np.ndarray, extra: np.ndarray, buckets: int, sh
     )
 
 
+#: The number under which a block's open windows travel beside the answers of the last round.
+OPEN = 4
+
+
+def _open_windows(block: Block, left: np.ndarray) -> pa.Table:
+    """One row that is its own bucket: a bit per window of the block, set if it is still open."""
+    bits = np.packbits(np.isin(block.windows, left, assume_unique=True))
+    return pa.table(
+        {
+            "bucket": pa.array([-1 - block.number], pa.int64()),
+            "block": pa.array([block.number], pa.int64()),
+            "names": pa.array([bits.tobytes()], pa.binary()),
+            "extra": pa.array([b""], pa.binary()),
+        }
+    )
+
+
 def _answer(round_: int, table: pa.Table) -> pa.Table:
-    """Per request one bit for each name: shared by two documents or, in the last round, by a smaller one."""
+    """Per request one bit for each name: shared by two documents or, in the last round, by a smaller one.
+
+    A row with a block's open windows is handed on as it is.
+    """
+    if table.num_rows and table.column("bucket")[0].as_py() < 0:
+        return pa.table(
+            {
+                "block": table.column("block"),
+                "round": pa.array([OPEN] * table.num_rows, pa.int32()),
+                "bucket": table.column("bucket"),
+                "bits": table.column("names"),
+            }
+        )
     kind, extra_kind = (np.uint64, np.int64) if round_ == 3 else (np.uint32, np.bool_)
     asked = [np.frombuffer(x.as_py(), kind) for x in table.column("names")]
     extra = np.concatenate([np.frombuffer(x.as_py(), extra_kind) for x in table.column("extra")])
@@ -195,8 +225,18 @@ class Rounds:
         return distinct, several
 
     def third(self, shared: np.ndarray):
-        block = self.block
         self.left = self.left[shared[self.place][self.run]]
+        return self.named()
+
+    def resumed(self, answers: pa.Table):
+        """As `third`, from the windows it left open."""
+        rows = np.flatnonzero(answers.column("round").to_numpy() == OPEN)
+        bits = np.frombuffer(answers.column("bits")[int(rows[0])].as_py(), np.uint8)
+        self.left = self.block.windows[np.unpackbits(bits, count=len(self.block.windows)).astype(bool)]
+        return self.named()
+
+    def named(self):
+        block = self.block
         full = names(block.data, (LENGTH,))[LENGTH][self.left]
         distinct, self.place = np.unique(full, return_inverse=True)
         least = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -276,23 +316,23 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             return _ask(block, np.empty(0, np.uint64), np.empty(0, bool), buckets, True)
         return _ask(block, *rounds.second(_read(answers, 1, distinct, buckets)), buckets, True)
 
-    def replay(table: pa.Table, answers: pa.Table):
+    def emit3(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(table)
         rounds = Rounds(block, buckets)
         distinct, _ = rounds.first()
         if not len(block.windows):
-            return block, rounds, np.empty(0, np.uint64), np.empty(0, np.int64)
+            return _ask(block, np.empty(0, np.uint64), np.empty(0, np.int64), buckets, False)
         distinct, _ = rounds.second(_read(answers, 1, distinct, buckets))
-        return block, rounds, *rounds.third(_read(answers, 2, distinct, buckets))
-
-    def emit3(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block, _, distinct, least = replay(table, answers)
-        return _ask(block, distinct, least, buckets, False)
+        asked = _ask(block, *rounds.third(_read(answers, 2, distinct, buckets)), buckets, False)
+        return pa.concat_tables([asked, _open_windows(block, rounds.left)])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block, rounds, distinct, _ = replay(table, answers)
-        hits = rounds.repeated(_read(answers, 3, distinct, buckets)) if len(block.windows) else np.empty(0, np.int64)
-        return _spans(block, hits)
+        block = Block(table)
+        if not len(block.windows):
+            return _spans(block, np.empty(0, np.int64))
+        rounds = Rounds(block, buckets)
+        distinct, _ = rounds.resumed(answers)
+        return _spans(block, rounds.repeated(_read(answers, 3, distinct, buckets)))
 
     of_block = stored.groupBy("block")
 
