@@ -283,7 +283,7 @@ def batch_features(spark, sf_dir):
     )
 
 
-STORED_BATCHES = (0, 3, 17)
+STORED_BATCHES = (0, 3, 11)
 
 
 @query(
