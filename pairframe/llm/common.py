@@ -45,11 +45,13 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid4().hex}"
         self.count = 0
+        self.paths: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.parquet(path)
+        self.paths.append(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
         stored.stage_path = path
         return stored
@@ -65,8 +67,26 @@ class Workspace:
         rows.write.bucketBy(buckets, column).option("path", f"{self.root}/{name}").saveAsTable(table)
         return self.spark.table(table)
 
-    def drop(self, stored: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(stored.stage_path)
+    def drop(self, *stored: DataFrame) -> None:
+        """Delete stages that nothing reads any more."""
+        for df in stored:
+            self._delete(df.stage_path)
+
+    def keep_only(self, *stored: DataFrame) -> None:
+        """Delete all stages of this workspace but these."""
+        kept = {df.stage_path for df in stored}
+        for path in self.paths:
+            if path not in kept:
+                self._delete(path)
+        self.paths = [p for p in self.paths if p in kept]
+
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of plans that have ended; it does so when their
+        objects are collected, which a driver with room to spare may put off for long."""
+        self.spark._jvm.System.gc()
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -74,6 +94,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, so that working columns can have any name."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of `packed` again."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else, so no character changes its length or its class."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

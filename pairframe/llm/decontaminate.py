@@ -20,7 +20,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairframe.llm.common import Workspace
+from pairframe.llm.common import Workspace, packed, unpacked
 from pairframe.llm.lines import may_hold, member_filter
 
 SHINGLE = 5
@@ -76,19 +76,13 @@ def item_index(items: DataFrame) -> DataFrame:
     return rows.select("item", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value"))
 
 
-def numbered(bag: Column) -> Column:
-    """A bag as a set: the k-th copy of a shingle becomes a value of its own."""
-    return F.transform(
-        bag, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(bag, 1, i + 1), lambda y: y == x)))
-    )
-
-
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     similarity: float = SIMILARITY,
     text_col: str = "text",
     id_col: str = "doc_id",
+    work: Workspace | None = None,
 ) -> DataFrame:
     """(doc_id, text_hash, item_id, first_word, similarity) per document and item it leaks.
 
@@ -96,7 +90,7 @@ def leaks(
     ones). Null or wordless documents and items match nothing. Equal rows count once; rows
     that share an id are told apart by their text. Either table may be empty.
     """
-    work = Workspace(docs.sparkSession, "leaks")
+    work = work or Workspace(docs.sparkSession, "leaks")
     item_words = word_array(F.col("text"))
     items = benchmark.select("item_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("item_hash"), item_words.alias("words"))
     items = items.filter(F.size("words") > 0).dropDuplicates(["item_id", "item_hash"])
@@ -165,13 +159,16 @@ def leaks(
     near = met.join(item_prints.withColumnRenamed("fingerprint", "other"), "item").filter(
         F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) <= RADIUS
     )
-    both = F.size(F.array_intersect(numbered(F.col("part")), numbered(F.col("bag"))))
+    # shared shingles with their counts: a row per shingle of a window, whatever its length
+    count = F.count(F.lit(1)).cast("int")
+    held = items.select("item", "item_id", F.size("bag").alias("m"), F.explode("bag").alias("shingle"))
+    held = held.groupBy("item", "item_id", "m", "shingle").agg(count.alias("wanted"))
+    parts = near.select(*key).join(windows, key).select(*key, F.size("part").alias("n"), F.explode("part").alias("shingle"))
+    shared = parts.groupBy(*key, "n", "shingle").agg(count.alias("have")).join(held, ["item", "shingle"])
     scored = (
-        near.select(*key)
-        .join(windows, key)
-        .join(items.select("item", "item_id", "bag"), "item")
-        .select(*DOC, "item_id", "start", both.alias("both"), (F.size("part") + F.size("bag")).alias("sizes"))
-        .withColumn("similarity", F.col("both") / (F.col("sizes") - F.col("both")))
+        shared.groupBy(*key, "item_id", "m", "n")
+        .agg(F.sum(F.least("have", "wanted")).alias("both"))
+        .withColumn("similarity", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
         .filter(F.col("similarity") >= similarity)
     )
     best = scored.groupBy(*DOC, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("from"))).alias("best"))
@@ -187,10 +184,17 @@ def leaking_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that leak an item; columns and all other rows stay."""
-    found = Workspace(docs.sparkSession, "leaking").save(leaks(docs, benchmark).select(*DOC).distinct(), "documents")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_id")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")
+    """`docs` without the documents that leak an item; columns, of any names, and all other rows stay.
+
+    Null, empty and wordless texts leak nothing. Rows that repeat go or stay together. With no
+    documents or no items nothing goes.
+    """
+    work = Workspace(docs.sparkSession, "leaking")
+    found = work.save(leaks(docs, benchmark, work=work).select(*DOC).distinct(), "documents")
+    work.keep_only(found)
+    rows = docs.select(
+        packed(docs),
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias(DOC[0]),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias(DOC[1]),
     )
-    return docs.join(found, same, "left_anti")
+    return unpacked(rows.join(found, DOC, "left_anti"), docs.columns)

@@ -1,11 +1,15 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line's tokens are its distinct shingles of `SHINGLE` words. Tokens are put in one order
-for the whole corpus, the rare ones first: rarity is the count of a token's hash bucket over
-all lines, from a table of constant size. Two sets with Jaccard similarity t or more share a
-token among their first n - ceil(t n) + 1 (the prefix), so only those are joined; sizes and
-positions of the shared token rule out most of the rest, and what remains is verified on the
-full sets. Of two similar lines the later one goes.
+A line's tokens are its distinct shingles of `SHINGLE` words; a shorter line is one shingle.
+Two sets with Jaccard similarity t or more share a token among their first n - ceil(t n) + 1
+(the prefix) in any order of tokens that is the same for all lines. Sizes and positions of the
+shared token rule out most pairs, and what remains is verified on the full sets. Of two similar
+lines the later one goes.
+
+The join has two rounds. In the first the order is that of the token hashes, which costs no
+pass. A pair that shares a prefix token held by at most `HEAVY` lines is found there. Any other
+similar pair shares only heavier tokens, so both its lines hold one; those lines alone take the
+second round, where their tokens are counted exactly and ordered by rarity.
 
 Equal lines are one member of the join. A member is first compared with the earliest one of
 each of its buckets; only members without a match there meet all earlier ones.
@@ -16,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from pairframe.llm.common import Workspace
+from pairframe.llm.common import Workspace, packed
 
 SHINGLE = 5
-MIN_WORDS = 8
+MIN_WORDS = 1
 SIMILARITY = 0.75
-SKETCH_BITS = 15
-LEVELS_SHIFT = 57
+#: A prefix token of more lines is heavy; its lines are ordered by exact rarity.
+HEAVY = 32
 FILTER_BITS = 22
 
 
@@ -57,21 +61,6 @@ def tokens(words: Column) -> Column:
     )[0]
 
 
-def bucket(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 64 - SKETCH_BITS).cast("int")
-
-
-def rarity_levels(lines: DataFrame) -> list[int]:
-    """Per hash bucket the logarithm of its count over all lines, in 0..62 (constant size)."""
-    counts = lines.select(F.explode(tokens(F.col("words"))).alias("t")).groupBy(bucket(F.col("t")).alias("b")).agg(
-        F.count("*").alias("n")
-    )
-    levels = [0] * (1 << SKETCH_BITS)
-    for row in counts.select("b", F.least(F.floor(F.log2("n") * 2), F.lit(62)).cast("int").alias("level")).collect():
-        levels[row.b] = row.level
-    return levels
-
-
 def constant_array(values: list[int], kind: str) -> Column:
     """One literal array; a list of single literals would be analysed one by one."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
@@ -101,17 +90,62 @@ def may_hold(words: list[int], columns: list[str]) -> Column:
 LINE = ["doc_id", "text_hash", "line_no"]
 
 
-def similar_pairs(work: Workspace, lines: DataFrame, pairs: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    """The later lines of the pairs (later, earlier: structs of LINE) that reach the similarity."""
-    ids = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).select("id.*").distinct()
-    ids = work.save(ids, "ids")
-    maybe = lines.filter(may_hold(member_filter(ids, LINE), LINE)).join(ids, LINE)
-    sets = worded(maybe, min_words).select(F.struct(*LINE).alias("id"), tokens(F.col("words")).alias("tokens"))
-    sets = work.save(sets.dropDuplicates(["id"]), "sets")
-    late, early = (sets.select(F.col("id").alias(n), F.col("tokens").alias(f"{n}_tokens")) for n in ("later", "earlier"))
-    both = F.size(F.array_intersect("later_tokens", "earlier_tokens"))
-    whole = F.size("later_tokens") + F.size("earlier_tokens") - both
-    return pairs.join(late, "later").join(early, "earlier").filter(both >= similarity * whole).select("later").distinct()
+def line_keys(line: Column) -> list[Column]:
+    """Two hashes of a line without white space at its ends; equal keys are taken for equal lines."""
+    bare = F.trim(line)
+    return [F.xxhash64(bare).alias("key1"), F.xxhash64(F.lit(17), bare).alias("key2")]
+
+
+KEY = ["key1", "key2"]
+
+
+def prefix_of(codes: Column, similarity: float) -> Column:
+    n = F.size(codes)
+    return F.slice(codes, 1, (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
+
+
+def meet(late: DataFrame, early: DataFrame, similarity: float) -> DataFrame:
+    """(later, earlier, n1, at1, n2, at2): members of one code whose sizes and places allow the similarity.
+
+    Members (code, m, id, n, at) are named by the number `m` of their set; ids tell which is later.
+    """
+    left = late.select("code", F.col("m").alias("later"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    right = early.select("code", F.col("m").alias("earlier"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    sizes = F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9
+    # what is shared lies before the token in both, behind it in both, or is the token
+    most = F.least("at1", "at2") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    near = most >= _least_overlap(F.col("n1"), F.col("n2"), similarity)
+    return left.join(right, "code").filter((F.col("id1") > F.col("id2")) & sizes & near).drop("id1", "id2")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(m) of the later lines of the pairs whose full sets reach the similarity."""
+    late, early = (sets.select(F.col("m").alias(n), F.col("codes").alias(f"{n}_codes")) for n in ("later", "earlier"))
+    both = F.size(F.array_intersect("later_codes", "earlier_codes"))
+    whole = F.size("later_codes") + F.size("earlier_codes") - both
+    found = pairs.join(late, "later").join(early, "earlier").filter(both >= similarity * whole)
+    return found.select(F.col("later").alias("m")).distinct()
+
+
+def similar_members(work: Workspace, members: DataFrame, sets: DataFrame, similarity: float, whole: bool) -> DataFrame:
+    """(m) of the members (code, m, id, n, at) similar to an earlier one of one of their codes.
+
+    With `whole` members hold every prefix token of their lines, so that all shared ones of a
+    pair bound its overlap together.
+    """
+    firsts = members.groupBy("code").agg(F.min(F.struct("id", "m", "n", "at")).alias("first"), F.count("*").alias("held"))
+    firsts = work.save(firsts.filter("held > 1").select("code", "first.*"), "firsts")
+    star = work.save(meet(members, firsts, similarity).select("later", "earlier").distinct(), "star")
+    gone = work.save(verified(star, sets, similarity), "gone")
+    standing = members.join(gone, "m", "left_anti").join(firsts.select("code"), "code", "left_semi")
+    candidates = meet(standing, members, similarity)
+    pairs = possible(candidates, similarity) if whole else candidates.select("later", "earlier").distinct()
+    rest = work.save(pairs.join(star, ["later", "earlier"], "left_anti"), "rest")
+    found = gone.unionByName(verified(rest, sets, similarity))
+    found = work.save(found, "similar")
+    work.drop(firsts, star, gone, rest)
+    work.release()
+    return found
 
 
 def possible(candidates: DataFrame, similarity: float) -> DataFrame:
@@ -126,6 +160,23 @@ def possible(candidates: DataFrame, similarity: float) -> DataFrame:
     return met.filter(most >= _least_overlap(F.col("n1"), F.col("n2"), similarity)).select("later", "earlier")
 
 
+def by_rarity(work: Workspace, sets: DataFrame, similarity: float) -> DataFrame:
+    """(code, m, id, n, at): prefixes of the sets, their tokens ordered by exact counts over the sets."""
+    long = sets.select("m", F.explode("codes").alias("code"))
+    counts = work.save(long.groupBy("code").agg(F.count("*").cast("int").alias("held")).filter("held > 1"), "counts")
+    work.release()
+    ranked = long.join(counts, "code", "left").groupBy("m").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "code"))).alias("ranked")
+    )
+    first = ranked.select("m", F.size("ranked").alias("n"), F.posexplode(prefix_of(F.col("ranked"), similarity)).alias("at", "token"))
+    # a token of one line alone meets nothing
+    members = first.filter("token.held > 1").select(F.col("token.code").alias("code"), "m", "n", "at")
+    members = work.save(members.join(sets.select("m", "id"), "m"), "members")
+    work.drop(counts)
+    work.release()
+    return members
+
+
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, removed): sorted numbers (from 0) of the lines that go, per document that loses any.
 
@@ -137,87 +188,101 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     work = Workspace(docs.sparkSession, "lines")
     safe = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
     raw = raw_lines(safe)
-    lines = worded(raw, min_words)
-    levels = constant_array(rarity_levels(lines), "int")
-    low = (1 << LEVELS_SHIFT) - 1
-    code = lambda t: F.shiftleft(F.get(levels, bucket(t)).cast("long"), LEVELS_SHIFT).bitwiseOR(t.bitwiseAND(F.lit(low)))
-    ordered = F.sort_array(F.transform(tokens(F.col("words")), code))
-    line_hash = F.xxhash64(F.trim("line"))
+    identity = F.struct(*LINE)
+    codes = F.explode(F.array(F.sort_array(tokens(F.col("words"))))).alias("codes")
+    coded = worded(raw, min_words).select(identity.alias("id"), *line_keys(F.col("line")), codes).select(
+        "id", *KEY, F.size("codes").alias("n"), prefix_of(F.col("codes"), similarity).alias("prefix")
+    )
     # one member per distinct line, at its first place
-    coded = lines.select(*LINE, line_hash.alias("line_hash"), ordered.alias("codes")).select(
-        *LINE,
-        "line_hash",
-        F.size("codes").alias("n"),
-        F.slice("codes", 1, (F.size("codes") - F.ceil(F.size("codes") * similarity - 1e-9) + 1).cast("int")).alias("prefix"),
+    distinct = coded.groupBy(*KEY).agg(
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
-    distinct = work.save(
-        coded.groupBy("line_hash").agg(
-            F.min(F.struct(*LINE)).alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-        ),
-        "distinct",
+    distinct = work.save(distinct, "distinct")
+    work.release()
+    # narrow rows for the one large exchange; most codes are alone and end in it, and of a hot
+    # one each task sends HEAVY + 1 rows
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at"))
+    rows = distinct.select("key1", "n", F.posexplode("prefix").alias("at", "code")).select("code", "key1", place.alias("place"))
+    nth = F.row_number().over(Window.partitionBy("code").orderBy("key1"))
+    held = F.count("*").over(Window.partitionBy("code"))
+    few = rows.withColumn("nth", nth).filter(F.col("nth") <= HEAVY + 1).withColumn("held", held).filter("held > 1")
+    shared = work.save(few.select("code", "key1", "place", "held"), "shared")
+    work.release()
+    heavy = work.save(shared.filter(F.col("held") > HEAVY).select("code").distinct(), "heavy")
+    # lines of one key1, should there be two, are candidates together
+    of_key = distinct.select("key1", "id")
+    again = rows.join(heavy, "code", "left_semi").select("key1").distinct().join(of_key, "key1").select("id")
+    again = work.save(again.distinct(), "again")
+    light = shared.filter(F.col("held") <= HEAVY).join(of_key, "key1").select(
+        "code", "id", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")
     )
-    # narrow rows for the one large exchange; most codes are alone and end there
-    rows = distinct.select("line_hash", "n", F.posexplode("prefix").alias("at", "code"))
-    of_code = Window.partitionBy("code")
-    shared = rows.withColumn("_rows", F.count("*").over(of_code)).filter("_rows > 1").drop("_rows")
-    members = work.save(shared.join(distinct.select("line_hash", "id"), "line_hash").select("code", "id", "n", "at"), "members")
-    firsts = work.save(members.groupBy("code").agg(F.min(F.struct("id", "n", "at")).alias("first")), "firsts")
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Candidates of one code: later and earlier member with sizes and places in the prefix."""
-        sizes = F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9
-        return left.join(right, "code").filter((F.col("later") > F.col("earlier")) & sizes)
-
-    late = members.select("code", F.col("id").alias("later"), F.col("n").alias("n1"), F.col("at").alias("at1"))
-    first = firsts.select("code", F.col("first.id").alias("earlier"), F.col("first.n").alias("n2"), F.col("first.at").alias("at2"))
-    early = members.select("code", F.col("id").alias("earlier"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    # with one bucket at a time the places of single tokens bound the overlap
-    star = meet(late, first).filter(
-        F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) + F.least("at1", "at2") >= _least_overlap(F.col("n1"), F.col("n2"), similarity)
+    light = work.save(light, "light")
+    work.drop(shared, heavy)
+
+    wanted = work.save(light.select("id").unionByName(again).distinct(), "wanted")
+    keys = wanted.select("id.*")
+    maybe = raw.filter(may_hold(member_filter(keys, LINE), LINE)).join(keys, LINE)
+    sets = worded(maybe, min_words).select(identity.alias("id"), F.sort_array(tokens(F.col("words"))).alias("codes"))
+    sets = work.save(sets.dropDuplicates(["id"]).withColumn("m", F.monotonically_increasing_id()), "sets")
+    work.release()
+    members = work.save(light.join(sets.select("id", "m"), "id"), "members")
+    work.drop(light)
+    found = similar_members(work, members, sets, similarity, whole=False)
+    work.drop(members)
+    members = by_rarity(work, sets.join(again, "id", "left_semi"), similarity)
+    found = found.unionByName(similar_members(work, members, sets, similarity, whole=True))
+    near = work.save(sets.join(found, "m", "left_semi").select("id"), "near")
+    work.drop(sets, members, again, wanted)
+    work.release()
+
+    repeated = distinct.filter("copies > 1").select(*KEY, "id")
+    places = raw.filter(F.trim("line") != "").select(*LINE, *line_keys(F.col("line")))
+    copies = places.join(repeated, KEY).filter(F.struct(*LINE) != F.col("id")).select(*LINE)
+    every = copies.unionByName(near.select("id.*"))
+    removed = every.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    removed = work.save(removed, "removed")
+    work.keep_only(removed)
+    return removed
+
+
+def _with_removed(docs: DataFrame, **options) -> DataFrame:
+    """(row, removed): every row packed as a struct, whatever its columns are called, and the
+    sorted numbers of its lines that go."""
+    removed = removed_lines(docs, **options)
+    none = F.array().cast("array<int>")
+    rows = docs.select(
+        packed(docs),
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"),
+        text_hash(F.col("text")).alias("text_hash"),
     )
-    star = work.save(star.select("later", "earlier").distinct(), "star")
-    gone = work.save(similar_pairs(work, raw, star, similarity, min_words), "gone")
-    # members that still stand meet every earlier member of their buckets
-    rest = possible(meet(late.join(gone, "later", "left_anti"), early), similarity).join(star, ["later", "earlier"], "left_anti")
-    more = similar_pairs(work, raw, work.save(rest, "rest"), similarity, min_words)
-    near = gone.unionByName(more).select("later.*")
-
-    repeated = distinct.filter("copies > 1").select("line_hash", "id")
-    places = raw.select(*LINE, line_hash.alias("line_hash"))
-    copies = places.join(repeated, "line_hash").filter(F.struct(*LINE) != F.col("id")).select(*LINE)
-    removed = copies.unionByName(near).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    return work.save(removed, "removed")
+    # only texts that may lose lines are shuffled
+    key = ["doc_id", "text_hash"]
+    held = may_hold(member_filter(removed, key), key)
+    touched = rows.filter(held).join(removed, key, "left").select("row", F.coalesce("removed", none).alias("removed"))
+    return touched.unionByName(rows.filter(~held).select("row", none.alias("removed")))
 
 
 def with_removed(docs: DataFrame, **options) -> DataFrame:
-    """`docs` and the sorted line numbers `removed_lines` of each row, empty where nothing goes."""
-    removed = removed_lines(docs, **options).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("removed_lines")
-    )
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "removed_lines"]
-    none = F.array().cast("array<int>")
-    keyed = docs.select(*kept, F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), text_hash(F.col("text")).alias("_hash"))
-    # only texts that may lose lines are shuffled
-    held = may_hold(member_filter(removed, ["_id", "_hash"]), ["_id", "_hash"])
-    touched = keyed.filter(held).join(removed, ["_id", "_hash"], "left").select(
-        *kept, F.coalesce("removed_lines", none).alias("removed_lines")
-    )
-    return touched.unionByName(keyed.filter(~held).select(*kept, none.alias("removed_lines")))
+    """`docs` and the sorted line numbers `removed_lines` of each row, empty where nothing goes.
+
+    A column `removed_lines` of the input is replaced; any other name may occur.
+    """
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "removed_lines"]
+    return _with_removed(docs, **options).select(*kept, F.col("removed").alias("removed_lines"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """`docs` with its columns; the text of every row without its removed lines.
 
     A row that loses lines and keeps no word in any other is dropped; null and empty texts
-    stay as they are, and so does every row that loses nothing.
+    stay as they are, and so does every row that loses nothing. Columns may have any names.
     """
-    marked = with_removed(docs, **options)
-    kept = F.array_join(
-        F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed_lines", i)), "\n"
-    )
-    text = F.when(F.size("removed_lines") > 0, kept).otherwise(F.col("text"))
-    result = marked.withColumn("text", text).filter((F.size("removed_lines") == 0) | (F.trim("text") != ""))
-    return result.select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = _with_removed(docs, **options)
+    lost = F.size("removed") > 0
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    result = marked.withColumn("kept", F.when(lost, kept)).filter(~lost | (F.trim("kept") != ""))
+    text = F.when(lost, F.col("kept")).otherwise(F.col("row.text"))
+    return result.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_counts(docs: DataFrame, **options) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, ShortType, StructField, StructType
 
-from pairframe.llm.common import Workspace, components
+from pairframe.llm.common import Workspace, components, packed, unpacked
 from pairframe.llm.shingles import SHINGLE, mix, overlap, shingle_set
 
 SIZE, CHUNK = 64, 4
@@ -236,7 +236,12 @@ def _confirm_clusters(clustered: DataFrame, width: int, percent: int) -> DataFra
 
 
 def near_duplicates(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    width: int = SHINGLE,
+    percent: int = PERCENT,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """Per row of `docs`: its id, text_hash, n_shingles, component_id and kept.
 
@@ -247,7 +252,7 @@ def near_duplicates(
     their number. Rows that repeat an id are judged each by its own text; an empty table
     gives an empty result. Ids must be longs; a null id can be linked but never kept.
     """
-    work = Workspace(docs.sparkSession, "minhash")
+    work = work or Workspace(docs.sparkSession, "minhash")
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
@@ -311,6 +316,7 @@ def near_duplicates(
         placed_rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n"),
         "smallest",
     )
+    work.keep_only(placed_rows, smallest)
     # a document alone in its component needs no look-up; nulls are spread by their own id
     return placed_rows.withColumn("component", F.coalesce("component", "text_hash")).join(smallest, "component", "left").select(
         "doc_id",
@@ -323,20 +329,23 @@ def near_duplicates(
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Columns stay as they are. Rows that repeat both id and text are reduced to one;
+    Columns stay as they are, whatever their names. Rows that repeat both id and text are reduced to one;
     documents without words stay, and so do rows without an id and a group.
     """
-    found = near_duplicates(docs)
-    alone = F.col("kept") | (F.col("doc_id").isNull() & F.col("component_id").isNull())
-    chosen = found.filter(alone).groupBy("doc_id", "text_hash").agg(F.count("*").alias("_rows"))
     work = Workspace(docs.sparkSession, "near")
-    chosen = work.save(chosen, "kept")
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
-    kept = hashed.join(chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")), same, "left_semi")
-    if not chosen.filter("_rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_hash"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = near_duplicates(docs, work=work)
+    alone = F.col("kept") | (F.col("doc_id").isNull() & F.col("component_id").isNull())
+    chosen = found.filter(alone).groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    chosen = work.save(chosen.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "rows"), "kept")
+    work.keep_only(chosen)
+    rows = docs.select(
+        packed(docs), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("own_hash")
+    )
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash"))
+    kept = rows.join(chosen.select("id", "hash"), same, "left_semi")
+    if not chosen.filter("rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["own_id", "own_hash"])
+    return unpacked(kept, docs.columns)
 
 
 def duplicate_documents(docs: DataFrame) -> DataFrame:

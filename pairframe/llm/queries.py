@@ -57,7 +57,7 @@ LINES_SQL = (
     "WITH d AS (SELECT doc_id, string_split(replace(replace(lower(text), chr(9), ' '), chr(13), ' '), chr(10)) AS l FROM documents), "
     "u AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS line_no FROM d), "
     "t AS (SELECT doc_id, line_no, [x FOR x IN string_split(line, ' ') IF x <> ''] AS w FROM u), "
-    f"s AS (SELECT DISTINCT doc_id, line_no, unnest({_SHINGLES}) AS s FROM t WHERE len(w) >= 8), "
+    f"s AS (SELECT DISTINCT doc_id, line_no, unnest({_SHINGLES}) AS s FROM t WHERE len(w) > 0), "
     "n AS (SELECT doc_id, line_no, count(*) AS n FROM s GROUP BY ALL), "
     "p AS (SELECT a.doc_id AS d1, a.line_no AS l1, b.doc_id AS d2, b.line_no AS l2, count(*) AS c FROM s a JOIN s b "
     "ON a.s = b.s AND (a.doc_id, a.line_no) > (b.doc_id, b.line_no) GROUP BY ALL), "

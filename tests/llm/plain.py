@@ -63,7 +63,7 @@ def repeated(rows, length=50):
     return result
 
 
-def lines_removed(rows, similarity=0.75, least=8):
+def lines_removed(rows, similarity=0.75, least=1):
     """doc_id -> numbers of the lines that an earlier line equals or resembles."""
     kept, by, result = [], defaultdict(list), {}
     for i, text in sorted(rows):
@@ -72,7 +72,7 @@ def lines_removed(rows, similarity=0.75, least=8):
             w = [x for x in line.lower().replace("\t", " ").replace("\r", " ").split(" ") if x]
             if len(w) < least:
                 continue
-            own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            own = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
             common = Counter(m for x in own for m in by[x])
             if any(c >= similarity * (len(own) + len(kept[m]) - c) for m, c in common.items()):
                 result[i].append(n)

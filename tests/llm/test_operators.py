@@ -59,8 +59,12 @@ def labels(spark):
     return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
 
 
+VECTORS = [(1, [0.5] * 64), (1, [0.5] * 64), (2, None), (3, [0.5] * 63), (4, [float("nan")] * 64), (None, [-1.0] * 64)]
+
+
 def run_on(tmp_path, spark, name, documents, labels, benchmark):
-    for table, df in (("documents", documents), ("labels", labels), ("benchmark", benchmark)):
+    vectors = spark.createDataFrame(VECTORS if not documents.isEmpty() else [], "vec_id bigint, embedding array<float>")
+    for table, df in (("documents", documents), ("labels", labels), ("benchmark", benchmark), ("embeddings", vectors)):
         df.write.parquet(f"{tmp_path}/{table}.parquet")
     return QUERIES[name](spark, str(tmp_path)).collect()
 
@@ -69,7 +73,12 @@ def run_on(tmp_path, spark, name, documents, labels, benchmark):
 def test_awkward_rows(spark, tmp_path, name, docs, labels, benchmark):
     extra = docs.withColumns({c: F.lit("clash") for c in ("shard", "score", "node", "key", "block", "label", "words", "id")})
     rows = run_on(tmp_path, spark, name, extra, labels, benchmark)
-    assert len(rows) == (len({(r.doc_id, r.item_id) for r in rows}) if name.startswith("op8") else len(ROWS))
+    if name.startswith("op8"):
+        assert len(rows) == len({(r.doc_id, r.item_id) for r in rows})
+    elif name.startswith("op11"):
+        assert {(r.item_id, r.rank) for r in rows} == {(1, 1), (1, 2), (1, 3), (1, 4), (4, 1)} and len(rows) == 5
+    else:
+        assert len(rows) == (3 if name.startswith("op12") else len(ROWS))
 
 
 @pytest.mark.parametrize("name", QUERY_TABLES)
@@ -282,6 +291,64 @@ def test_line_texts(spark):
     assert {r.doc_id: r.text for r in kept} == {1: rows[0][1], 2: "fresh words to keep in this place", 5: None}
 
 
+@pytest.mark.parametrize("heavy", [1, 2, 16])
+def test_lines_in_both_rounds(spark, monkeypatch, heavy):
+    """Lines with a common passage, near copies, short lines, and repeats, whatever counts as heavy."""
+    monkeypatch.setattr(lines, "HEAVY", heavy)
+    rng = random.Random(heavy)
+    passage = [f"p{i}" for i in range(24)]
+    rows = []
+    for i in range(60):
+        own = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice((8, 12, 30)))]
+        near = [*passage, *(f"n{i % 4}x{j}" for j in range(8))]
+        near[rng.randrange(len(near))] = f"c{i}"
+        text = [" ".join(passage + own), " ".join(own), " ".join(near), rng.choice(("one two", "x", "", "a b c d")), "the same line of seven words here"]
+        rows.append((i, "\n".join(text)))
+    found = lines.line_counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: list(r.removed_lines) for r in found} == plain.lines_removed(rows)
+
+
+CLASHES = ["_id", "_hash", "_quality", "_text", "removed_lines", "removed", "row", "id", "hash", "own_id", "own_hash", "rows", "text_hash", "quality", "vector", "item", "code", "a b", "_rows"]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES[:4]])
+def test_stages_on_awkward_rows_and_names(spark, name):
+    """What stays is what the stage keeps without the extra columns, and their values stay with it."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").orderBy("item_id").first().text
+    prose = "It was a quiet morning and the river ran slowly past the old mill house. " * 6
+    texts = [None, "", "   ", prose, prose, prose + "more", f"before {item} after", "short", "short\n" + "long words here to keep", "x " * 9_000]
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
+    rows += [(3, prose, "en", "web", len(prose)), (None, "nobody knows this id", "en", "web", 20), (None, None, "en", "web", 0)]
+    plain_docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    wide = plain_docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in CLASHES])
+    key = lambda df: sorted((repr(r.doc_id), repr(r.text), r.n_chars) for r in df.collect())
+    expected, out = stage(spark, plain_docs, SF_DIR), stage(spark, wide, SF_DIR)
+    assert out.columns == wide.columns and expected.columns == plain_docs.columns
+    assert key(expected) == key(out) and len(key(out)) > 0
+    for r in out.collect():
+        assert all(r[c] == f"{c}:{'?' if r.doc_id is None else r.doc_id}" for c in CLASHES)
+    assert stage(spark, wide.limit(0), SF_DIR).collect() == []
+    kept = {r.doc_id for r in out.collect()}
+    if name == "minhash_near_dedup":
+        assert {0, 1, 2, 3, 7}.issubset(kept) and 4 not in kept and 5 not in kept
+    elif name == "benchmark_decontamination":
+        assert kept == {None, *range(10)} - {6}
+    elif name == "line_dedup":
+        texts_of = {r.doc_id: r.text for r in out.collect()}
+        assert texts_of[8] == "long words here to keep" and 4 not in kept and texts_of[0] is None and texts_of[1] == ""
+
+
+def test_leak_of_a_long_item(spark):
+    """An item of 3,000 words inside a document of 6,000; its windows are scored in one pass."""
+    rng = random.Random(9)
+    item = " ".join(f"w{rng.randint(0, 10_000)}" for _ in range(3_000))
+    around = " ".join(f"v{i}" for i in range(1_500))
+    docs = spark.createDataFrame([(1, f"{around} {item} {around}"), (2, around)], "doc_id bigint, text string")
+    found = decontaminate.leaking_documents(docs, spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.first_word, r.similarity) for r in found] == [(1, 5, 1_500, 1.0)]
+
+
 def test_components_of_chains(spark):
     from pairframe.llm.common import Workspace, components
 
