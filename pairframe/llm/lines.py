@@ -217,7 +217,9 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
         "code", "id", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")
     )
     light = work.save(light, "light")
-    work.drop(shared, heavy)
+    repeated = work.save(distinct.filter("copies > 1").select(*KEY, "id"), "repeated")
+    work.drop(shared, heavy, distinct)
+    work.release()
 
     wanted = work.save(light.select("id").unionByName(again).distinct(), "wanted")
     keys = wanted.select("id.*")
@@ -235,7 +237,6 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     work.drop(sets, members, again, wanted)
     work.release()
 
-    repeated = distinct.filter("copies > 1").select(*KEY, "id")
     places = raw.filter(F.trim("line") != "").select(*LINE, *line_keys(F.col("line")))
     copies = places.join(repeated, KEY).filter(F.struct(*LINE) != F.col("id")).select(*LINE)
     every = copies.unionByName(near.select("id.*"))
