@@ -46,6 +46,7 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/{label}-{uuid4().hex}"
         self.count = 0
         self.paths: list[str] = []
+        self.tables: dict[str, str] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
@@ -63,9 +64,14 @@ class Workspace:
         are, one file per bucket it has rows of; that suits a few large rows.
         """
         table = f"{name}_{uuid4().hex}"
+        path = f"{self.root}/{name}"
         rows = df.repartition(buckets, column) if shuffle else df
-        rows.write.bucketBy(buckets, column).option("path", f"{self.root}/{name}").saveAsTable(table)
-        return self.spark.table(table)
+        rows.write.bucketBy(buckets, column).option("path", path).saveAsTable(table)
+        self.paths.append(path)
+        self.tables[path] = table
+        stored = self.spark.table(table)
+        stored.stage_path = path
+        return stored
 
     def drop(self, *stored: DataFrame) -> None:
         """Delete stages that nothing reads any more."""
@@ -86,6 +92,8 @@ class Workspace:
         self.spark._jvm.System.gc()
 
     def _delete(self, name: str) -> None:
+        if name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -48,6 +49,20 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 as bytes: the least width that holds them, bytes of equal weight together, compressed."""
+    kind = np.min_scalar_type(int(values.max())) if len(values) else np.dtype(np.uint8)
+    planes = values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
+    return bytes([kind.itemsize]) + zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """The numbers of `pack`."""
+    width = data[0]
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"u{width}").ravel().astype(np.int64)
+
+
 def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Packed blocks: doc ids, held-out flags, tokens per document, distinct words and token numbers.
 
@@ -58,7 +73,7 @@ def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
         part, number = TaskContext.get().partitionId(), 0
         ids, held, sizes, stream, size = [], [], [], [], 0
 
-        def pack():
+        def packed_block():
             tokens = np.concatenate(stream)
             words, index = np.unique(tokens, return_inverse=True)
             return pa.RecordBatch.from_arrays(
@@ -68,7 +83,7 @@ def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
                     pa.array([held], pa.list_(pa.bool_())),
                     pa.array([sizes], pa.list_(pa.int64())),
                     pa.array([words.tobytes()], pa.binary()),
-                    pa.array([index.astype(np.uint32).tobytes()], pa.binary()),
+                    pa.array([pack(index)], pa.binary()),
                 ],
                 names=["block", "ids", "held", "sizes", "words", "tokens"],
             )
@@ -84,11 +99,11 @@ def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
                 stream += [words, np.array([END], np.uint64)]
                 size += len(text or "") + 16
                 if size >= block_bytes:
-                    yield pack()
+                    yield packed_block()
                     number += 1
                     ids, held, sizes, stream, size = [], [], [], [], 0
         if ids:
-            yield pack()
+            yield packed_block()
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(
         task, "block bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, words binary, tokens binary"
@@ -98,7 +113,7 @@ def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, token numbers and the training flag of each token of a block."""
     words = np.frombuffer(row["words"], np.uint64)
-    tokens = np.frombuffer(row["tokens"], np.uint32)
+    tokens = unpack(row["tokens"])
     training = ~np.repeat(np.array(row["held"], bool), row["sizes"])
     return words, tokens, training
 
@@ -110,9 +125,9 @@ def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     """
     words, tokens, training = _unpack(row)
     before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1].astype(np.int64) + 1
+    before[1:] = tokens[:-1] + 1
     before[np.cumsum(row["sizes"]) - row["sizes"]] = 0
-    pairs, place = np.unique(tokens.astype(np.int64) * (len(words) + 1) + before, return_inverse=True)
+    pairs, place = np.unique(tokens * (len(words) + 1) + before, return_inverse=True)
     return words, pairs, place, np.bincount(place[training], minlength=len(pairs))
 
 
@@ -138,9 +153,9 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
                     part = slice(edge[b], edge[b + 1])
                     columns[0].append(int(b))
                     columns[1].append(words[cut[b] : cut[b + 1]].tobytes())
-                    columns[2].append((pairs[part] // width - cut[b]).astype(np.uint32).tobytes())
+                    columns[2].append(pack(pairs[part] // width - cut[b]))
                     columns[3].append(context[part].tobytes())
-                    columns[4].append(counts[part].astype(np.uint32).tobytes())
+                    columns[4].append(pack(counts[part]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int64()), pa.array([row["block"]] * len(columns[0]), pa.int64())]
                     + [pa.array(c, pa.binary()) for c in columns[1:]],
@@ -154,17 +169,18 @@ class Bucket:
     """All customers of a bucket's words."""
 
     def __init__(self, table: pa.Table):
-        read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c)]
+        hashes = lambda c: [np.frombuffer(x.as_py(), np.uint64) for x in table.column(c)]
+        numbers = lambda c: [unpack(x.as_py()) for x in table.column(c)]
         self.number = table.column("bucket")[0].as_py()
         self.blocks = table.column("block").to_pylist()
-        asked_words, contexts = read("words", np.uint64), read("contexts", np.uint64)
+        asked_words, contexts = hashes("words"), hashes("contexts")
         self.words = np.unique(np.concatenate(asked_words))
         self.contexts, of_context = np.unique(np.concatenate(contexts), return_inverse=True)
         self.places = [np.searchsorted(self.words, w) for w in asked_words]
-        of_word = np.concatenate([p[at] for p, at in zip(self.places, read("places", np.uint32))])
+        of_word = np.concatenate([p[at] for p, at in zip(self.places, numbers("places"))])
         self.pairs, place = np.unique(of_word * len(self.contexts) + of_context, return_inverse=True)
         self.asked = np.split(place, np.cumsum([len(c) for c in contexts])[:-1])
-        self.count = np.bincount(place, np.concatenate(read("counts", np.uint32)), len(self.pairs)).astype(np.int64)
+        self.count = np.bincount(place, np.concatenate(numbers("counts")), len(self.pairs)).astype(np.int64)
         self.word, self.context = self.pairs // len(self.contexts), self.pairs % len(self.contexts)
         self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
         self.many = np.flatnonzero(self.count > 1)
@@ -186,12 +202,39 @@ def adjust(sizes: np.ndarray, tables: np.ndarray, customers: np.ndarray, random)
 
 
 def reseat(customers, sizes, tables, discount: float, strength, base, random) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and numbers of tables after every customer of every dish left its table and sat down again.
+    """Sizes and numbers of tables after the customers of every dish left their tables and sat down again.
 
-    `sizes` are those of all tables, dish by dish. Without the customer, a table is chosen
-    in proportion to its customers less the discount, a new one to
-    (strength + discount x tables of the dish) x base, where `strength` holds the tables of
-    the restaurant's other dishes. Step j moves customer j of all dishes at once.
+    `sizes` are those of all tables, dish by dish. A seating weighs, for each table after
+    the first, (strength + discount x tables of the dish so far) x base, where `strength`
+    holds the tables of the restaurant's other dishes, and for each further customer of a
+    table its customers less the discount. The up to three customers of a dish sit down
+    together, drawn from the weights of all their seatings; more customers move one by one.
+    """
+    tables = tables.astype(np.int64).copy()
+    few = customers <= 3
+    moved, tables[~few] = move_each(
+        customers[~few], sizes[np.repeat(~few, tables)], tables[~few], discount, strength[~few], base[~few], random
+    )
+    c, second = customers[few], (strength[few] + discount) * base[few]
+    third = (strength[few] + 2 * discount) * base[few]
+    one = np.where(c == 3, (1 - discount) * (2 - discount), 1 - discount)
+    two = np.where(c == 3, 3 * (1 - discount), 1) * second
+    three = np.where(c == 3, second * third, 0)
+    draw = random.random(len(c)) * (one + two + three)
+    tables[few] = np.minimum(1 + (draw >= one) + (draw >= one + two), c)
+    sizes, first = np.ones(tables.sum(), np.int64), np.cumsum(tables) - tables
+    sizes[np.repeat(~few, tables)] = moved
+    seated = few & (customers > 0)
+    sizes[first[seated]] = (customers - tables + 1)[seated]
+    return sizes, tables
+
+
+def move_each(customers, sizes, tables, discount: float, strength, base, random) -> tuple[np.ndarray, np.ndarray]:
+    """`reseat` customer by customer.
+
+    Without the customer, a table is chosen in proportion to its customers less the
+    discount, a new one to (strength + discount x tables of the dish) x base. Step j moves
+    customer j of all dishes at once.
     """
     tables = tables.astype(np.int64).copy()
     start = np.cumsum(customers) - customers
@@ -260,7 +303,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
     kinds = {"kind": pa.int32(), "bucket": pa.int64(), "grp": pa.int64(), "round": pa.int32()}
     table = {c: pa.array(v, kinds[c]) for c, v in columns.items()}
     for k, c in enumerate("abcdef"):
-        table[c] = pa.array([r[4 + k].tobytes() if len(r) > 4 + k else None for r in rows], pa.binary())
+        table[c] = pa.array([r[4 + k] if len(r) > 4 + k else None for r in rows], pa.binary())
     return pa.table(table)
 
 
@@ -268,7 +311,7 @@ def _asks(bucket: int, round_: int, contexts: np.ndarray, values: list[np.ndarra
     """One row per range of context hashes: the contexts and, one after the other, their values."""
     cut = np.append(_bounds(contexts, groups), len(contexts))
     return [
-        (ASK, bucket, int(g), round_, contexts[cut[g] : cut[g + 1]], np.concatenate([v[cut[g] : cut[g + 1]] for v in values]).astype(np.uint32))
+        (ASK, bucket, int(g), round_, contexts[cut[g] : cut[g + 1]].tobytes(), pack(np.concatenate([v[cut[g] : cut[g + 1]] for v in values])))
         for g in np.flatnonzero(np.diff(cut))
     ]
 
@@ -284,12 +327,12 @@ def sums_of(asks: DataFrame, asking: int, rounds: list[int]) -> DataFrame:
         sums = {}
         for r, at in zip(rows, places):
             if r["round"] in rounds:
-                values = np.frombuffer(r["b"], np.uint32).reshape(-1, len(at))
+                values = unpack(r["b"]).reshape(-1, len(at))
                 total = sums.setdefault(r["round"], np.zeros((len(values), len(distinct)), np.int64))
                 total[:, at] += values  # the contexts of one row are distinct
         total = np.concatenate([sums.get(r, np.zeros((1, len(distinct)), np.int64)) for r in rounds])
         return _rows([
-            (SUMS, r["bucket"], r["grp"], asking, total[:, at]) for r, at in zip(rows, places) if r["round"] == asking
+            (SUMS, r["bucket"], r["grp"], asking, pack(total[:, at].ravel())) for r, at in zip(rows, places) if r["round"] == asking
         ])
 
     return asks.filter(F.col("kind") == ASK).groupBy("grp").applyInArrow(task, ROW)
@@ -298,7 +341,7 @@ def sums_of(asks: DataFrame, asking: int, rounds: list[int]) -> DataFrame:
 def _sums(rows: list[dict], round_: int, width: int) -> np.ndarray:
     """The sums for all contexts asked for: the ranges one after the other."""
     parts = sorted((r for r in rows if r["kind"] == SUMS and r["round"] == round_), key=lambda r: r["grp"])
-    return np.concatenate([np.frombuffer(r["a"], np.int64).reshape(width, -1) for r in parts] or [np.zeros((width, 0), np.int64)], axis=1)
+    return np.concatenate([unpack(r["a"]).reshape(width, -1) for r in parts] or [np.zeros((width, 0), np.int64)], axis=1)
 
 
 def _parent(customers, tables, totals: np.ndarray, facts: dict) -> np.ndarray:
@@ -314,26 +357,25 @@ def start_rows(table: pa.Table, groups: int) -> pa.Table:
     once = b.count == 1
     facts = [np.count_nonzero(x == k) for x in (b.count, b.word_count) for k in (1, 2)]
     facts += [np.count_nonzero(b.word_count), b.count.sum(), np.count_nonzero(b.count)]
-    of_context = lambda w: np.bincount(b.context, w, len(b.contexts))
+    of_context = lambda w: np.bincount(b.context, w, len(b.contexts)).astype(np.int64)
     held, at = np.unique(b.context[b.many], return_inverse=True)
-    u32 = lambda x: x.astype(np.uint32)
     singles = np.bincount(b.word, once, len(b.words))
-    merged = (MERGED, b.number, None, None, u32(singles), b.contexts[held], u32(held), u32(b.word[b.many]), u32(at), u32(b.count[b.many]))
+    merged = (MERGED, b.number, None, None, pack(singles), b.contexts[held].tobytes(), pack(held), pack(b.word[b.many]), pack(at), pack(b.count[b.many]))
     asks = _asks(b.number, -1, b.contexts, [of_context(b.count), of_context(once), of_context(b.count > 1)], groups)
-    return _rows([(FACTS, b.number, None, -1, np.array(facts, float)), merged, *asks])
+    return _rows([(FACTS, b.number, None, -1, np.array(facts, float).tobytes()), merged, *asks])
 
 
 def sweep_rows(table: pa.Table, others: pa.Table, sweep: int, totals: np.ndarray, facts: dict, groups: int) -> pa.Table:
     """The seating of a bucket after a sweep, its tables by context and its share of the parent."""
     rows, number = others.to_pylist(), table.column("bucket")[0].as_py()
-    read = lambda r, c, kind=np.uint32: np.frombuffer(r[c], kind).astype(np.int64 if kind is np.uint32 else kind)
     row = table.to_pylist()[0]
-    singles, contexts, held, word, context, count = (read(row, c, np.uint64 if c == "b" else np.uint32) for c in "abcdef")
+    singles, held, word, context, count = (unpack(row[c]) for c in "acdef")
+    contexts = np.frombuffer(row["b"], np.uint64)
     fixed = _sums(rows, -1, 3)[:, held]
     random = np.random.default_rng([SEED, number, sweep])
     kept = [r for r in rows if r["kind"] == STATE]
     if kept:
-        sizes, tables, parent_sizes, parent_tables = (read(kept[0], c) for c in "abcd")
+        sizes, tables, parent_sizes, parent_tables = (unpack(kept[0][c]) for c in "abcd")
         of_context = fixed[1] + _sums(rows, sweep - 1, 1)[0]
     else:
         sizes, tables = count, np.ones(len(count), np.int64)
@@ -352,9 +394,9 @@ def sweep_rows(table: pa.Table, others: pa.Table, sweep: int, totals: np.ndarray
     base = np.full(len(parent), 1 / (facts["words"] + 1))
     below = STRENGTH + d0 * np.maximum(totals[1] - parent_tables, 0)
     parent_sizes, parent_tables = reseat(parent, parent_sizes, adjusted, d0, below, base, random)
-    state = [x.astype(np.uint32) for x in (sizes, tables, parent_sizes, parent_tables)]
-    asks = _asks(number, sweep, contexts, [np.bincount(context, tables, len(contexts))], groups)
-    share = np.array([parent.sum(), parent_tables.sum()], float)
+    state = [pack(x) for x in (sizes, tables, parent_sizes, parent_tables)]
+    asks = _asks(number, sweep, contexts, [np.bincount(context, tables, len(contexts)).astype(np.int64)], groups)
+    share = np.array([parent.sum(), parent_tables.sum()], float).tobytes()
     return _rows([(STATE, number, None, sweep, *state), (FACTS, number, None, sweep, share), *asks])
 
 
@@ -367,9 +409,9 @@ def answer_rows(table: pa.Table, others: pa.Table, totals: list[np.ndarray], fac
     d, mean = facts["discount"], np.zeros(len(b.pairs))
     for held, total, state in zip(of_context, totals, states):
         tables = (b.count > 0).astype(np.int64)
-        tables[b.many] = np.frombuffer(state["b"], np.uint32)
+        tables[b.many] = unpack(state["b"])
         parent = np.bincount(b.word, tables, len(b.words))
-        p = _parent(parent, np.frombuffer(state["d"], np.uint32), total, facts)
+        p = _parent(parent, unpack(state["d"]), total, facts)
         own = np.maximum(b.count - d * tables, 0)
         mean += (own + (STRENGTH + d * held[b.context]) * p[b.word]) / (STRENGTH + customers[b.context])
     log_p = np.log10(mean / KEPT).astype(np.float32)
@@ -377,7 +419,7 @@ def answer_rows(table: pa.Table, others: pa.Table, totals: list[np.ndarray], fac
         {
             "block": pa.array(b.blocks, pa.int64()),
             "bucket": pa.array([b.number] * len(b.blocks), pa.int64()),
-            "known": pa.array([b.word_count[p].astype(np.uint64).tobytes() for p in b.places], pa.binary()),
+            "known": pa.array([pack(b.word_count[p]) for p in b.places], pa.binary()),
             "log_p": pa.array([log_p[a].tobytes() for a in b.asked], pa.binary()),
         }
     )
@@ -394,7 +436,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # both tables lie in buckets of what they are grouped by, so each pass reads them without a shuffle
     blocks = work.save_bucketed(blocks_of(docs, block_bytes), "blocks", "block", max(1, -(-total // block_bytes)), shuffle=False)
-    tokens = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
+    tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, size: n + size))).first()[0] or 0
     buckets = max(8, int(-(-tokens // PAIRS_PER_BUCKET)))
     groups = max(4, buckets // 4)
     asked = work.save_bucketed(requests(blocks, buckets), "requests", "bucket", buckets)
@@ -428,6 +470,9 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         rows = merged.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(sweep(k, totals[-1]), ROW)
         sweeps.append(work.save(rows, f"sweep-{k}"))
         totals.append(facts_of(sweeps[-1], 2))
+        if k:
+            work.drop(sums, *sweeps[k - 1 : min(k, SWEEPS - KEPT)])
+        work.release()
         if k < SWEEPS - 1:
             sums = work.save(sums_of(sweeps[-1], k, [k]), f"sums-{k}")
             known = fixed.unionByName(sweeps[-1].filter(F.col("kind") == STATE)).unionByName(sums)
@@ -437,6 +482,8 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     # every context a bucket has asks for the tables of the kept sweeps
     asking = start.filter(F.col("kind") == ASK).withColumn("round", F.lit(SWEEPS))
     last = work.save(sums_of(asking.unionByName(kept.filter(F.col("kind") == ASK)), SWEEPS, list(range(SWEEPS - KEPT, SWEEPS))), "last")
+    work.drop(start)
+    work.release()
     known = fixed.unionByName(last).unionByName(kept.filter(F.col("kind") == STATE).select(*fixed.columns))
 
     answered = "block bigint, bucket bigint, known binary, log_p binary"
@@ -444,16 +491,19 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def answer(table: pa.Table, others: pa.Table) -> pa.Table:
         return answer_rows(table, others, totals[-KEPT:], facts)
 
-    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, answered)
+    answers = work.save(asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, answered), "answers")
+    work.drop(asked, fixed, last, *sweeps[SWEEPS - KEPT :])
+    work.release()
     n_all, v_all = facts["tokens"], facts["words"]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("bucket").to_numpy())
-        join = lambda c, kind: np.frombuffer(b"".join(right.column(c)[int(i)].as_py() for i in order), kind)
-        counts, log_p = join("known", np.uint64).astype(float), join("log_p", np.float32).astype(float)
+        parts = lambda c: [right.column(c)[int(i)].as_py() for i in order]
+        counts = np.concatenate([unpack(x) for x in parts("known")]).astype(float)
+        log_p = np.frombuffer(b"".join(parts("log_p")), np.float32).astype(float)
         row = left.to_pylist()[0]
         _, _, place, _ = pairs_of(row)
-        tokens = np.frombuffer(row["tokens"], np.uint32)
+        tokens = unpack(row["tokens"])
         starts = np.cumsum(row["sizes"]) - row["sizes"]
         base = np.log10((counts + 0.1) / (n_all + 0.1 * (v_all + 1)))
         return pa.table(
@@ -470,6 +520,8 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     )
+    scored = work.save(scored, "scored")
+    work.keep_only(scored)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score"
     )
