@@ -410,7 +410,7 @@ def test_language_model_backs_off(spark):
 
 
 def test_seating_is_that_of_the_restaurant():
-    """Tables of a dish of few and of many customers against their exact distribution."""
+    """Tables of a dish of two, three and more customers against their exact distribution."""
     import numpy as np
 
     def expected(c, d, strength, base):
@@ -424,7 +424,7 @@ def test_seating_is_that_of_the_restaurant():
         return sum(t * o for t, o in odds.items()) / sum(odds.values())
 
     random = np.random.default_rng(1)
-    for c, n in ((6, 3000), (100, 300), (100, 3)):
+    for c, n in ((2, 3000), (3, 3000), (6, 3000), (100, 300), (100, 3)):
         customers = np.full(n, c)
         sizes, tables, seen = customers, np.ones(n, int), []
         for sweep in range(60 if n > 3 else 6000):
