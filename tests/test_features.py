@@ -14,6 +14,7 @@ from pairframe.operators.features import (
     value_shape,
     variance_filter,
 )
+from pairframe.operators import fingerprints
 from pairframe.operators.fingerprints import fingerprint_set, fingerprint_table
 from pairframe.sources.lists import feature_lists
 from pairframe.transforms import (
@@ -180,6 +181,19 @@ def test_fingerprint_brute_force(spark, text):
         assert values(fingerprint_set(features, n_bits, radius))["d"] == reference_bits(text, n_bits, radius)
 
 
+def test_fingerprints_are_vectorised(spark, monkeypatch):
+    """One UDF makes the vectors, in parts of few rows; nothing is evaluated per character in the plan."""
+    monkeypatch.setattr(fingerprints, "PART_VALUES", 150)
+    texts = [None, "", "a", "a\U0001f600\nb\u00e9", "\x00ab\x00", *(f"C{i}O" * i for i in range(9))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, s string").coalesce(1)
+    features = fingerprint_set(FeatureSet.lookup(rows, "id", "s"), 50, 3)
+    found = values(features)
+    assert found.pop(0) is None
+    assert found == {i: reference_bits(t, 50, 3) for i, t in enumerate(texts) if t is not None}
+    plan = features.table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan and "lambda" not in plan
+
+
 def test_fingerprint_table(spark):
     df = spark.createDataFrame([("d1", "CCO"), ("d2", "CCN"), ("d1", "CCO")], "id string, smiles string")
     by_text = fingerprint_table(df, "smiles")
