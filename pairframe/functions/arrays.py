@@ -16,6 +16,8 @@ from pairframe.functions.numeric import nan_to_null
 
 #: Up to this width a reduction has one aggregate per position; the rows are the same beyond.
 NARROW = 16
+#: Up to so many weights a product with a matrix is one plain expression per unit.
+DIRECT = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,6 +29,16 @@ def dot(a: Column, b: Column) -> Column:
 def linear(vector: Column, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None) -> Column:
     """`vector . W + b`; `weights` has one row per input position, one column per unit."""
     units = list(zip(*weights))
+    if len(weights) * len(units) <= DIRECT and (bias is None or len(bias) == len(units)):
+        fits = F.size(vector) == len(weights)
+        shifts = [None] * len(units) if bias is None else bias
+        sums = []
+        for unit, shift in zip(units, shifts):
+            total = F.lit(0.0)
+            for i, w in enumerate(unit):
+                total = total + F.get(vector, i).cast("double") * F.lit(float(w))
+            sums.append(F.when(fits, total if shift is None else total + F.lit(float(shift))))
+        return F.array(*sums)
     rows = F.array(*[F.array(*[F.lit(float(w)) for w in unit]) for unit in units])
     product = F.transform(rows, lambda row: dot(vector, row))
     if bias is None:

@@ -20,6 +20,17 @@ EPSILON = 1e-7
 HUB_BLOCK = 1_024
 
 
+def _crowded(edges: DataFrame) -> DataFrame | None:
+    """(graph): graphs of more than HUB_BLOCK edges; None if there is none.
+
+    A node of any other graph has at most HUB_BLOCK in-edges and out-edges, also in the
+    powers of its edges, so it is never a hub.
+    """
+    counts = edges.groupBy("graph").agg(F.count(F.lit(1)).alias("_n"))
+    graphs = cut_lineage(counts.filter(F.col("_n") > HUB_BLOCK).select("graph"))
+    return None if graphs.isEmpty() else graphs
+
+
 def _hubs(pairs: DataFrame) -> DataFrame:
     """(graph, mid, _ins, _outs): nodes whose in-edges times out-edges exceed HUB_BLOCK
     squared, with the number of blocks each side is cut into."""
@@ -41,8 +52,8 @@ def _hubs(pairs: DataFrame) -> DataFrame:
     ).select("graph", "mid", blocks("_in"), blocks("_out"))
 
 
-def _square(pairs: DataFrame) -> DataFrame:
-    """Distinct (graph, src, dst) joined by two steps of `pairs`.
+def _square(pairs: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """Distinct (graph, src, dst) joined by two steps of `pairs`; hubs lie in `crowded` graphs only.
 
     A hub yields the product of its in-edges and out-edges. Both are cut into blocks of
     about HUB_BLOCK and every pair of blocks is its own join key, so that product is
@@ -51,8 +62,8 @@ def _square(pairs: DataFrame) -> DataFrame:
     key = ["graph", "mid"]
     first = pairs.withColumnRenamed("dst", "mid")
     second = pairs.withColumnRenamed("src", "mid")
-    hubs = cut_lineage(_hubs(pairs))
-    if hubs.isEmpty():
+    hubs = None if crowded is None else cut_lineage(_hubs(pairs.join(crowded, "graph", "left_semi")))
+    if hubs is None or hubs.isEmpty():
         return first.join(second, key).select("graph", "src", "dst").distinct()
 
     def blocks(side: DataFrame, end: str, own: str, own_count: str, far: str, far_count: str) -> DataFrame:
@@ -81,9 +92,10 @@ def walk_edges(edges: DataFrame, steps: int) -> DataFrame:
     if steps <= 1:
         return edges
     power = edges.filter(F.col("weight") > 0).select("graph", "src", "dst")
+    crowded = _crowded(power)
     parts = [power] if steps & 1 else []
     for k in range(1, steps.bit_length()):
-        power = cut_lineage(_square(power))
+        power = cut_lineage(_square(power, crowded))
         if steps >> k & 1:
             parts.append(power)
     result = parts[0]

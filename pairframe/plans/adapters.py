@@ -12,6 +12,7 @@ from pairframe.functions.numeric import FLOAT64_EPS
 from pairframe.operators.observations import as_obs
 from pairframe.operators.ranking import rank_rows
 from pairframe.operators.splitting import stratified_holdout
+from pairframe.session import cut_lineage
 
 DIM = 64
 SPLIT_SEED = 11
@@ -163,7 +164,8 @@ def trade_nodes(edges: DataFrame) -> DataFrame:
         F.struct(F.col("src").alias("node"), F.col("weight").alias("shipped"), F.lit(0.0).alias("received")),
         F.struct(F.col("dst").alias("node"), F.lit(0.0).alias("shipped"), F.col("weight").alias("received")),
     )
-    return (
+    # stored, since both sides of the neighbourhood join read them
+    return cut_lineage(
         edges.select("graph", F.inline(ends))
         .groupBy("graph", "node")
         .agg(F.array(F.sum("shipped"), F.sum("received")).alias("features"))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from pairframe.functions import arrays
 from pairframe.functions.arrays import additive_score, dot, reduce_arrays, softmax_pool
 from pairframe.operators import graph as g
 from pyspark.sql import functions as F
@@ -76,6 +77,33 @@ def test_hub_blocks_give_the_same_pairs(spark, monkeypatch):
     assert got == set(zip(*map(list, np.nonzero(walked(m, 2)))))
 
 
+def test_graphs_of_few_edges_are_not_searched_for_hubs(spark, monkeypatch):
+    """Graphs of at most HUB_BLOCK edges have no hub in any power; only the others are looked through."""
+    searched = []
+    hubs = g._hubs
+    monkeypatch.setattr(g, "_hubs", lambda pairs: searched.append(pairs) or hubs(pairs))
+    want = {(i, int(a), int(b)) for i, p in enumerate(SHAPES.values()) for a, b in zip(*np.nonzero(walked(dense(p), 6)))}
+    reached = lambda edges: {(r["graph"], r["src"], r["dst"]) for r in g.walk_edges(edges, 6).collect()}
+    assert reached(all_edges(spark)) == want and not searched
+    star = [(a, b) for a in range(8) for b in range(8) if 3 in (a, b)]
+    monkeypatch.setattr(g, "HUB_BLOCK", 5)
+    more = {(9, int(a), int(b)) for a, b in zip(*np.nonzero(walked(dense(star, 8), 6)))}
+    assert reached(all_edges(spark).union(edges_of(spark, star, 9))) == want | more
+    assert {r["graph"] for r in searched[0].select("graph").distinct().collect()} == {9}
+
+
+def test_linear_is_plain_and_keeps_nulls(spark, monkeypatch):
+    rows = [([1.0, 2.0],), ([1.0, None],), ([1.0],), ([1.0, 2.0, 3.0],), (None,)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    for bias in (None, [0.5, -1.0, 2.0]):
+        plain = df.select(arrays.linear(F.col("v"), [[1.0, -2.0, 0.5], [3.0, 1.0, 0.0]], bias).alias("x"))
+        assert "lambda" not in plain._jdf.queryExecution().optimizedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(arrays, "DIRECT", 0)
+            folded = df.select(arrays.linear(F.col("v"), [[1.0, -2.0, 0.5], [3.0, 1.0, 0.0]], bias).alias("x"))
+        assert plain.collect() == folded.collect()
+
+
 @pytest.mark.parametrize("steps", [1, 3])
 def test_conv_and_pools(spark, steps):
     x = np.arange(10, dtype=float).reshape(5, 2) - 3
