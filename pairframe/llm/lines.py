@@ -165,13 +165,15 @@ def by_rarity(work: Workspace, sets: DataFrame, similarity: float) -> DataFrame:
     long = sets.select("m", F.explode("codes").alias("code"))
     counts = work.save(long.groupBy("code").agg(F.count("*").cast("int").alias("held")).filter("held > 1"), "counts")
     work.release()
-    ranked = long.join(counts, "code", "left").groupBy("m").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "code"))).alias("ranked")
-    )
-    first = ranked.select("m", F.size("ranked").alias("n"), F.posexplode(prefix_of(F.col("ranked"), similarity)).alias("at", "token"))
-    # a token of one line alone meets nothing
-    members = first.filter("token.held > 1").select(F.col("token.code").alias("code"), "m", "n", "at")
-    members = work.save(members.join(sets.select("m", "id"), "m"), "members")
+    # a token of one line alone meets nothing; all such come first, so their number places the others
+    ranked = long.join(counts, "code").groupBy("m").agg(F.sort_array(F.collect_list(F.struct("held", "code"))).alias("ranked"))
+    sizes = sets.select("m", "id", F.size("codes").alias("n"))
+    alone = F.col("n") - F.size("ranked")
+    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    inside = F.slice("ranked", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))
+    first = ranked.join(sizes, "m").select("m", "id", "n", alone.alias("alone"), F.posexplode(inside).alias("at", "token"))
+    members = first.select(F.col("token.code").alias("code"), "m", "n", (F.col("alone") + F.col("at")).alias("at"), "id")
+    members = work.save(members, "members")
     work.drop(counts)
     work.release()
     return members
@@ -221,20 +223,26 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     work.drop(shared, heavy, distinct)
     work.release()
 
-    wanted = work.save(light.select("id").unionByName(again).distinct(), "wanted")
-    keys = wanted.select("id.*")
-    maybe = raw.filter(may_hold(member_filter(keys, LINE), LINE)).join(keys, LINE)
-    sets = worded(maybe, min_words).select(identity.alias("id"), F.sort_array(tokens(F.col("words"))).alias("codes"))
-    sets = work.save(sets.dropDuplicates(["id"]).withColumn("m", F.monotonically_increasing_id()), "sets")
+    # whether a line takes part in the second round goes with it, so that no set is shuffled to tell
+    both = light.select("id", F.lit(False).alias("again")).unionByName(again.withColumn("again", F.lit(True)))
+    wanted = work.save(both.groupBy("id").agg(F.max("again").alias("again")), "wanted")
+    work.drop(again)
+    keys = wanted.select("id.*", "again")
+    # rows that repeat are dropped where the join has put them
+    maybe = raw.filter(may_hold(member_filter(keys, LINE), LINE)).join(keys, LINE).dropDuplicates(LINE)
+    sets = worded(maybe, min_words).select(identity.alias("id"), "again", F.sort_array(tokens(F.col("words"))).alias("codes"))
+    sets = work.save(sets.withColumn("m", F.monotonically_increasing_id()), "sets")
+    work.drop(wanted)
     work.release()
     members = work.save(light.join(sets.select("id", "m"), "id"), "members")
     work.drop(light)
     found = similar_members(work, members, sets, similarity, whole=False)
     work.drop(members)
-    members = by_rarity(work, sets.join(again, "id", "left_semi"), similarity)
-    found = found.unionByName(similar_members(work, members, sets, similarity, whole=True))
+    rare = sets.filter("again")
+    members = by_rarity(work, rare, similarity)
+    found = found.unionByName(similar_members(work, members, rare, similarity, whole=True))
     near = work.save(sets.join(found, "m", "left_semi").select("id"), "near")
-    work.drop(sets, members, again, wanted)
+    work.drop(sets, members)
     work.release()
 
     places = raw.filter(F.trim("line") != "").select(*LINE, *line_keys(F.col("line")))

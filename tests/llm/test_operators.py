@@ -308,6 +308,24 @@ def test_lines_in_both_rounds(spark, monkeypatch, heavy):
     assert {r.doc_id: list(r.removed_lines) for r in found} == plain.lines_removed(rows)
 
 
+def test_lines_do_not_shuffle_sets_to_choose_them(spark, monkeypatch):
+    """Sets are told apart where the join has put them, and those of the second round by a column."""
+    plans, save = {}, lines.Workspace.save
+
+    def spy(self, df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, name)
+
+    monkeypatch.setattr(lines.Workspace, "save", spy)
+    monkeypatch.setattr(lines, "HEAVY", 2)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([*words, f"x{i}"]) + f"\nalone {i}") for i in range(6)] + [(6, "")]
+    found = lines.line_counts(spark.createDataFrame([*rows, rows[2]], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: list(r.removed_lines) for r in found} == plain.lines_removed(rows)
+    assert "hashpartitioning(id#" not in plans["sets"]
+    assert "LeftSemi" not in plans["counts"]
+
+
 CLASHES = ["_id", "_hash", "_quality", "_text", "removed_lines", "removed", "row", "id", "hash", "own_id", "own_hash", "rows", "text_hash", "quality", "vector", "item", "code", "a b", "_rows"]
 
 
