@@ -5,13 +5,15 @@ shared parent restaurant, whose own base is uniform over the known words and one
 The context of a token is the word before it, or the start of its text. Each context that
 occurs in training has its own restaurant; a context that does not is scored by the parent.
 
-Texts become blocks of token numbers, stored once. Counts meet by word: a block sends each
-bucket of words its (word, context) pairs with their training counts, packed into arrays, so
-a bucket holds all customers of its words in all restaurants and their parent. A pair of one
-customer has one table, so only the others are sampled. In a sweep every customer leaves its
-table and sits down again; tables are kept from sweep to sweep. Between sweeps the tables of
-each context and of the parent are summed over all buckets, by ranges of context hashes.
-Within a sweep the totals and the parent are those the sweep before ended with.
+Texts become blocks of token numbers, stored once. Buckets are ranges of word hashes, and a
+word is numbered in its bucket, words of many blocks first, so that pairs travel as small
+numbers. Counts meet by word: a block sends each bucket its (word, context) pairs with their
+training counts, packed into arrays, so a bucket holds all customers of its words in all
+restaurants and their parent. A pair of one customer has one table, so only the others are
+sampled. In a sweep every customer leaves its table and sits down again; tables are kept from
+sweep to sweep. Between sweeps the tables of each context and of the parent are summed over
+all buckets, by ranges of contexts. Within a sweep the totals and the parent are those the
+sweep before ended with.
 """
 
 from __future__ import annotations
@@ -31,9 +33,14 @@ BLOCK_BYTES = 8 << 20
 PAIRS_PER_BUCKET = 2_000_000
 SEED = 7
 END = xxhash.xxh3_64_intdigest(b"\x00end")
-START = xxhash.xxh3_64_intdigest(b"\x00start")
+#: Up to so many customers of a dish are seated together, by the weights of all numbers of tables.
+TOGETHER = 2048
+#: Weights that are drawn from at once.
+DRAWN = 1 << 20
 #: With fewer dishes left than this, each is finished in a loop of its own.
 FEW = 64
+#: A context is its bucket and, in so many bits, its number there.
+BUCKET_BITS = 40
 ROW = "kind int, bucket bigint, grp bigint, round int, a binary, b binary, c binary, d binary, e binary, f binary"
 FACTS, MERGED, ASK, STATE, SUMS = range(5)
 
@@ -137,52 +144,90 @@ def _bounds(words: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(words, np.array([min(i * step, (1 << 64) - 1) for i in range(buckets)], np.uint64))
 
 
-def requests(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, words, places, contexts, counts): what each block holds of each bucket."""
+def numbers(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, numbers): each block's words of a bucket, in order, by their numbers in the bucket."""
 
     def task(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, pairs, _, counts = pairs_of(row)
-                width = len(words) + 1
-                context = np.append(np.array([START], np.uint64), words)[pairs % width]
+                words = np.frombuffer(row["words"], np.uint64)
                 cut = np.append(_bounds(words, buckets), len(words))
-                edge = np.searchsorted(pairs, cut * width)
-                columns = [[], [], [], [], []]
-                for b in np.flatnonzero(np.diff(cut)):
-                    part = slice(edge[b], edge[b + 1])
-                    columns[0].append(int(b))
-                    columns[1].append(words[cut[b] : cut[b + 1]].tobytes())
-                    columns[2].append(pack(pairs[part] // width - cut[b]))
-                    columns[3].append(context[part].tobytes())
-                    columns[4].append(pack(counts[part]))
+                held = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array([row["block"]] * len(columns[0]), pa.int64())]
-                    + [pa.array(c, pa.binary()) for c in columns[1:]],
-                    names=["bucket", "block", "words", "places", "contexts", "counts"],
+                    [
+                        pa.array(held, pa.int64()),
+                        pa.array([row["block"]] * len(held), pa.int64()),
+                        pa.array([words[cut[b] : cut[b + 1]].tobytes() for b in held], pa.binary()),
+                    ],
+                    names=["bucket", "block", "words"],
                 )
 
-    return blocks.mapInArrow(task, "bucket bigint, block bigint, words binary, places binary, contexts binary, counts binary")
+    def numbered(table: pa.Table) -> pa.Table:
+        words = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("words")]
+        distinct, place, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        number = np.empty(len(distinct), np.int64)
+        number[np.argsort(-times, kind="stable")] = np.arange(len(distinct))
+        parts = np.split(number[place], np.cumsum([len(w) for w in words])[:-1])
+        columns = {"block": table.column("block"), "bucket": table.column("bucket")}
+        return pa.table(columns | {"numbers": pa.array([pack(x) for x in parts], pa.binary())})
+
+    sent = blocks.select("block", "words").mapInArrow(task, "bucket bigint, block bigint, words binary")
+    return sent.groupBy("bucket").applyInArrow(numbered, "block bigint, bucket bigint, numbers binary")
+
+
+def requests(blocks: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, words, places, contexts, counts): what each block holds of each bucket.
+
+    Words are numbers in the bucket. A context is 0, the start, or 1 + its bucket + its number
+    there x buckets.
+    """
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        words, pairs, _, counts = pairs_of(row)
+        parts = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        held, width = [r["bucket"] for r in parts], len(words) + 1
+        number = [unpack(r["numbers"]) for r in parts]
+        cut = np.cumsum([0, *map(len, number)])
+        edge = np.searchsorted(pairs, cut * width)
+        context = np.concatenate([[0], *(1 + b + buckets * x for b, x in zip(held, number))])[pairs % width]
+        columns = {"words": [r["numbers"] for r in parts], "places": [], "contexts": [], "counts": []}
+        for i in range(len(held)):
+            part = slice(edge[i], edge[i + 1])
+            columns["places"].append(pack(pairs[part] // width - cut[i]))
+            columns["contexts"].append(pack(context[part]))
+            columns["counts"].append(pack(counts[part]))
+        keys = {"bucket": pa.array(held, pa.int64()), "block": pa.array([row["block"]] * len(held), pa.int64())}
+        return pa.table(keys | {c: pa.array(v, pa.binary()) for c, v in columns.items()})
+
+    return blocks.groupBy("block").cogroup(numbered.groupBy("block")).applyInArrow(
+        task, "bucket bigint, block bigint, words binary, places binary, contexts binary, counts binary"
+    )
 
 
 class Bucket:
     """All customers of a bucket's words."""
 
-    def __init__(self, table: pa.Table):
-        hashes = lambda c: [np.frombuffer(x.as_py(), np.uint64) for x in table.column(c)]
+    def __init__(self, table: pa.Table, buckets: int):
         numbers = lambda c: [unpack(x.as_py()) for x in table.column(c)]
         self.number = table.column("bucket")[0].as_py()
         self.blocks = table.column("block").to_pylist()
-        asked_words, contexts = hashes("words"), hashes("contexts")
-        self.words = np.unique(np.concatenate(asked_words))
-        self.contexts, of_context = np.unique(np.concatenate(contexts), return_inverse=True)
-        self.places = [np.searchsorted(self.words, w) for w in asked_words]
+        self.places, contexts = numbers("words"), numbers("contexts")
+        # every number of a word was given to a word of some block
+        self.words = 1 + max(int(p.max()) for p in self.places)
+        sent, of_context = np.unique(np.concatenate(contexts), return_inverse=True)
+        # in the order of buckets and numbers, so that ranges of contexts are like ranges of hashes
+        keys = np.where(sent > 0, ((sent - 1) % buckets << BUCKET_BITS) + (sent - 1) // buckets + 1, 0)
+        order = np.argsort(keys)
+        self.contexts, rank = keys[order], np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        of_context = rank[of_context]
         of_word = np.concatenate([p[at] for p, at in zip(self.places, numbers("places"))])
         self.pairs, place = np.unique(of_word * len(self.contexts) + of_context, return_inverse=True)
         self.asked = np.split(place, np.cumsum([len(c) for c in contexts])[:-1])
         self.count = np.bincount(place, np.concatenate(numbers("counts")), len(self.pairs)).astype(np.int64)
         self.word, self.context = self.pairs // len(self.contexts), self.pairs % len(self.contexts)
-        self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
+        self.word_count = np.bincount(self.word, self.count, self.words).astype(np.int64)
         self.many = np.flatnonzero(self.count > 1)
 
 
@@ -207,21 +252,16 @@ def reseat(customers, sizes, tables, discount: float, strength, base, random) ->
     `sizes` are those of all tables, dish by dish. A seating weighs, for each table after
     the first, (strength + discount x tables of the dish so far) x base, where `strength`
     holds the tables of the restaurant's other dishes, and for each further customer of a
-    table its customers less the discount. The up to three customers of a dish sit down
-    together, drawn from the weights of all their seatings; more customers move one by one.
+    table its customers less the discount. Up to `TOGETHER` customers of a dish sit down
+    together; more move one by one. Nothing depends on the sizes of tables taken together, so
+    all but the first are given one customer.
     """
     tables = tables.astype(np.int64).copy()
-    few = customers <= 3
+    few = customers <= TOGETHER
     moved, tables[~few] = move_each(
         customers[~few], sizes[np.repeat(~few, tables)], tables[~few], discount, strength[~few], base[~few], random
     )
-    c, second = customers[few], (strength[few] + discount) * base[few]
-    third = (strength[few] + 2 * discount) * base[few]
-    one = np.where(c == 3, (1 - discount) * (2 - discount), 1 - discount)
-    two = np.where(c == 3, 3 * (1 - discount), 1) * second
-    three = np.where(c == 3, second * third, 0)
-    draw = random.random(len(c)) * (one + two + three)
-    tables[few] = np.minimum(1 + (draw >= one) + (draw >= one + two), c)
+    tables[few] = seat_together(customers[few], discount, strength[few], base[few], random)
     sizes, first = np.ones(tables.sum(), np.int64), np.cumsum(tables) - tables
     sizes[np.repeat(~few, tables)] = moved
     seated = few & (customers > 0)
@@ -229,8 +269,45 @@ def reseat(customers, sizes, tables, discount: float, strength, base, random) ->
     return sizes, tables
 
 
+_WAYS: dict[float, list[np.ndarray]] = {}
+
+
+def log_ways(discount: float, most: int) -> list[np.ndarray]:
+    """Entry n: for 1 to n tables, the logarithm of the summed weights of all ways to seat n customers at them.
+
+    The weight of a way has for each further customer of a table its customers less the discount.
+    """
+    if discount not in _WAYS and len(_WAYS) > 3:
+        _WAYS.clear()
+    rows = _WAYS.setdefault(discount, [np.empty(0), np.zeros(1)])
+    for n in range(len(rows) - 1, most):
+        row = np.full(n + 1, -np.inf)
+        row[:n] = rows[n] + np.log(n - discount * np.arange(1, n + 1))
+        row[1:] = np.logaddexp(row[1:], rows[n])
+        rows.append(row)
+    return rows
+
+
+def seat_together(customers, discount: float, strength, base, random) -> np.ndarray:
+    """Numbers of tables of dishes, each drawn from the weights of all its seatings."""
+    tables = np.minimum(customers, 1)
+    order = np.argsort(customers, kind="stable")
+    sizes, start = np.unique(customers[order], return_index=True)
+    ways = log_ways(discount, int(sizes[-1]) if len(sizes) else 0)
+    for n, same in zip(sizes.tolist(), np.split(order, start[1:])):
+        step = max(1, DRAWN // max(n, 1))
+        for at in (same[i : i + step] for i in range(0, len(same) if n > 1 else 0, step)):
+            weights = np.zeros((len(at), n))
+            np.cumsum(np.log((strength[at, None] + discount * np.arange(1, n)) * base[at, None]), axis=1, out=weights[:, 1:])
+            weights += ways[n]
+            weights = np.cumsum(np.exp(weights - weights.max(axis=1, keepdims=True)), axis=1)
+            draw = random.random(len(at)) * weights[:, -1]
+            tables[at] = 1 + np.minimum((weights <= draw[:, None]).sum(axis=1), n - 1)
+    return tables
+
+
 def move_each(customers, sizes, tables, discount: float, strength, base, random) -> tuple[np.ndarray, np.ndarray]:
-    """`reseat` customer by customer.
+    """Sizes and numbers of tables after the customers of every dish moved one by one.
 
     Without the customer, a table is chosen in proportion to its customers less the
     discount, a new one to (strength + discount x tables of the dish) x base. Step j moves
@@ -307,11 +384,12 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table(table)
 
 
-def _asks(bucket: int, round_: int, contexts: np.ndarray, values: list[np.ndarray], groups: int) -> list[tuple]:
-    """One row per range of context hashes: the contexts and, one after the other, their values."""
-    cut = np.append(_bounds(contexts, groups), len(contexts))
+def _asks(bucket: int, round_: int, contexts: np.ndarray, values: list[np.ndarray], groups: int, buckets: int) -> list[tuple]:
+    """One row per range of contexts: the contexts and, one after the other, their values."""
+    first = np.array([-(-g * buckets // groups) for g in range(groups)], np.int64) << BUCKET_BITS
+    cut = np.append(np.searchsorted(contexts, first), len(contexts))
     return [
-        (ASK, bucket, int(g), round_, contexts[cut[g] : cut[g + 1]].tobytes(), pack(np.concatenate([v[cut[g] : cut[g + 1]] for v in values])))
+        (ASK, bucket, int(g), round_, pack(np.diff(contexts[cut[g] : cut[g + 1]], prepend=0)), pack(np.concatenate([v[cut[g] : cut[g + 1]] for v in values])))
         for g in np.flatnonzero(np.diff(cut))
     ]
 
@@ -321,7 +399,7 @@ def sums_of(asks: DataFrame, asking: int, rounds: list[int]) -> DataFrame:
 
     def task(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys = [np.frombuffer(r["a"], np.uint64) for r in rows]
+        keys = [np.cumsum(unpack(r["a"])) for r in rows]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         places = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
         sums = {}
@@ -351,26 +429,26 @@ def _parent(customers, tables, totals: np.ndarray, facts: dict) -> np.ndarray:
     return (np.maximum(customers - d0 * tables, 0) + below) / (STRENGTH + totals[0])
 
 
-def start_rows(table: pa.Table, groups: int) -> pa.Table:
+def start_rows(table: pa.Table, groups: int, buckets: int) -> pa.Table:
     """Facts of a bucket, the pairs to be sampled, and its customers and first tables by context."""
-    b = Bucket(table)
+    b = Bucket(table, buckets)
     once = b.count == 1
     facts = [np.count_nonzero(x == k) for x in (b.count, b.word_count) for k in (1, 2)]
     facts += [np.count_nonzero(b.word_count), b.count.sum(), np.count_nonzero(b.count)]
     of_context = lambda w: np.bincount(b.context, w, len(b.contexts)).astype(np.int64)
     held, at = np.unique(b.context[b.many], return_inverse=True)
-    singles = np.bincount(b.word, once, len(b.words))
-    merged = (MERGED, b.number, None, None, pack(singles), b.contexts[held].tobytes(), pack(held), pack(b.word[b.many]), pack(at), pack(b.count[b.many]))
-    asks = _asks(b.number, -1, b.contexts, [of_context(b.count), of_context(once), of_context(b.count > 1)], groups)
+    singles = np.bincount(b.word, once, b.words).astype(np.int64)
+    merged = (MERGED, b.number, None, None, pack(singles), pack(np.diff(b.contexts[held], prepend=0)), pack(held), pack(b.word[b.many]), pack(at), pack(b.count[b.many]))
+    asks = _asks(b.number, -1, b.contexts, [of_context(b.count), of_context(once), of_context(b.count > 1)], groups, buckets)
     return _rows([(FACTS, b.number, None, -1, np.array(facts, float).tobytes()), merged, *asks])
 
 
-def sweep_rows(table: pa.Table, others: pa.Table, sweep: int, totals: np.ndarray, facts: dict, groups: int) -> pa.Table:
+def sweep_rows(table: pa.Table, others: pa.Table, sweep: int, totals: np.ndarray, facts: dict, groups: int, buckets: int) -> pa.Table:
     """The seating of a bucket after a sweep, its tables by context and its share of the parent."""
     rows, number = others.to_pylist(), table.column("bucket")[0].as_py()
     row = table.to_pylist()[0]
     singles, held, word, context, count = (unpack(row[c]) for c in "acdef")
-    contexts = np.frombuffer(row["b"], np.uint64)
+    contexts = np.cumsum(unpack(row["b"]))
     fixed = _sums(rows, -1, 3)[:, held]
     random = np.random.default_rng([SEED, number, sweep])
     kept = [r for r in rows if r["kind"] == STATE]
@@ -390,19 +468,22 @@ def sweep_rows(table: pa.Table, others: pa.Table, sweep: int, totals: np.ndarray
     d, d0 = facts["discount"], facts["parent_discount"]
     sizes, tables = reseat(count, sizes, tables, d, STRENGTH + d * (of_context[context] - tables), p, random)
     parent = at_parent()
-    parent_sizes, adjusted = adjust(parent_sizes, parent_tables, parent, random)
+    # dishes that are seated together need no tables to start from
+    large, begun = parent > TOGETHER, np.zeros(len(parent), np.int64)
+    held = parent_sizes[np.repeat(large, parent_tables)]
+    held, begun[large] = adjust(held, parent_tables[large], parent[large], random)
     base = np.full(len(parent), 1 / (facts["words"] + 1))
     below = STRENGTH + d0 * np.maximum(totals[1] - parent_tables, 0)
-    parent_sizes, parent_tables = reseat(parent, parent_sizes, adjusted, d0, below, base, random)
+    parent_sizes, parent_tables = reseat(parent, held, begun, d0, below, base, random)
     state = [pack(x) for x in (sizes, tables, parent_sizes, parent_tables)]
-    asks = _asks(number, sweep, contexts, [np.bincount(context, tables, len(contexts)).astype(np.int64)], groups)
+    asks = _asks(number, sweep, contexts, [np.bincount(context, tables, len(contexts)).astype(np.int64)], groups, buckets)
     share = np.array([parent.sum(), parent_tables.sum()], float).tobytes()
     return _rows([(STATE, number, None, sweep, *state), (FACTS, number, None, sweep, share), *asks])
 
 
-def answer_rows(table: pa.Table, others: pa.Table, totals: list[np.ndarray], facts: dict) -> pa.Table:
+def answer_rows(table: pa.Table, others: pa.Table, totals: list[np.ndarray], facts: dict, buckets: int) -> pa.Table:
     """The log probability of every pair each block asked for, averaged over the kept sweeps."""
-    b, rows = Bucket(table), others.to_pylist()
+    b, rows = Bucket(table, buckets), others.to_pylist()
     customers, singles, _ = _sums(rows, -1, 3)
     of_context = singles + _sums(rows, SWEEPS, KEPT)
     states = sorted((r for r in rows if r["kind"] == STATE), key=lambda r: r["round"])
@@ -410,7 +491,7 @@ def answer_rows(table: pa.Table, others: pa.Table, totals: list[np.ndarray], fac
     for held, total, state in zip(of_context, totals, states):
         tables = (b.count > 0).astype(np.int64)
         tables[b.many] = unpack(state["b"])
-        parent = np.bincount(b.word, tables, len(b.words))
+        parent = np.bincount(b.word, tables, b.words)
         p = _parent(parent, unpack(state["d"]), total, facts)
         own = np.maximum(b.count - d * tables, 0)
         mean += (own + (STRENGTH + d * held[b.context]) * p[b.word]) / (STRENGTH + customers[b.context])
@@ -439,8 +520,12 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, size: n + size))).first()[0] or 0
     buckets = max(8, int(-(-tokens // PAIRS_PER_BUCKET)))
     groups = max(4, buckets // 4)
-    asked = work.save_bucketed(requests(blocks, buckets), "requests", "bucket", buckets)
-    start = work.save(asked.groupBy("bucket").applyInArrow(lambda table: start_rows(table, groups), ROW), "start")
+    numbered = work.save(numbers(blocks, buckets), "numbers")
+    work.release()
+    asked = work.save_bucketed(requests(blocks, numbered, buckets), "requests", "bucket", buckets)
+    work.drop(numbered)
+    work.release()
+    start = work.save(asked.groupBy("bucket").applyInArrow(lambda table: start_rows(table, groups, buckets), ROW), "start")
 
     def facts_of(rows: DataFrame, n: int) -> np.ndarray:
         """Sums over the buckets of the few numbers that each gives."""
@@ -462,7 +547,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     def sweep(k: int, total: np.ndarray):
         def task(table: pa.Table, others: pa.Table) -> pa.Table:
-            return sweep_rows(table, others, k, total, facts, groups)
+            return sweep_rows(table, others, k, total, facts, groups, buckets)
 
         return task
 
@@ -489,7 +574,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     answered = "block bigint, bucket bigint, known binary, log_p binary"
 
     def answer(table: pa.Table, others: pa.Table) -> pa.Table:
-        return answer_rows(table, others, totals[-KEPT:], facts)
+        return answer_rows(table, others, totals[-KEPT:], facts, buckets)
 
     answers = work.save(asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, answered), "answers")
     work.drop(asked, fixed, last, *sweeps[SWEEPS - KEPT :])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -452,6 +453,47 @@ def test_seating_is_that_of_the_restaurant():
         assert np.mean(seen) == pytest.approx(expected(c, 0.6, 20.0, 0.05), rel=0.04)
 
 
+def test_customers_of_a_dish_are_seated_together(monkeypatch):
+    """Dishes of up to `TOGETHER` customers are not moved one by one; one draw has the tables of a long run."""
+    import numpy as np
+
+    moved, move_each = [], pitman_yor.move_each
+    monkeypatch.setattr(pitman_yor, "move_each", lambda customers, *rest: moved.extend(customers) or move_each(customers, *rest))
+    random = np.random.default_rng(2)
+    customers = np.array([0, 1, 2, 5, 40, 600, pitman_yor.TOGETHER])
+    sizes, tables = pitman_yor.reseat(customers, customers[1:], np.minimum(customers, 1), 0.8, np.full(7, 30.0), np.full(7, 0.1), random)
+    assert moved == [] and sizes.sum() == customers.sum() and len(sizes) == tables.sum()
+    assert all(tables[:2] == [0, 1]) and all(tables[1:] >= 1)
+    n = 100
+    sizes, one_by_one, seen = np.full(n, 300), np.ones(n, int), []
+    together = pitman_yor.reseat(sizes, sizes, one_by_one, 0.8, np.full(n, 400.0), np.full(n, 0.05), random)[1]
+    for sweep in range(40):
+        sizes, one_by_one = move_each(np.full(n, 300), sizes, one_by_one, 0.8, np.full(n, 400.0), np.full(n, 0.05), random)
+        seen += [one_by_one.mean()] if sweep >= 10 else []
+    assert together.mean() == pytest.approx(np.mean(seen), rel=0.06)
+
+
+def test_language_model_sends_small_numbers(spark):
+    """Contexts travel as numbers of words, not as hashes of 8 bytes, and name the same words in every block."""
+    import numpy as np
+
+    randomly = random.Random(3)
+    rows = [(i, " ".join(f"w{randomly.randrange(2000)}" for _ in range(400)), False) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean").coalesce(1)
+    blocks = pitman_yor.blocks_of(docs, 30_000).localCheckpoint()
+    asked = pitman_yor.requests(blocks, pitman_yor.numbers(blocks, 4), 4).collect()
+    pairs = sum(len(pitman_yor.unpack(r.contexts)) for r in asked)
+    assert blocks.count() > 2 and sum(len(r.contexts) for r in asked) < 3 * pairs
+    held = {}
+    for r in asked:
+        word = pitman_yor.unpack(r.words)[pitman_yor.unpack(r.places)]
+        for w, c, n in zip(word, pitman_yor.unpack(r.contexts), pitman_yor.unpack(r.counts)):
+            held[1 + r.bucket + 4 * w, c] = held.get((1 + r.bucket + 4 * w, c), 0) + n
+    wanted = Counter(p for _, text, _ in rows for p in zip([None, *text.split()], [*text.split(), ""]))
+    assert sorted(held.values()) == sorted(wanted.values()) and len(held) == len(wanted)
+    assert sum(n for (_, c), n in held.items() if c == 0) == 40 and len(np.unique([w for w, _ in held])) == len({w for _, w in wanted})
+
+
 def test_fingerprints_of_a_large_group_of_near_copies(spark):
     """A third of the rows are near copies: their terms are above the band, but still tell likeness."""
     randomly = random.Random(4)
