@@ -18,6 +18,8 @@ sweep before ended with.
 
 from __future__ import annotations
 
+from math import lgamma
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +37,8 @@ SEED = 7
 END = xxhash.xxh3_64_intdigest(b"\x00end")
 #: Up to so many customers of a dish are seated together, by the weights of all numbers of tables.
 TOGETHER = 2048
+#: More are, if their tables are surely fewer than this and a series gives the weights.
+SERIES = 512
 #: Weights that are drawn from at once.
 DRAWN = 1 << 20
 #: With fewer dishes left than this, each is finished in a loop of its own.
@@ -252,21 +256,22 @@ def reseat(customers, sizes, tables, discount: float, strength, base, random) ->
     `sizes` are those of all tables, dish by dish. A seating weighs, for each table after
     the first, (strength + discount x tables of the dish so far) x base, where `strength`
     holds the tables of the restaurant's other dishes, and for each further customer of a
-    table its customers less the discount. Up to `TOGETHER` customers of a dish sit down
-    together; more move one by one. Nothing depends on the sizes of tables taken together, so
+    table its customers less the discount. The customers of a dish sit down together; they move
+    one by one only where they are many and no series gives the weights. Nothing depends on the sizes of tables taken together, so
     all but the first are given one customer.
     """
-    tables = tables.astype(np.int64).copy()
-    few = customers <= TOGETHER
-    moved, tables[~few] = move_each(
-        customers[~few], sizes[np.repeat(~few, tables)], tables[~few], discount, strength[~few], base[~few], random
+    many, drawn = customers > TOGETHER, np.zeros(len(tables), np.int64)
+    for dishes, draw in ((~many, seat_together), (many, seat_by_series)):
+        drawn[dishes] = draw(customers[dishes], discount, strength[dishes], base[dishes], random)
+    each = many & (drawn == 0)
+    moved, drawn[each] = move_each(
+        customers[each], sizes[np.repeat(each, tables)], tables[each], discount, strength[each], base[each], random
     )
-    tables[few] = seat_together(customers[few], discount, strength[few], base[few], random)
-    sizes, first = np.ones(tables.sum(), np.int64), np.cumsum(tables) - tables
-    sizes[np.repeat(~few, tables)] = moved
-    seated = few & (customers > 0)
-    sizes[first[seated]] = (customers - tables + 1)[seated]
-    return sizes, tables
+    sizes, first = np.ones(drawn.sum(), np.int64), np.cumsum(drawn) - drawn
+    sizes[np.repeat(each, drawn)] = moved
+    seated = ~each & (customers > 0)
+    sizes[first[seated]] = (customers - drawn + 1)[seated]
+    return sizes, drawn
 
 
 _WAYS: dict[float, list[np.ndarray]] = {}
@@ -306,6 +311,44 @@ def seat_together(customers, discount: float, strength, base, random) -> np.ndar
     return tables
 
 
+def log_ways_by_series(n: int, discount: float, most: int) -> np.ndarray:
+    """The first entries of `log_ways` for n customers, up to `most` tables or where digits would be lost.
+
+    S(n, t) = 1 / (t! d^t) x sum over j of (-1)^j C(t, j) Gamma(n - j d) / Gamma(-j d).
+    """
+    j = np.arange(1, most + 1)
+    log_factorial = np.cumsum(np.log(np.maximum(np.arange(most + 1), 1)))
+    sine = np.sin(np.pi * j * discount)
+    size = np.array([lgamma(n - k * discount) + lgamma(1 + k * discount) for k in j]) + np.log(np.abs(sine) / np.pi + 1e-300)
+    rest = j[:, None] - j
+    terms = np.where(rest >= 0, size - log_factorial[j] - log_factorial[np.maximum(rest, 0)], -np.inf)
+    largest = terms.max(axis=1)
+    total = (np.exp(terms - largest[:, None]) * (np.sign(sine) * np.where(j % 2, 1, -1))).sum(axis=1)
+    sure = len(j) if (total > 1e-4).all() else int(np.argmin(total > 1e-4))
+    return largest[:sure] + np.log(total[:sure]) - j[:sure] * np.log(discount)
+
+
+def seat_by_series(customers, discount: float, strength, base, random) -> np.ndarray:
+    """`seat_together` for many customers; 0 for a dish whose likely numbers of tables the series does not reach."""
+    tables = np.zeros(len(customers), np.int64)
+    for i, n in enumerate(customers.tolist()):
+        most = 32
+        while most <= SERIES:
+            weights = log_ways_by_series(n, discount, most)
+            sure = len(weights)
+            if sure > 1:
+                weights[1:] += np.cumsum(np.log((strength[i] + discount * np.arange(1, sure)) * base[i]))
+                # the weights have one top, so all that is left out is lighter still
+                if weights[-1] < weights.max() - 40:
+                    weights = np.cumsum(np.exp(weights - weights.max()))
+                    tables[i] = 1 + min(np.searchsorted(weights, random.random() * weights[-1], side="right"), sure - 1)
+                    break
+            if sure < most:
+                break
+            most *= 2
+    return tables
+
+
 def move_each(customers, sizes, tables, discount: float, strength, base, random) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and numbers of tables after the customers of every dish moved one by one.
 

@@ -473,6 +473,24 @@ def test_customers_of_a_dish_are_seated_together(monkeypatch):
     assert together.mean() == pytest.approx(np.mean(seen), rel=0.06)
 
 
+def test_many_customers_are_seated_by_a_series(monkeypatch):
+    """The series gives the weights of the recursion; dishes beyond `TOGETHER` are drawn by it."""
+    import numpy as np
+
+    for d in (0.3, 0.6, 0.85):
+        row = pitman_yor.log_ways(d, 700)[700]
+        found = pitman_yor.log_ways_by_series(700, d, 128)
+        assert len(found) > 20 and found - found[0] == pytest.approx(row[: len(found)] - row[0], abs=1e-5)
+    monkeypatch.setattr(pitman_yor, "move_each", lambda customers, sizes, tables, *rest: (sizes, tables) if not len(customers) else 1 / 0)
+    n, random = 400, np.random.default_rng(5)
+    arguments = np.full(n, 900), np.full(n, 900), np.ones(n, int), 0.7, np.full(n, 500.0), np.full(n, 0.01), random
+    together = pitman_yor.reseat(*arguments)[1]
+    monkeypatch.setattr(pitman_yor, "TOGETHER", 10)
+    sizes, tables = pitman_yor.reseat(*arguments)
+    assert sizes.sum() == 900 * n and len(sizes) == tables.sum()
+    assert tables.mean() == pytest.approx(together.mean(), rel=0.08)
+
+
 def test_language_model_sends_small_numbers(spark):
     """Contexts travel as numbers of words, not as hashes of 8 bytes, and name the same words in every block."""
     import numpy as np
