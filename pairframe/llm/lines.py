@@ -11,8 +11,9 @@ pass. A pair that shares a prefix token held by at most `HEAVY` lines is found t
 similar pair shares only heavier tokens, so both its lines hold one; those lines alone take the
 second round, where their tokens are counted exactly and ordered by rarity.
 
-Equal lines are one member of the join. A member is first compared with the earliest one of
-each of its buckets; only members without a match there meet all earlier ones.
+Equal lines are one member of the join. In the first round a code has few members, so its pairs
+are made in the task that finds them. In the second a member is first compared with the earliest
+one of each of its buckets; only members without a match there meet all earlier ones.
 """
 
 from __future__ import annotations
@@ -42,23 +43,20 @@ def raw_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def worded(lines: DataFrame, min_words: int) -> DataFrame:
-    """Lines with enough words and, once, the array of their words."""
-    words = F.explode(F.array(F.array_remove(F.split("line", " "), ""))).alias("words")
-    return lines.select("*", words).filter(F.size("words") >= min_words)
+def coded(lines: DataFrame, min_words: int) -> DataFrame:
+    """Lines with enough words and, sorted, the distinct hashes of their shingles (`codes`).
 
-
-def tokens(words: Column) -> Column:
-    """Distinct shingle hashes of a line's words, in the order of their first places."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.transform(
-        F.array(hashes), lambda h: F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(h) - SHINGLE, F.lit(0))),
-                lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]),
-            )
-        )
-    )[0]
+    The words' hashes are read more than once, so that Spark keeps the step that makes them apart.
+    Words behind the end are null, which a hash leaves out: a shorter line is one shingle.
+    """
+    words = F.array_remove(F.split("line", " "), "")
+    enough = F.trim("line") != "" if min_words == 1 else F.size(words) >= min_words
+    hashed = lines.filter(enough).select("*", F.transform(words, lambda w: F.xxhash64(w)).alias("h0"))
+    behind = [f"h{k}" for k in range(1, SHINGLE)]
+    moved = hashed.select("*", *[F.slice("h0", k, F.size("h0")).alias(h) for k, h in enumerate(behind, 2)])
+    hashes = F.transform("h0", lambda word, i: F.xxhash64(word, *[F.get(h, i) for h in behind]))
+    whole = F.slice(hashes, F.lit(1), F.greatest(F.size("h0") - (SHINGLE - 1), F.lit(1)))
+    return moved.select(*lines.columns, F.sort_array(F.array_distinct(whole)).alias("codes"))
 
 
 def constant_array(values: list[int], kind: str) -> Column:
@@ -104,6 +102,14 @@ def prefix_of(codes: Column, similarity: float) -> Column:
     return F.slice(codes, 1, (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
 
 
+def _can_reach(n1: Column, at1: Column, n2: Column, at2: Column, similarity: float) -> Column:
+    """Whether sizes and places of a shared token allow the similarity."""
+    sizes = F.least(n1, n2) >= F.greatest(n1, n2) * similarity - 1e-9
+    # what is shared lies before the token in both, behind it in both, or is the token
+    most = F.least(at1, at2) + F.least(n1 - at1, n2 - at2)
+    return sizes & (most >= _least_overlap(n1, n2, similarity))
+
+
 def meet(late: DataFrame, early: DataFrame, similarity: float) -> DataFrame:
     """(later, earlier, n1, at1, n2, at2): members of one code whose sizes and places allow the similarity.
 
@@ -111,36 +117,35 @@ def meet(late: DataFrame, early: DataFrame, similarity: float) -> DataFrame:
     """
     left = late.select("code", F.col("m").alias("later"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"))
     right = early.select("code", F.col("m").alias("earlier"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    sizes = F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9
-    # what is shared lies before the token in both, behind it in both, or is the token
-    most = F.least("at1", "at2") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
-    near = most >= _least_overlap(F.col("n1"), F.col("n2"), similarity)
-    return left.join(right, "code").filter((F.col("id1") > F.col("id2")) & sizes & near).drop("id1", "id2")
+    near = _can_reach(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), similarity)
+    return left.join(right, "code").filter((F.col("id1") > F.col("id2")) & near).drop("id1", "id2")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(m) of the later lines of the pairs whose full sets reach the similarity."""
-    late, early = (sets.select(F.col("m").alias(n), F.col("codes").alias(f"{n}_codes")) for n in ("later", "earlier"))
-    both = F.size(F.array_intersect("later_codes", "earlier_codes"))
-    whole = F.size("later_codes") + F.size("earlier_codes") - both
-    found = pairs.join(late, "later").join(early, "earlier").filter(both >= similarity * whole)
-    return found.select(F.col("later").alias("m")).distinct()
+    """(m) of the later lines of the pairs (a, b), in any order, whose full sets reach the similarity."""
+    one, other = (sets.select(*[F.col(c).alias(f"{n}_{c}") for c in ("m", "id", "codes")]) for n in ("a", "b"))
+    met = pairs.join(one, F.col("a") == F.col("a_m")).join(other, F.col("b") == F.col("b_m"))
+    sizes = F.size("a_codes") + F.size("b_codes")
+    # in an array of one, the intersection is worked out once
+    both = F.array(F.size(F.array_intersect("a_codes", "b_codes")))
+    found = met.filter(F.exists(both, lambda n: n >= similarity * (sizes - n)))
+    return found.select(F.when(F.col("a_id") > F.col("b_id"), F.col("a")).otherwise(F.col("b")).alias("m")).distinct()
 
 
-def similar_members(work: Workspace, members: DataFrame, sets: DataFrame, similarity: float, whole: bool) -> DataFrame:
+def similar_members(work: Workspace, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(m) of the members (code, m, id, n, at) similar to an earlier one of one of their codes.
 
-    With `whole` members hold every prefix token of their lines, so that all shared ones of a
-    pair bound its overlap together.
+    Members hold every prefix token of their lines, so that all shared ones of a pair bound its
+    overlap together.
     """
+    pair = [F.col("later").alias("a"), F.col("earlier").alias("b")]
     firsts = members.groupBy("code").agg(F.min(F.struct("id", "m", "n", "at")).alias("first"), F.count("*").alias("held"))
     firsts = work.save(firsts.filter("held > 1").select("code", "first.*"), "firsts")
-    star = work.save(meet(members, firsts, similarity).select("later", "earlier").distinct(), "star")
+    star = work.save(meet(members, firsts, similarity).select(*pair).distinct(), "star")
     gone = work.save(verified(star, sets, similarity), "gone")
     standing = members.join(gone, "m", "left_anti").join(firsts.select("code"), "code", "left_semi")
-    candidates = meet(standing, members, similarity)
-    pairs = possible(candidates, similarity) if whole else candidates.select("later", "earlier").distinct()
-    rest = work.save(pairs.join(star, ["later", "earlier"], "left_anti"), "rest")
+    pairs = possible(meet(standing, members, similarity), similarity).select(*pair)
+    rest = work.save(pairs.join(star, ["a", "b"], "left_anti"), "rest")
     found = gone.unionByName(verified(rest, sets, similarity))
     found = work.save(found, "similar")
     work.drop(firsts, star, gone, rest)
@@ -191,58 +196,61 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     safe = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
     raw = raw_lines(safe)
     identity = F.struct(*LINE)
-    codes = F.explode(F.array(F.sort_array(tokens(F.col("words"))))).alias("codes")
-    coded = worded(raw, min_words).select(identity.alias("id"), *line_keys(F.col("line")), codes).select(
-        "id", *KEY, F.size("codes").alias("n"), prefix_of(F.col("codes"), similarity).alias("prefix")
+    prefixes = coded(raw, min_words).select(
+        identity.alias("id"), *line_keys(F.col("line")), F.size("codes").alias("n"), prefix_of(F.col("codes"), similarity).alias("prefix")
     )
-    # one member per distinct line, at its first place
-    distinct = coded.groupBy(*KEY).agg(
+    # one member per distinct line, at its first place, with a number that names it from here on
+    distinct = prefixes.groupBy(*KEY).agg(
         F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
-    distinct = work.save(distinct, "distinct")
+    distinct = work.save(distinct.withColumn("m", F.monotonically_increasing_id()), "distinct")
     work.release()
     # narrow rows for the one large exchange; most codes are alone and end in it, and of a hot
     # one each task sends HEAVY + 1 rows
     place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at"))
-    rows = distinct.select("key1", "n", F.posexplode("prefix").alias("at", "code")).select("code", "key1", place.alias("place"))
-    nth = F.row_number().over(Window.partitionBy("code").orderBy("key1"))
-    held = F.count("*").over(Window.partitionBy("code"))
-    few = rows.withColumn("nth", nth).filter(F.col("nth") <= HEAVY + 1).withColumn("held", held).filter("held > 1")
-    shared = work.save(few.select("code", "key1", "place", "held"), "shared")
+    rows = distinct.select("m", "n", F.posexplode("prefix").alias("at", "code")).select("code", "m", place.alias("place"))
+    by_code = Window.partitionBy("code")
+    few = rows.withColumn("nth", F.row_number().over(by_code.orderBy("m"))).filter(F.col("nth") <= HEAVY + 1)
+    few = few.withColumn("held", F.count("*").over(by_code)).filter("held > 1")
+    # the pairs of a code are made where its rows have met: each member with those behind it
+    behind = F.collect_list(F.struct("m", "place")).over(by_code.orderBy("m").rowsBetween(1, Window.unboundedFollowing))
+    hot = F.col("held") > HEAVY
+    shared = few.select("code", "m", "place", hot.alias("hot"), F.when(~hot, behind).alias("behind"))
+    shared = work.save(shared.filter("hot or size(behind) > 0"), "shared")
     work.release()
-    heavy = work.save(shared.filter(F.col("held") > HEAVY).select("code").distinct(), "heavy")
-    # lines of one key1, should there be two, are candidates together
-    of_key = distinct.select("key1", "id")
-    again = rows.join(heavy, "code", "left_semi").select("key1").distinct().join(of_key, "key1").select("id")
-    again = work.save(again.distinct(), "again")
-    light = shared.filter(F.col("held") <= HEAVY).join(of_key, "key1").select(
-        "code", "id", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")
-    )
-    light = work.save(light, "light")
+    heavy = work.save(shared.filter("hot").select("code").distinct(), "heavy")
+    again = work.save(rows.join(heavy, "code", "left_semi").select("m").distinct(), "again")
+    light = shared.filter("not hot").select("m", "place", F.explode("behind").alias("other"))
+    sizes = [F.shiftright(p, 32).cast("int") for p in ("place", "other.place")]
+    ats = [F.col(p).bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for p in ("place", "other.place")]
+    near = _can_reach(sizes[0], ats[0], sizes[1], ats[1], similarity)
+    pairs = light.filter(near).select(F.col("m").alias("a"), F.col("other.m").alias("b")).distinct()
+    pairs = work.save(pairs, "pairs")
     repeated = work.save(distinct.filter("copies > 1").select(*KEY, "id"), "repeated")
-    work.drop(shared, heavy, distinct)
-    work.release()
 
-    # whether a line takes part in the second round goes with it, so that no set is shuffled to tell
-    both = light.select("id", F.lit(False).alias("again")).unionByName(again.withColumn("again", F.lit(True)))
-    wanted = work.save(both.groupBy("id").agg(F.max("again").alias("again")), "wanted")
-    work.drop(again)
-    keys = wanted.select("id.*", "again")
+    # only lines of a pair or of the second round; whether a line takes part in that one goes with
+    # it, so that no set is shuffled to tell
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("m"), F.lit(False).alias("again"))
+    both = ends.unionByName(again.withColumn("again", F.lit(True)))
+    wanted = both.groupBy("m").agg(F.max("again").alias("again"))
+    wanted = work.save(distinct.select("m", "id").join(wanted, "m"), "wanted")
+    work.drop(shared, heavy, again, distinct)
+    work.release()
+    keys = wanted.select("m", "again", "id.*")
     # rows that repeat are dropped where the join has put them
     maybe = raw.filter(may_hold(member_filter(keys, LINE), LINE)).join(keys, LINE).dropDuplicates(LINE)
-    sets = worded(maybe, min_words).select(identity.alias("id"), "again", F.sort_array(tokens(F.col("words"))).alias("codes"))
-    sets = work.save(sets.withColumn("m", F.monotonically_increasing_id()), "sets")
+    sets = coded(maybe, min_words).select("m", identity.alias("id"), "codes", "again")
+    sets = work.save(sets, "sets")
     work.drop(wanted)
     work.release()
-    members = work.save(light.join(sets.select("id", "m"), "id"), "members")
-    work.drop(light)
-    found = similar_members(work, members, sets, similarity, whole=False)
-    work.drop(members)
-    rare = sets.filter("again")
+    found = work.save(verified(pairs, sets, similarity), "found")
+    work.drop(pairs)
+    work.release()
+    rare = work.save(sets.filter("again").drop("again"), "rare")
     members = by_rarity(work, rare, similarity)
-    found = found.unionByName(similar_members(work, members, rare, similarity, whole=True))
+    found = found.unionByName(similar_members(work, members, rare, similarity))
     near = work.save(sets.join(found, "m", "left_semi").select("id"), "near")
-    work.drop(sets, members)
+    work.drop(sets, rare, members)
     work.release()
 
     places = raw.filter(F.trim("line") != "").select(*LINE, *line_keys(F.col("line")))
@@ -297,11 +305,12 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 def line_counts(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines of every document; no text is shuffled."""
     removed = removed_lines(docs, **options)
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     rows = docs.select(
         "doc_id",
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"),
         text_hash(F.col("text")).alias("text_hash"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
     )
     found = rows.join(removed.withColumnRenamed("doc_id", "_id"), ["_id", "text_hash"], "left")
     lost = F.coalesce("removed", F.array().cast("array<int>"))

@@ -327,6 +327,37 @@ def test_lines_do_not_shuffle_sets_to_choose_them(spark, monkeypatch):
     assert "LeftSemi" not in plans["counts"]
 
 
+def test_lines_of_a_pair_meet_once(spark, monkeypatch):
+    """The first round numbers lines, makes the pairs of a code where its rows have met, and
+    stores the sets of lines that have a possible partner, not of all that share a code."""
+    plans, stored, save = {}, {}, lines.Workspace.save
+
+    def spy(self, df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        result = save(self, df, name)
+        stored.setdefault(name, result.count())
+        return result
+
+    monkeypatch.setattr(lines.Workspace, "save", spy)
+    line = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(line)), (2, " ".join([*line[:39], "x"])), (3, " ".join(line[:5]))]
+    rows += [(10 + i, " ".join(f"own{i}x{j}" for j in range(30)) + " " + " ".join(line)) for i in range(3)]
+    found = lines.line_counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: list(r.removed_lines) for r in found} == plain.lines_removed(rows)
+    assert "Join" not in plans["shared"] and "Join" not in plans["pairs"]
+    assert stored["sets"] < stored["distinct"]
+
+
+@pytest.mark.parametrize("least", [1, 3, 6])
+def test_short_and_odd_lines(spark, least):
+    """Lines around the width of a shingle, with repeated words, blanks and other white space."""
+    texts = ["a", "a b", "b a", "a b c d", "a b c d e", "a b c d  e ", "a a a a a a a", "a a a a a a", " ", "", "\t", "\x0b", "A\tB", "a b c", "ä ö", "Ä Ö"]
+    rows = [(i, t) for i, t in enumerate([*texts, "\n".join(texts), None])]
+    found = lines.line_counts(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=least).collect()
+    assert {r.doc_id: list(r.removed_lines) for r in found} == plain.lines_removed(rows, least=least)
+    assert {r.doc_id: r.n_lines for r in found} == {i: len(t.split("\n")) if t is not None else 0 for i, t in rows}
+
+
 CLASHES = ["_id", "_hash", "_quality", "_text", "removed_lines", "removed", "row", "id", "hash", "own_id", "own_hash", "rows", "text_hash", "quality", "vector", "item", "code", "a b", "_rows"]
 
 
