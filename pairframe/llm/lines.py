@@ -51,12 +51,11 @@ def coded(lines: DataFrame, min_words: int) -> DataFrame:
     """
     words = F.array_remove(F.split("line", " "), "")
     enough = F.trim("line") != "" if min_words == 1 else F.size(words) >= min_words
-    hashed = lines.filter(enough).select("*", F.transform(words, lambda w: F.xxhash64(w)).alias("h0"))
-    behind = [f"h{k}" for k in range(1, SHINGLE)]
-    moved = hashed.select("*", *[F.slice("h0", k, F.size("h0")).alias(h) for k, h in enumerate(behind, 2)])
-    hashes = F.transform("h0", lambda word, i: F.xxhash64(word, *[F.get(h, i) for h in behind]))
-    whole = F.slice(hashes, F.lit(1), F.greatest(F.size("h0") - (SHINGLE - 1), F.lit(1)))
-    return moved.select(*lines.columns, F.sort_array(F.array_distinct(whole)).alias("codes"))
+    hashed = lines.filter(enough).select("*", F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - SHINGLE, F.lit(0)))
+    # a column that is read once would be worked out again for every start
+    shingles = F.transform(starts, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(SHINGLE)]))
+    return hashed.select(*lines.columns, F.sort_array(F.array_distinct(shingles)).alias("codes"))
 
 
 def constant_array(values: list[int], kind: str) -> Column:
