@@ -13,7 +13,8 @@ second round, where their tokens are counted exactly and ordered by rarity.
 
 Equal lines are one member of the join. In the first round a code has few members, so its pairs
 are made in the task that finds them. In the second a member is first compared with the earliest
-one of each of its buckets; only members without a match there meet all earlier ones.
+one of each of its buckets; only members without a match there meet all earlier ones, and bitmaps
+of their tokens rule out most of those before a pair is made.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SIMILARITY = 0.75
 #: A prefix token of more lines is heavy; its lines are ordered by exact rarity.
 HEAVY = 32
 FILTER_BITS = 22
+#: Words of 64 bits, one bit per hashed token, that a member of the second round carries.
+BITS = ["bits0", "bits1", "bits2", "bits3"]
 
 
 def text_hash(text: Column) -> Column:
@@ -46,16 +49,19 @@ def raw_lines(docs: DataFrame) -> DataFrame:
 def coded(lines: DataFrame, min_words: int) -> DataFrame:
     """Lines with enough words and, sorted, the distinct hashes of their shingles (`codes`).
 
-    The words' hashes are read more than once, so that Spark keeps the step that makes them apart.
     Words behind the end are null, which a hash leaves out: a shorter line is one shingle.
     """
     words = F.array_remove(F.split("line", " "), "")
     enough = F.trim("line") != "" if min_words == 1 else F.size(words) >= min_words
-    hashed = lines.filter(enough).select("*", F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - SHINGLE, F.lit(0)))
-    # a column that is read once would be worked out again for every start
-    shingles = F.transform(starts, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(SHINGLE)]))
-    return hashed.select(*lines.columns, F.sort_array(F.array_distinct(shingles)).alias("codes"))
+
+    def shingles(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - SHINGLE, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(SHINGLE)]))
+
+    # in an array of one, the words' hashes are worked out once and read without a copy
+    hashes = F.array(F.transform(words, lambda w: F.xxhash64(w)))
+    codes = F.get(F.transform(hashes, shingles), F.lit(0))
+    return lines.filter(enough).select(*lines.columns, F.sort_array(F.array_distinct(codes)).alias("codes"))
 
 
 def constant_array(values: list[int], kind: str) -> Column:
@@ -96,9 +102,14 @@ def line_keys(line: Column) -> list[Column]:
 KEY = ["key1", "key2"]
 
 
+def _left_out(n: Column, similarity: float) -> Column:
+    """Tokens of n behind the prefix: one less than a similar line must share."""
+    return F.ceil(n * similarity - 1e-9) - 1
+
+
 def prefix_of(codes: Column, similarity: float) -> Column:
     n = F.size(codes)
-    return F.slice(codes, 1, (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
+    return F.slice(codes, 1, (n - _left_out(n, similarity)).cast("int"))
 
 
 def _can_reach(n1: Column, at1: Column, n2: Column, at2: Column, similarity: float) -> Column:
@@ -109,15 +120,37 @@ def _can_reach(n1: Column, at1: Column, n2: Column, at2: Column, similarity: flo
     return sizes & (most >= _least_overlap(n1, n2, similarity))
 
 
+def _bits(code: Column) -> list[Column]:
+    """Of a group of codes, a bitmap with one bit set per code."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(code, 2).bitwiseAND(F.lit(63))).cast("int"))
+    word = code.bitwiseAND(F.lit(len(BITS) - 1))
+    return [F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0).cast("long")).alias(c) for w, c in enumerate(BITS)]
+
+
+def _common(side: str, other: str) -> Column:
+    """The most tokens that one member can share: the common ones, but those whose bit the other lacks."""
+    lacking = [F.bit_count(F.col(c + side).bitwiseAND(F.bitwise_not(F.col(c + other)))) for c in BITS]
+    return F.col("common" + side) - sum(lacking[1:], lacking[0])
+
+
 def meet(late: DataFrame, early: DataFrame, similarity: float) -> DataFrame:
-    """(later, earlier, n1, at1, n2, at2): members of one code whose sizes and places allow the similarity.
+    """(later, earlier, n1, at1, n2, at2): members of one code whose tokens may allow the similarity.
 
-    Members (code, m, id, n, at) are named by the number `m` of their set; ids tell which is later.
+    Members (code, m, id, n, at, common, *BITS) are named by the number `m` of their set; ids tell
+    which is later. Of its n tokens, `common` are held by other sets too; those are in the bitmap,
+    and all others come first in the order, before `at`. Lines of one passage differ in their own
+    words, so their counts and bitmaps tell most of them apart before a pair is made.
     """
-    left = late.select("code", F.col("m").alias("later"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"))
-    right = early.select("code", F.col("m").alias("earlier"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    near = _can_reach(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), similarity)
-    return left.join(right, "code").filter((F.col("id1") > F.col("id2")) & near).drop("id1", "id2")
+    columns = ["m", "id", "n", "at", "common", *BITS]
+    left, right = (x.select("code", *[F.col(c).alias(c + side) for c in columns]) for x, side in ((late, "1"), (early, "2")))
+    n1, at1, n2, at2 = (F.col(c) for c in ("n1", "at1", "n2", "at2"))
+    # places among the common tokens, of which alone a pair can share any before the code
+    near = _can_reach(n1, at1, n2, at2, similarity)
+    before = [F.col("at" + i) - (F.col("n" + i) - F.col("common" + i)) for i in "12"]
+    most = F.least(F.least(*before) + F.least(n1 - at1, n2 - at2), _common("1", "2"), _common("2", "1"))
+    allowed = near & (most >= _least_overlap(n1, n2, similarity))
+    met = left.join(right, "code").filter((F.col("id1") > F.col("id2")) & allowed)
+    return met.select(F.col("m1").alias("later"), F.col("m2").alias("earlier"), "n1", "at1", "n2", "at2")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -132,13 +165,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_members(work: Workspace, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(m) of the members (code, m, id, n, at) similar to an earlier one of one of their codes.
+    """(m) of the members (see `meet`) similar to an earlier one of one of their codes.
 
     Members hold every prefix token of their lines, so that all shared ones of a pair bound its
     overlap together.
     """
     pair = [F.col("later").alias("a"), F.col("earlier").alias("b")]
-    firsts = members.groupBy("code").agg(F.min(F.struct("id", "m", "n", "at")).alias("first"), F.count("*").alias("held"))
+    firsts = members.groupBy("code").agg(F.min(F.struct("id", "m", "n", "at", "common", *BITS)).alias("first"), F.count("*").alias("held"))
     firsts = work.save(firsts.filter("held > 1").select("code", "first.*"), "firsts")
     star = work.save(meet(members, firsts, similarity).select(*pair).distinct(), "star")
     gone = work.save(verified(star, sets, similarity), "gone")
@@ -155,28 +188,33 @@ def similar_members(work: Workspace, members: DataFrame, sets: DataFrame, simila
 def possible(candidates: DataFrame, similarity: float) -> DataFrame:
     """Pairs (later, earlier) that the sizes and places of all their shared prefix tokens allow.
 
-    What can still be shared lies behind the last shared token of the prefixes, in both.
+    What can still be shared lies behind the last shared token of the prefixes, in both. It also
+    lies behind the prefix that ends first in the order, since the other one holds all up to there.
     """
     met = candidates.groupBy("later", "earlier").agg(
         F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.count("*").alias("met"), F.max("at1").alias("at1"), F.max("at2").alias("at2")
     )
-    most = F.col("met") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
+    left_out = _left_out(F.greatest("n1", "n2"), similarity)
+    most = F.col("met") + F.least(F.col("n1") - F.col("at1") - 1, F.col("n2") - F.col("at2") - 1, left_out)
     return met.filter(most >= _least_overlap(F.col("n1"), F.col("n2"), similarity)).select("later", "earlier")
 
 
 def by_rarity(work: Workspace, sets: DataFrame, similarity: float) -> DataFrame:
-    """(code, m, id, n, at): prefixes of the sets, their tokens ordered by exact counts over the sets."""
+    """Members (see `meet`): prefixes of the sets, their tokens ordered by exact counts over the sets."""
     long = sets.select("m", F.explode("codes").alias("code"))
     counts = work.save(long.groupBy("code").agg(F.count("*").cast("int").alias("held")).filter("held > 1"), "counts")
     work.release()
     # a token of one line alone meets nothing; all such come first, so their number places the others
-    ranked = long.join(counts, "code").groupBy("m").agg(F.sort_array(F.collect_list(F.struct("held", "code"))).alias("ranked"))
+    shared = long.join(counts, "code").groupBy("m")
+    ranked = shared.agg(F.sort_array(F.collect_list(F.struct("held", "code"))).alias("ranked"), *_bits(F.col("code")))
     sizes = sets.select("m", "id", F.size("codes").alias("n"))
     alone = F.col("n") - F.size("ranked")
-    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    length = F.col("n") - _left_out(F.col("n"), similarity)
     inside = F.slice("ranked", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))
-    first = ranked.join(sizes, "m").select("m", "id", "n", alone.alias("alone"), F.posexplode(inside).alias("at", "token"))
-    members = first.select(F.col("token.code").alias("code"), "m", "n", (F.col("alone") + F.col("at")).alias("at"), "id")
+    common = F.size("ranked").alias("common")
+    first = ranked.join(sizes, "m").select("m", "id", "n", common, *BITS, F.posexplode(inside).alias("at", "token"))
+    at = (F.col("n") - F.col("common") + F.col("at")).alias("at")
+    members = first.select(F.col("token.code").alias("code"), "m", "id", "n", at, "common", *BITS)
     members = work.save(members, "members")
     work.drop(counts)
     work.release()
@@ -209,10 +247,13 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at"))
     rows = distinct.select("m", "n", F.posexplode("prefix").alias("at", "code")).select("code", "m", place.alias("place"))
     by_code = Window.partitionBy("code")
-    few = rows.withColumn("nth", F.row_number().over(by_code.orderBy("m"))).filter(F.col("nth") <= HEAVY + 1)
-    few = few.withColumn("held", F.count("*").over(by_code)).filter("held > 1")
+    in_order = by_code.orderBy("m")
+    few = rows.withColumn("nth", F.row_number().over(in_order)).filter(F.col("nth") <= HEAVY + 1)
+    # most codes have one row, which goes before the rows of the others are counted
+    few = few.withColumn("next", F.lead("m").over(in_order)).filter("nth > 1 or next is not null")
+    few = few.withColumn("held", F.count("*").over(by_code))
     # the pairs of a code are made where its rows have met: each member with those behind it
-    behind = F.collect_list(F.struct("m", "place")).over(by_code.orderBy("m").rowsBetween(1, Window.unboundedFollowing))
+    behind = F.collect_list(F.struct("m", "place")).over(in_order.rowsBetween(1, Window.unboundedFollowing))
     hot = F.col("held") > HEAVY
     shared = few.select("code", "m", "place", hot.alias("hot"), F.when(~hot, behind).alias("behind"))
     shared = work.save(shared.filter("hot or size(behind) > 0"), "shared")
@@ -223,7 +264,12 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     sizes = [F.shiftright(p, 32).cast("int") for p in ("place", "other.place")]
     ats = [F.col(p).bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for p in ("place", "other.place")]
     near = _can_reach(sizes[0], ats[0], sizes[1], ats[1], similarity)
-    pairs = light.filter(near).select(F.col("m").alias("a"), F.col("other.m").alias("b")).distinct()
+    # all that a pair shares in its prefixes is light and has met, unless both lines take part in the second round
+    met = light.filter(near).select(
+        F.col("m").alias("later"), F.col("other.m").alias("earlier"),
+        sizes[0].alias("n1"), ats[0].alias("at1"), sizes[1].alias("n2"), ats[1].alias("at2"),
+    )
+    pairs = possible(met, similarity).select(F.col("later").alias("a"), F.col("earlier").alias("b"))
     pairs = work.save(pairs, "pairs")
     repeated = work.save(distinct.filter("copies > 1").select(*KEY, "id"), "repeated")
 
@@ -245,11 +291,11 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     found = work.save(verified(pairs, sets, similarity), "found")
     work.drop(pairs)
     work.release()
-    rare = work.save(sets.filter("again").drop("again"), "rare")
+    rare = sets.filter("again").drop("again")
     members = by_rarity(work, rare, similarity)
     found = found.unionByName(similar_members(work, members, rare, similarity))
     near = work.save(sets.join(found, "m", "left_semi").select("id"), "near")
-    work.drop(sets, rare, members)
+    work.drop(sets, members)
     work.release()
 
     places = raw.filter(F.trim("line") != "").select(*LINE, *line_keys(F.col("line")))

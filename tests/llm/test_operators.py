@@ -348,6 +348,34 @@ def test_lines_of_a_pair_meet_once(spark, monkeypatch):
     assert stored["sets"] < stored["distinct"]
 
 
+def test_lines_of_one_passage_make_few_pairs(spark, monkeypatch):
+    """Lines that share a passage, but not enough of it, are told apart before a pair is made."""
+    made, meet = [], lines.meet
+
+    def spy(*args):
+        result = meet(*args)
+        made.append(result.count())
+        return result
+
+    monkeypatch.setattr(lines, "meet", spy)
+    passage = [f"p{i}" for i in range(24)]
+    rows = [(i, " ".join([*passage, *(f"own{i}x{j}" for j in range(2 if i % 20 == 0 else 5))])) for i in range(60)]
+    found = lines.line_counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: list(r.removed_lines) for r in found} == plain.lines_removed(rows)
+    assert sum(r.n_removed for r in found) > 0
+    assert len(made) == 2 and sum(made) < 10 * len(rows)
+
+
+def test_possible_pairs_share_enough_of_their_prefixes(spark):
+    """What one prefix holds and the other does not is not shared, up to where one of them ends."""
+    rows = [("one", "a", 42, 0, 42, 0)]
+    rows += [("four", "a", 42, at, 42, at) for at in range(4)]
+    rows += [("six", "a", 42, at, 42, at) for at in range(6)]
+    rows += [("shorter", "a", 42, 0, 32, 0), ("longer", "a", 32, 0, 42, 0)]
+    pairs = spark.createDataFrame(rows, "later string, earlier string, n1 int, at1 int, n2 int, at2 int")
+    assert {r.later for r in lines.possible(pairs, 0.75).collect()} == {"six", "shorter", "longer"}
+
+
 @pytest.mark.parametrize("least", [1, 3, 6])
 def test_short_and_odd_lines(spark, least):
     """Lines around the width of a shingle, with repeated words, blanks and other white space."""
